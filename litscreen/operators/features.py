@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litscreen.functions import text as tx
+from litscreen.functions.lookup import lookup_ids, replace_members
+from litscreen.operators.checks import MAPPING_ROWS, require_columns, small_mapping
 
 # Ids of the encoder that are no words, in this order.
 SPECIAL_TOKENS = ["[PAD]", "[UNK]", tx.KEY_MARKER, tx.TITLE_END, tx.JOURNAL_END]
@@ -26,80 +31,115 @@ def build_vocabulary(tokens: DataFrame, column: str, max_features: int) -> DataF
     return top.select("term", position.cast("long").alias("idx"), "n")
 
 
-def term_counts(tokens: DataFrame, key: str, column: str, vocabulary: DataFrame) -> DataFrame:
-    """``key, idx, tf`` for the terms of the vocabulary; all others are left out."""
-    terms = tokens.select(key, F.explode(column).alias("term"))
-    known = terms.join(F.broadcast(vocabulary.select("term", "idx")), "term")  # bounded by max_features
-    return known.groupBy(key, "idx").agg(F.count("*").alias("tf"))
+def vocabulary_terms(vocabulary: DataFrame) -> list[str]:
+    """The terms in index order, for a fitted model (``max_features`` values)."""
+    rows = vocabulary.select("idx", "term").collect()
+    return [row["term"] for row in sorted(rows, key=lambda row: row["idx"])]
 
 
-def tfidf_weights(tokens: DataFrame, key: str, column: str, vocabulary: DataFrame) -> DataFrame:
-    """``key, idx, weight`` with tf * (ln((1+n)/(1+df)) + 1), each document scaled to length 1."""
-    tf = term_counts(tokens, key, column, vocabulary)
-    df = tf.groupBy("idx").agg(F.count("*").alias("df"))  # bounded by max_features
-    n_docs = tokens.agg(F.count("*").alias("n")).scalar()
-    idf = df.select("idx", (F.log((n_docs + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    raw = tf.join(F.broadcast(idf), "idx").withColumn("raw", F.col("tf") * F.col("idf"))
-    # a document has at most max_features rows here
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return raw.select(key, "idx", (F.col("raw") / length).alias("weight"))
+def count_model(terms: Sequence[str], column: str, output: str) -> CountVectorizerModel:
+    """Document-term counts of a fixed vocabulary; unseen terms are ignored."""
+    return CountVectorizerModel.from_vocabulary(list(terms), inputCol=column, outputCol=output)
 
 
-def lemmatise(df: DataFrame, key: str, column: str, lemmas: DataFrame, output: str = "lemmas") -> DataFrame:
+def tfidf_model(tokens: DataFrame, terms: Sequence[str], column: str, output: str) -> PipelineModel:
+    """tf * (ln((1+n)/(1+df)) + 1), scaled to length 1, fitted on ``tokens``.
+
+    Spark's own IDF lacks the ``+ 1``, which the element-wise product supplies.
+    """
+    counts, scaled = f"{output}_counts", f"{output}_scaled"
+    counter = count_model(terms, column, counts)
+    idf = IDF(inputCol=counts, outputCol=scaled).fit(counter.transform(tokens)).idf
+    weights = Vectors.dense(idf.toArray() + 1.0)
+    return PipelineModel(
+        [
+            counter,
+            ElementwiseProduct(scalingVec=weights, inputCol=counts, outputCol=scaled),
+            Normalizer(p=2.0, inputCol=scaled, outputCol=output),
+        ]
+    )
+
+
+def vector_entries(df: DataFrame, key: str, vector: str, value: str) -> DataFrame:
+    """The stored entries of a sparse vector column as rows ``key, idx, value``; no shuffle."""
+    raw = df.select(key, F.unwrap_udt(vector).alias("v"))
+    pairs = F.arrays_zip(F.col("v.indices").alias("idx"), F.col("v.values").alias(value))
+    return raw.select(key, F.inline(pairs)).select(key, F.col("idx").cast("long").alias("idx"), value)
+
+
+def term_counts(tokens: DataFrame, key: str, column: str, terms: Sequence[str]) -> DataFrame:
+    """``key, idx, tf`` of the terms of the vocabulary; all others are left out."""
+    counted = count_model(terms, column, "_counts").transform(tokens.select(key, column))
+    return vector_entries(counted, key, "_counts", "tf").withColumn("tf", F.col("tf").cast("long"))
+
+
+def tfidf_weights(tokens: DataFrame, key: str, column: str, terms: Sequence[str]) -> DataFrame:
+    """``key, idx, weight`` of the TF-IDF vectors, fitted on the given rows."""
+    model = tfidf_model(tokens.select(key, column), terms, column, "_tfidf")
+    return vector_entries(model.transform(tokens.select(key, column)), key, "_tfidf", "weight")
+
+
+# ---- lemmas ---------------------------------------------------------------------------------
+
+
+def lemmatise(
+    df: DataFrame,
+    column: str,
+    lemmas: DataFrame,
+    output: str = "lemmas",
+    key: str | None = None,
+    max_rows: int = MAPPING_ROWS,
+) -> DataFrame:
     """Replace every blank-separated token by its lemma, if ``lemmas(token, lemma)`` has one.
 
-    The lemma table is joined, so it may be of any size; Catalyst broadcasts it
-    when it is small. ``lemmas`` must hold each token once. One row's tokens
-    come back together in their order, so a cell never grows beyond its text.
+    A table of at most ``max_rows`` rows travels with the tasks, so that texts
+    stay where they are. A larger one is joined; that needs ``key``, the row id
+    by which the tokens of a text come together again.
     """
+    table = small_mapping(lemmas, "token", "lemma", max_rows)
+    if table is not None:
+        return df.withColumn(output, lemma_text(F.col(column), table))
+    if key is None:
+        raise ValueError("a lemma table of this size needs the row key")
+    require_columns(df, [key])
     words = df.select(key, F.posexplode(tx.words(F.col(column))).alias("pos", "token"))
     found = words.join(lemmas.select("token", "lemma"), "token", "left")
     pairs = F.collect_list(F.struct("pos", F.coalesce("lemma", "token").alias("word")))
-    joined = found.groupBy(key).agg(
+    texts = found.groupBy(key).agg(
         F.array_join(F.transform(F.array_sort(pairs), lambda p: p["word"]), " ").alias(output)
     )
-    texts = df.select(key)
-    return texts.join(joined, key, "left").withColumn(output, F.coalesce(output, F.lit("")))
+    # a blank text has no tokens; a NULL one has no lemmas
+    blank = F.when(F.col(column).isNotNull(), F.lit(""))
+    return df.join(texts, key, "left").withColumn(output, F.coalesce(output, blank))
+
 
+def lemma_text(col: Column, table: Mapping[str, str]) -> Column:
+    return F.array_join(replace_members(tx.words(col), table), " ")
 
-def input_pieces(col, specials: Sequence[str] = SPECIAL_TOKENS):
+
+# ---- fixed-length ids -----------------------------------------------------------------------
+
+
+def input_pieces(col: Column, specials: Sequence[str] = SPECIAL_TOKENS) -> Column:
     """Marker tokens and lower-case words of a model input text, in order."""
     markers = "|".join(m.lower().replace("[", r"\[").replace("]", r"\]") for m in specials)
     return F.regexp_extract_all(F.lower(col), F.lit(f"{markers}|{tx.WORD}{{2,}}"), F.lit(0))
 
 
-def encoder_ids(pieces: DataFrame, column: str, max_features: int) -> DataFrame:
-    """``term, id``: the special tokens first, then the vocabulary in alphabetical order."""
+def learn_encoder(df: DataFrame, column: str, max_features: int) -> dict[str, int]:
+    """``{piece: id}``: the special tokens, then the most frequent words in alphabetical order."""
     specials = [m.lower() for m in SPECIAL_TOKENS]
-    plain = pieces.select(F.filter(column, lambda p: ~p.isin(specials)).alias("words"))
-    learned = build_vocabulary(plain, "words", max_features)
-    offset = len(SPECIAL_TOKENS)
-    ids = learned.select("term", (F.col("idx") + offset).cast("int").alias("id"))
-    fixed = pieces.sparkSession.createDataFrame(list(zip(specials, range(offset))), "term string, id int")
-    return fixed.union(ids)
+    pieces = df.select(F.filter(input_pieces(F.col(column)), lambda p: ~p.isin(specials)).alias("words"))
+    terms = vocabulary_terms(build_vocabulary(pieces, "words", max_features))
+    return {piece: number for number, piece in enumerate([*specials, *terms])}
 
 
-def encode_fixed_length(
-    df: DataFrame, key: str, column: str, max_length: int, max_features: int, ids: DataFrame | None = None
-) -> DataFrame:
-    """Add ``input_ids`` and ``attention_mask``, both ``max_length`` long.
+def encode_fixed_length(df: DataFrame, column: str, encoder: Mapping[str, int], max_length: int) -> DataFrame:
+    """Add ``input_ids`` and ``attention_mask``, both exactly ``max_length`` long.
 
-    The vocabulary is learned from the whole texts unless ``ids(term, id)`` is
-    given; only the first ``max_length`` pieces of a text are looked up, as the
-    rest is cut off anyway.
+    Pieces beyond ``max_length`` are cut off, unknown ones get the id of ``[UNK]``.
     """
-    pieces = df.withColumn("_pieces", input_pieces(F.col(column)))
-    if ids is None:
-        ids = encoder_ids(pieces, "_pieces", max_features)
-    kept = pieces.select(key, F.posexplode(F.slice("_pieces", 1, max_length)).alias("pos", "term"))
-    found = kept.join(F.broadcast(ids), "term", "left")  # max_features + specials rows
-    unknown = SPECIAL_TOKENS.index("[UNK]")
-    pairs = F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id")))
-    lists = found.groupBy(key).agg(F.transform(F.array_sort(pairs), lambda p: p["id"]).alias("_ids"))
-    input_ids, mask = tx.truncate_pad(F.col("_ids"), max_length)
-    return (
-        df.join(lists, key, "left")
-        .withColumn("_ids", F.coalesce("_ids", F.array().cast("array<int>")))
-        .withColumns({"input_ids": input_ids, "attention_mask": mask})
-        .drop("_ids")
-    )
+    kept = F.slice(input_pieces(F.col(column)), 1, max_length)
+    found = df.withColumn("_ids", lookup_ids(kept, encoder, SPECIAL_TOKENS.index("[UNK]")))
+    input_ids, mask = tx.truncate_pad(F.col("_ids"), max_length, SPECIAL_TOKENS.index("[PAD]"))
+    return found.withColumns({"input_ids": input_ids, "attention_mask": mask}).drop("_ids")

@@ -183,7 +183,8 @@ def build_vocabulary(spark, d):
 )
 def term_counts(spark, d):
     tokens = v.table(spark, d, "documents").select("doc_id", tx.word_tokens(F.col("text")).alias("w"))
-    return ft.term_counts(tokens, "doc_id", "w", ft.build_vocabulary(tokens, "w", 500))
+    terms = ft.vocabulary_terms(ft.build_vocabulary(tokens, "w", 500))
+    return ft.term_counts(tokens, "doc_id", "w", terms)
 
 
 _TFIDF = f"""WITH {_VOCABULARY},
@@ -197,7 +198,8 @@ _TFIDF = f"""WITH {_VOCABULARY},
 @query("tfidf", _TFIDF)
 def tfidf(spark, d):
     tokens = v.table(spark, d, "documents").select("doc_id", tx.word_tokens(F.col("text")).alias("w"))
-    weights = ft.tfidf_weights(tokens, "doc_id", "w", ft.build_vocabulary(tokens, "w", 500))
+    terms = ft.vocabulary_terms(ft.build_vocabulary(tokens, "w", 500))
+    weights = ft.tfidf_weights(tokens, "doc_id", "w", terms)
     return weights.withColumn("weight", F.round("weight", 9))
 
 
@@ -216,7 +218,7 @@ _LEMMA_SQL = "CASE w " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in LEMMAS.it
 def lemmatise(spark, d):
     lemmas = spark.createDataFrame(list(LEMMAS.items()), "token string, lemma string")
     cleaned = v.table(spark, d, "documents").select("doc_id", tx.clean_text(F.col("text")).alias("text"))
-    return ft.lemmatise(cleaned, "doc_id", "text", lemmas).select("doc_id", "lemmas")
+    return ft.lemmatise(cleaned, "text", lemmas).select("doc_id", "lemmas")
 
 
 _ENCODE = f"""WITH composed AS (
@@ -245,7 +247,8 @@ def _encoded(spark, d):
     composed = doc.select(
         "doc_id", tx.mark_keywords(tx.compose_input_text(title, F.col("source"), F.col("text")), ["the"]).alias("input_text")
     )
-    return ft.encode_fixed_length(composed, "doc_id", "input_text", max_length=48, max_features=500)
+    encoder = ft.learn_encoder(composed, "input_text", 500)
+    return ft.encode_fixed_length(composed, "input_text", encoder, 48)
 
 
 @query("encode_fixed_length", _ENCODE)
