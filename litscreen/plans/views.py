@@ -15,7 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_views(names: str, body: str) -> str:
-    """``WITH`` clause of the named SQL views (in order) in front of ``body``."""
+    """``WITH`` clause of the named SQL views (in order) in front of ``body``.
+
+    A body that starts with a comma goes on with views of its own.
+    """
     views = ",\n".join(f"{name} AS ({SQL_VIEWS[name]})" for name in names.split())
     return f"WITH {views}\n{body}"
 
