@@ -38,6 +38,13 @@ def threshold_label(probability: Column, threshold: float) -> Column:
 
 
 def numeric_id(col: Column) -> Column:
-    """Text to integer id by way of a number; what is no whole number becomes NULL."""
-    number = col.cast("string").try_cast("double")
-    return F.when(number == F.floor(number), number).try_cast("bigint")
+    """Text to integer id; a fraction is cut off, what is no number becomes NULL."""
+    text = col.cast("string")
+    return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
+
+
+def whole_id(col: Column) -> Column:
+    """Like :func:`numeric_id`, but a number with a fraction is no id: NULL."""
+    number = numeric_id(col)
+    as_double = col.cast("string").try_cast("double")
+    return F.when(number.cast("double") == as_double, number)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litscreen.functions.labels import numeric_id
+from litscreen.functions.labels import whole_id
 from litscreen.operators.checks import require_columns
 
 
@@ -67,7 +67,7 @@ def normalise_ids(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """``(ids, rejected)``: distinct ids as plain integer text, and distinct values that are none."""
     require_columns(df, [column])
     values = df.select(F.col(column).cast("string").alias("value")).where("value is not null")
-    number = numeric_id(F.col("value"))
+    number = whole_id(F.col("value"))
     ids = values.select(number.cast("string").alias(column)).where(F.col(column).isNotNull()).distinct()
     rejected = values.where(number.isNull()).distinct()
     return ids, rejected

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litscreen.functions.labels import numeric_id
+from litscreen.functions.labels import whole_id
 from litscreen.functions.text import normalise_doi
 from litscreen.operators.checks import require_columns
 
@@ -22,7 +22,7 @@ def enrich_articles(labels: DataFrame, fetched: DataFrame, key: str = "PMID") ->
     def with_number(df: DataFrame) -> DataFrame:
         if dict(df.dtypes)[key] in ("bigint", "int"):
             return df.withColumn(key, F.col(key).cast("bigint"))
-        return df.withColumn(key, numeric_id(F.col(key)))
+        return df.withColumn(key, whole_id(F.col(key)))
 
     return with_number(labels).join(with_number(fetched), key, "left")
 
