@@ -76,7 +76,7 @@ SQL_VIEWS = {
                CASE WHEN l_linestatus = 'F' AND l_linenumber = 7 THEN NULL ELSE l_returnflag END AS model,
                CASE WHEN l_linestatus = 'O' THEN true END AS title_abstract_journal,
                CAST(CASE WHEN l_linenumber > 4 THEN 380 ELSE 20 END AS INTEGER) AS seq_max_length,
-               CASE WHEN l_returnflag = 'N' THEN 0.1 ELSE 0.01 END AS weight_decay,
+               CAST(CASE WHEN l_returnflag = 'N' THEN 0.1 ELSE 0.01 END AS DOUBLE) AS weight_decay,
                l_discount * 10 AS best_val_f1,
                nullif(l_tax, 0) AS test_f1,
                l_quantity / 50 AS best_train_f1,
