@@ -7,31 +7,50 @@ Unicode meaning (letters, numbers, underscore), so accented words stay whole.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Character classes with the same meaning in Spark and in RE2.
+# Character classes; letters and numbers of all scripts, all white space.
 WORD = r"[\p{L}\p{N}_]"
 SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
 NOT_SPACE = r"[^\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
-NOT_WORD_OR_SPACE = r"[^\p{L}\p{N}_\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
 
 # Marker texts of the composed model input.
 KEY_MARKER = "[KEY]"
 TITLE_END = "[T_END]"
 JOURNAL_END = "[J_END]"
 
-# What the cleaner removes, in this order.
-TAG_PATTERN = r"<[^>]+>"
-URL_PATTERN = rf"http{NOT_SPACE}+|www\.{NOT_SPACE}+"
-EMAIL_PATTERN = rf"{NOT_SPACE}+@{NOT_SPACE}+"
-DIGITS_PATTERN = r"\p{Nd}+"
+# What the cleaner removes first, in this order, and a text that
+# must be there for a hit. The e-mail pattern is "some @ some" without blanks.
+TAGS = (r"<[^>]+>", ["<"])
+URLS = (rf"http{NOT_SPACE}+|www\.{NOT_SPACE}+", ["http", "www."])
+EMAILS = (rf"{NOT_SPACE}+@{NOT_SPACE}+", ["@"])
 
 
 def collapse_whitespace(col: Column) -> Column:
     """Runs of white space become one blank; none is left at either end."""
-    return F.trim(F.regexp_replace(col, f"{SPACE}+", " "))
+    return F.trim(_blank_runs(col, SPACE))
+
+
+def _blank_runs(col: Column, members: str) -> Column:
+    """Runs of a character class become one blank; a lone blank is not touched."""
+    return F.regexp_replace(col, f"{members}{{2,}}|[{members}&&[^ ]]", " ")
+
+
+def _blank_hits(col: Column, pattern: str, needed: Sequence[str]) -> Column:
+    """Hits of a pattern become a blank; texts that hold none of ``needed`` skip the pattern.
+
+    The text is bound by ``transform`` over a one-member array, so that it is
+    computed once although it is named three times.
+    """
+
+    def blanked(text: Column) -> Column:
+        possible = reduce(lambda a, b: a | b, [text.contains(part) for part in needed])
+        return F.when(possible, F.regexp_replace(text, pattern, " ")).otherwise(text)
+
+    return F.get(F.transform(F.array(col), blanked), F.lit(0))
 
 
 def clean_text(
@@ -42,14 +61,15 @@ def clean_text(
     text = F.coalesce(col, F.lit(""))
     if lower:
         text = F.lower(text)
-    patterns = [TAG_PATTERN, URL_PATTERN, EMAIL_PATTERN]
-    if remove_digits:
-        patterns.append(DIGITS_PATTERN)
+    for pattern, needed in (TAGS, URLS, EMAILS):
+        text = _blank_hits(text, pattern, needed)
+    # digits, punctuation and white space all end as one blank per run: one pass
+    numbers = r"\p{Nl}\p{No}" if remove_digits else r"\p{N}"
     if remove_punct:
-        patterns.append(NOT_WORD_OR_SPACE)
-    for pattern in patterns:
-        text = F.regexp_replace(text, pattern, " ")
-    return collapse_whitespace(text)
+        members = rf"[^a-zA-Z\p{{L}}{numbers}_]"
+    else:
+        members = SPACE[:-1] + r"\p{Nd}]" if remove_digits else SPACE
+    return F.trim(_blank_runs(text, members))
 
 
 def word_tokens(col: Column, lower: bool = True) -> Column:
@@ -60,7 +80,7 @@ def word_tokens(col: Column, lower: bool = True) -> Column:
 
 def words(col: Column) -> Column:
     """Parts between white space; a blank text has none."""
-    return F.regexp_extract_all(col, F.lit(f"{NOT_SPACE}+"), F.lit(0))
+    return F.array_remove(F.split(col, f"{SPACE}+"), "")
 
 
 def word_count(col: Column) -> Column:
@@ -101,9 +121,10 @@ def _is_word_char(ch: str) -> bool:
 def _keyword_pattern(keyword: str) -> str:
     """Whole-word pattern: at each end the text must switch between word and non-word."""
     quoted = "".join(ch if _is_word_char(ch) or not ch.isascii() else "\\" + ch for ch in keyword)
-    before = f"(?<!{WORD})" if _is_word_char(keyword[0]) else f"(?<={WORD})"
+    # looking back after the keyword is cheaper: it only happens where the keyword stands
+    before = f"(?<!{WORD}{quoted})" if _is_word_char(keyword[0]) else f"(?<={WORD}{quoted})"
     after = f"(?!{WORD})" if _is_word_char(keyword[-1]) else f"(?={WORD})"
-    return f"(?iu){before}{quoted}{after}"
+    return f"(?iu){quoted}{before}{after}"
 
 
 def mark_keywords(col: Column, keywords: Sequence[str], marker: str = KEY_MARKER) -> Column:

@@ -44,19 +44,20 @@ def map_references(
         return works.withColumn(output, translate_members(F.col(refs), table))
     if key is None:
         raise ValueError("a lookup of this size needs the row key")
-    mapped = known_references(works.select(key, F.posexplode(refs).alias("pos", "ref")), known)
-    pairs = F.array_sort(F.collect_list(F.struct("pos", "pmid")))
-    lists = mapped.groupBy(key).agg(F.transform(pairs, lambda p: p["pmid"]).alias(output))
+    mapped = known_references(exploded_references(works, refs, key), known, output="_pmid")
+    pairs = F.array_sort(F.collect_list(F.struct("pos", "_pmid")))
+    lists = mapped.groupBy(key).agg(F.transform(pairs, lambda p: p["_pmid"]).alias(output))
     empty = F.array().cast("array<string>")
     return works.join(lists, key, "left").withColumn(output, F.coalesce(output, empty))
 
 
-def known_references(edges: DataFrame, known: DataFrame, ref: str = "ref") -> DataFrame:
-    """Edges whose target has a pmid, with that pmid in the column ``pmid``.
+def known_references(edges: DataFrame, known: DataFrame, ref: str = "ref", output: str = "pmid") -> DataFrame:
+    """Edges whose target has a pmid, with that pmid in the column ``output``.
 
     ``known(openalex_id, pmid)`` has one row per id, so no edge is doubled.
     """
-    return edges.join(known, F.col(ref) == known["openalex_id"]).drop("openalex_id")
+    targets = known.select(F.col("openalex_id").alias("_target"), F.col("pmid").alias(output))
+    return edges.join(targets, F.col(ref) == F.col("_target")).drop("_target")
 
 
 def dedup_keep_first(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

@@ -18,13 +18,22 @@ from litscreen.operators.checks import MAPPING_ROWS, require_columns, small_mapp
 SPECIAL_TOKENS = ["[PAD]", "[UNK]", tx.KEY_MARKER, tx.TITLE_END, tx.JOURNAL_END]
 
 
+def exploded_terms(tokens: DataFrame, column: str, *keys: str) -> DataFrame:
+    """One row ``keys, term`` per token.
+
+    The outer form keeps Catalyst from putting a test for empty lists in front,
+    which would tokenise every text a second time.
+    """
+    return tokens.select(*keys, F.explode_outer(column).alias("term")).where("term IS NOT NULL")
+
+
 def build_vocabulary(tokens: DataFrame, column: str, max_features: int) -> DataFrame:
     """``term, idx, n``: the most frequent terms of the corpus, indexed alphabetically.
 
     Ties in frequency go to the alphabetically first term. At most
     ``max_features`` rows leave the distributed top-k.
     """
-    counts = tokens.select(F.explode(column).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    counts = exploded_terms(tokens, column).groupBy("term").agg(F.count("*").alias("n"))
     top = counts.orderBy(F.col("n").desc(), "term").limit(max_features)
     # the window sees max_features rows at most
     position = F.row_number().over(Window.orderBy("term")) - 1

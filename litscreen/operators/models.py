@@ -202,7 +202,7 @@ def _fold_vocabularies(tokens: DataFrame, n_folds: int, max_features: int) -> li
     """
     in_fold = [F.count_if(F.col("fold") == f).alias(f"_in_{f}") for f in range(n_folds)]
     counts = (
-        tokens.select("fold", F.explode("tokens").alias("term"))
+        ft.exploded_terms(tokens, "tokens", "fold")
         .groupBy("term")
         .agg(F.count("*").alias("_all"), *in_fold)
         .persist()
