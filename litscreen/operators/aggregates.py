@@ -69,7 +69,8 @@ def describe_numeric(df: DataFrame, column: str) -> DataFrame:
         F.min(column).cast("double").alias("min"),
         F.max(column).cast("double").alias("max"),
     )
-    return moments.select("*", *[quartiles.select(name).scalar().alias(name) for name in probs])
+    row = quartiles.select(F.struct(*probs).alias("row")).scalar()
+    return moments.withColumn("_quartiles", row).select(*moments.columns, *[f"_quartiles.{name}" for name in probs])
 
 
 def mean_word_count(df: DataFrame, column: str) -> DataFrame:

@@ -10,6 +10,16 @@ from litscreen.functions.text import normalise_doi
 from litscreen.operators.checks import require_columns
 
 
+def left_join_known(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join on ``key`` in which rows without a key do not take part.
+
+    They can match nothing, and in a shuffle they would all meet in one task.
+    """
+    has_key = F.col(key).isNotNull()
+    joined = left.where(has_key).join(right, key, "left")
+    return joined.unionByName(left.where(~has_key), allowMissingColumns=True)
+
+
 def enrich_articles(labels: DataFrame, fetched: DataFrame, key: str = "PMID") -> DataFrame:
     """Left join of curated rows with fetched articles on the integer form of ``key``.
 
@@ -24,13 +34,13 @@ def enrich_articles(labels: DataFrame, fetched: DataFrame, key: str = "PMID") ->
             return df.withColumn(key, F.col(key).cast("bigint"))
         return df.withColumn(key, whole_id(F.col(key)))
 
-    return with_number(labels).join(with_number(fetched), key, "left")
+    return left_join_known(with_number(labels), with_number(fetched), key)
 
 
 def merge_reference_tables(articles: DataFrame, references: DataFrame, key: str = "pmid") -> DataFrame:
     """Left join of article rows with cleaned references; shared names get the suffix ``_article``."""
     shared = {c: f"{c}_article" for c in articles.columns if c in references.columns and c != key}
-    return articles.withColumnsRenamed(shared).join(references, key, "left")
+    return left_join_known(articles.withColumnsRenamed(shared), references, key)
 
 
 def fill_pmid_by_doi(works: DataFrame, doi_index: DataFrame) -> DataFrame:
@@ -40,6 +50,7 @@ def fill_pmid_by_doi(works: DataFrame, doi_index: DataFrame) -> DataFrame:
     DOI twice counts with its smallest pmid.
     """
     index = doi_index.groupBy(F.col("doi").alias("_doi")).agg(F.min("found_pmid").alias("_found"))
-    wanted = F.when(F.col("pmid").isNull(), normalise_doi(F.col("doi")))
-    joined = works.withColumn("_wanted", wanted).join(index, F.col("_wanted") == F.col("_doi"), "left")
-    return joined.withColumn("pmid", F.coalesce("pmid", "_found")).drop("_wanted", "_doi", "_found")
+    open_rows = F.col("pmid").isNull() & F.col("doi").isNotNull()
+    joined = works.where(open_rows).join(index, normalise_doi(F.col("doi")) == F.col("_doi"), "left")
+    filled = joined.withColumn("pmid", F.col("_found")).drop("_doi", "_found")
+    return filled.unionByName(works.where(~open_rows))

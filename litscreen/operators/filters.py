@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -32,6 +32,21 @@ def rejected_ledger(**dropped: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), tagged)
 
 
+def mark_rejections(
+    df: DataFrame, missing: Sequence[str] = (), excluded: Mapping[str, object] | None = None
+) -> DataFrame:
+    """Add ``reason_dropped``: ``missing``, ``excluded`` or, for rows that stay, NULL.
+
+    The same as dropping rows with missing values first and rows with excluded
+    values then, but kept rows and ledger come from one pass over the input.
+    """
+    excluded = excluded or {}
+    require_columns(df, [*missing, *excluded])
+    lacks = reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() for c in missing], F.lit(False))
+    hit = reduce(lambda a, b: a | b, [F.col(f"`{c}`").eqNullSafe(F.lit(x)) for c, x in excluded.items()], F.lit(False))
+    return df.withColumn("reason_dropped", F.when(lacks, "missing").when(hit, "excluded"))
+
+
 def split_labelled(df: DataFrame, label: str, classes: Sequence[int] = (0, 1)) -> DataFrame:
     """Add ``split``: ``train`` for rows of a known class, ``test`` for all others and NULL."""
     require_columns(df, [label])

@@ -8,6 +8,8 @@ so a group that holds most of the rows is spread over many tasks.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,15 +28,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         .agg(F.count("*").alias("_n"))
     )
     ordered = running_weight(counted, [*keys, "_value"], "_n", "_upto")
-    # inside the whole order the rows of a group take the positions _start .. _end - 1
-    bounds = ordered.groupBy(*keys).agg(
-        F.min(F.col("_upto") - F.col("_n")).alias("_start"), F.max("_upto").alias("_end")
-    )
-    bounds = small_lookup(bounds.withColumnsRenamed({k: f"_key_{k}" for k in keys}))
-    same_group = F.lit(True)
-    for k in keys:
-        same_group = same_group & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    placed = ordered.join(bounds, same_group)
+    if keys:
+        placed = _with_group_bounds(ordered, keys)
+    else:
+        end = ordered.agg(F.max("_upto").alias("n")).scalar()
+        placed = ordered.withColumns({"_start": F.lit(0), "_end": end})
     first = F.col("_upto") - F.col("_n") - F.col("_start")
     last = F.col("_upto") - F.col("_start") - 1
     size = F.col("_end") - F.col("_start")
@@ -48,3 +46,13 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         outputs.append((low_value + (high_value - low_value) * share).alias(name))
     return placed.groupBy(*keys).agg(*outputs)
 
+
+
+def _with_group_bounds(ordered: DataFrame, keys: list[str]) -> DataFrame:
+    """Add the part ``_start .. _end - 1`` of the whole order that the rows of a group take."""
+    bounds = ordered.groupBy(*keys).agg(
+        F.min(F.col("_upto") - F.col("_n")).alias("_start"), F.max("_upto").alias("_end")
+    )
+    bounds = small_lookup(bounds.withColumnsRenamed({k: f"_key_{k}" for k in keys}))
+    same_group = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    return ordered.join(bounds, same_group)

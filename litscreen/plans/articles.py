@@ -140,9 +140,8 @@ def drop_values(spark, d):
     ),
 )
 def rejected_ledger(spark, d):
-    kept, missing = flt.drop_missing(_merged(spark, d), ["Abstract"])
-    _, excluded = flt.drop_values(kept, "reason", REVIEW_REASON)
-    return flt.rejected_ledger(missing=missing, excluded=excluded).select("PMID", "reason", "reason_dropped")
+    marked = flt.mark_rejections(_merged(spark, d), ["Abstract"], {"reason": REVIEW_REASON})
+    return marked.where("reason_dropped IS NOT NULL").select("PMID", "reason", "reason_dropped")
 
 
 @query(

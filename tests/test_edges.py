@@ -55,6 +55,16 @@ def test_rejected_ledger_allows_repeats(spark):
     assert sorted(map(tuple, ledger.collect())) == [(1, "missing"), (1, "review"), (2, "missing"), (2, "review")]
 
 
+def test_one_pass_ledger_equals_two_filters(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, None, "x"), (3, "a", None), (4, "a", "y"), (5, None, "y")], "i int, t string, r string")
+    kept, missing = flt.drop_missing(df, ["t"])
+    kept, excluded = flt.drop_values(kept, "r", "x")
+    marked = flt.mark_rejections(df, ["t"], {"r": "x"})
+    assert sorted(values(marked.where("reason_dropped IS NULL"))) == sorted(values(kept))
+    ledger = flt.rejected_ledger(missing=missing, excluded=excluded)
+    assert sorted(map(tuple, marked.where("reason_dropped IS NOT NULL").collect()), key=str) == sorted(map(tuple, ledger.collect()), key=str)
+
+
 def test_split_labelled(spark):
     df = spark.createDataFrame([(0,), (1,), (-1,), (None,), (2,)], "label int")
     got = {row["label"]: row["split"] for row in flt.split_labelled(df, "label").collect()}
