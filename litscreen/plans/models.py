@@ -50,8 +50,8 @@ def train_forest(spark, d):
     return model.transform(test).select("doc_id", "label", F.col("prediction").cast("int").alias("prediction"))
 
 
-@query("threshold_label")
-def threshold_label(spark, d):
+@query("model_threshold_label")
+def model_threshold_label(spark, d):
     train, test = _train_test(spark, d)
     scored = md.fit_text_model(train, "text", "label", _SPEC).transform(test)
     thresholds = {t: f"at_{t}" for t in (20, 50, 80)}

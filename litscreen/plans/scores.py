@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from litscreen.functions.labels import argmax_label
+from litscreen.functions.labels import argmax_label, threshold_label
 from litscreen.operators import filters as flt
 from litscreen.operators import metrics as mt
 from litscreen.operators.scoring import batch_predict
@@ -24,6 +25,23 @@ def argmax_label_query(spark, d):
     return v.table(spark, d, "embeddings").select("vec_id", argmax_label(logits).alias("predicted_label"))
 
 
+@query(
+    "threshold_label",
+    v.with_views(
+        "scores",
+        """SELECT vec_id, CAST(1 / (1 + exp(z0 - z1)) >= 0.2 AS INTEGER) AS at_20,
+                  CAST(1 / (1 + exp(z0 - z1)) >= 0.5 AS INTEGER) AS at_50 FROM scores""",
+    ),
+)
+def threshold_label_query(spark, d):
+    p = 1 / (1 + F.exp(F.col("logits")[0] - F.col("logits")[1]))
+    scored = v.scores(spark, d).select("vec_id", array_to_vector(F.array(1 - p, p)).alias("probability"))
+    probability = F.col("probability")
+    return scored.select(
+        "vec_id", threshold_label(probability, 0.2).alias("at_20"), threshold_label(probability, 0.5).alias("at_50")
+    )
+
+
 @query("predicted_positives", v.with_views("scores", "SELECT vec_id, predicted_label FROM scores WHERE predicted_label = 1"))
 def predicted_positives(spark, d):
     return flt.predicted_positives(_scored(spark, d).select("vec_id", "predicted_label"))
