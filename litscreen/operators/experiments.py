@@ -34,7 +34,8 @@ def run_name(
     model: Column, learning_rate: Column, layers: Column, max_length: Column, seed: Column, fold: Column | None = None
 ) -> Column:
     """Name of a run; a fold of a cross-validation gets ``title_`` in front and ``_cv{i}`` behind."""
-    name = F.format_string("%s_lr%s_unfreeze%d__ml%d__seed%d", model, learning_rate, layers, max_length, seed)
+    shown = F.coalesce(model, F.lit("None"))
+    name = F.format_string("%s_lr%s_unfreeze%d__ml%d__seed%d", shown, learning_rate, layers, max_length, seed)
     return name if fold is None else F.concat(F.lit("title_"), name, F.lit("_cv"), fold.cast("string"))
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
-from functools import reduce
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
@@ -139,20 +138,31 @@ def train_classifier(train: DataFrame, spec: TextModel, n_train: int) -> list:
     return [train_logreg(train, spec, n_train)]
 
 
+def tokenised(rows: DataFrame, text: str, label: str, spec: TextModel, *keep: str) -> tuple[list, DataFrame]:
+    """``(text stages, rows)``; the rows have ``label``, ``tokens`` and the columns to keep."""
+    require_columns(rows, [text, label, *keep])
+    stages = text_stages(spec, text)
+    labelled = rows.select(text, *keep, F.col(label).cast("int").alias("label"))
+    return stages, PipelineModel(stages).transform(labelled).select("label", "tokens", *keep)
+
+
+def fit_on_tokens(tokens: DataFrame, spec: TextModel) -> list:
+    """Fitted stages from the token list to ``prediction``; ``tokens`` should be kept in memory."""
+    terms = ft.vocabulary_terms(ft.build_vocabulary(tokens, "tokens", spec.max_features))
+    vectors = vector_model(tokens, spec, terms)
+    weighted = mt.balanced_class_weights(tokens, "label")
+    rows = vectors.transform(weighted).select("features", "label", "weight")
+    return [*vectors.stages, *train_classifier(rows, spec, tokens.count())]
+
+
 def fit_text_model(train: DataFrame, text: str, label: str, spec: TextModel) -> PipelineModel:
     """One fitted object from the text column to ``prediction``."""
-    require_columns(train, [text, label])
-    texts = PipelineModel(text_stages(spec, text))
-    labelled = train.select(text, F.col(label).cast("int").alias("label"))
-    weighted = mt.balanced_class_weights(texts.transform(labelled), "label").persist()
+    stages, tokens = tokenised(train, text, label, spec)
+    tokens.persist()
     try:
-        terms = ft.vocabulary_terms(ft.build_vocabulary(weighted, "tokens", spec.max_features))
-        vectors = vector_model(weighted, spec, terms)
-        rows = vectors.transform(weighted).select("features", "label", "weight")
-        classifier = train_classifier(rows, spec, weighted.count())
+        return PipelineModel([*stages, *fit_on_tokens(tokens, spec)])
     finally:
-        weighted.unpersist()
-    return PipelineModel([*texts.stages, *vectors.stages, *classifier])
+        tokens.unpersist()
 
 
 def vocabulary_of(model: PipelineModel) -> list[str]:
@@ -272,8 +282,7 @@ def grid_search(
         by_text.setdefault(spec.text_options(), []).append(spec)
     records = []
     for group in by_text.values():
-        rows = train.select(text, "fold", F.col(label).cast("int").alias("label"))
-        tokens = PipelineModel(text_stages(group[0], text)).transform(rows).select("fold", "label", "tokens").persist()
+        tokens = tokenised(train, text, label, group[0], "fold")[1].persist()
         try:
             tops = _fold_vocabularies(tokens, n_folds, max(s.max_features for s in group))
             with ThreadPool(parallelism) as pool:
@@ -297,17 +306,19 @@ def cv_run(rows: DataFrame, text: str, label: str, spec: TextModel, n_folds: int
 
     ``rows`` carry ``split`` (``cv``/``test``) and ``fold`` as made by the hold-out split.
     """
-    cv, holdout = rows.where("split = 'cv'"), rows.where("split = 'test'")
-    records = []
-    for fold in range(n_folds):
-        train, test = cv.where(F.col("fold") != fold), cv.where(F.col("fold") == fold)
-        model = fit_text_model(train, text, label, spec)
-        parts = (
-            train.withColumn("part", F.lit("train"))
-            .unionByName(test.withColumn("part", F.lit("val")))
-            .unionByName(holdout.withColumn("part", F.lit("test")))
-        )
-        evaluation = mt.evaluate_splits(model.transform(parts), label, "prediction", "part")
-        record = mt.prefix_metrics(evaluation, "part")
-        records.append(record.withColumns({"cv": F.lit(fold), "max_features": F.lit(spec.max_features), "C": F.lit(spec.C)}))
-    return reduce(lambda a, b: a.unionByName(b), records)
+    tokens = tokenised(rows, text, label, spec, "split", "fold")[1].persist()
+    try:
+        cv, holdout = tokens.where("split = 'cv'"), tokens.where("split = 'test'")
+        records = []
+        for fold in range(n_folds):
+            model = PipelineModel(fit_on_tokens(cv.where(F.col("fold") != fold), spec))
+            own = F.when(F.col("fold") == fold, "val").otherwise("train")
+            parts = cv.withColumn("part", own).unionByName(holdout.withColumn("part", F.lit("test")))
+            evaluation = mt.evaluate_splits(model.transform(parts), "label", "prediction", "part")
+            # twelve numbers per fold
+            records.append({"cv": fold, **mt.prefix_metrics(evaluation, "part").first().asDict()})
+    finally:
+        tokens.unpersist()
+    settings = {"max_features": F.lit(spec.max_features), "C": F.lit(spec.C)}
+    table = rows.sparkSession.createDataFrame([tuple(r.values()) for r in records], list(records[0]))
+    return table.coalesce(1).withColumns({"cv": F.col("cv").cast("int"), **settings})

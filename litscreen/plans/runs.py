@@ -29,17 +29,16 @@ def run_label(spark, d):
     v.with_views(
         "runs",
         """SELECT run_id, best_train_f1,
-                  model || '_lr' || learning_rate || '_unfreeze' || unfreeze_last_k_layers || '__ml'
+                  coalesce(model, 'None') || '_lr' || learning_rate || '_unfreeze' || unfreeze_last_k_layers || '__ml'
                   || seq_max_length || '__seed42' AS name,
-                  'title_' || model || '_lr' || learning_rate || '_unfreeze' || unfreeze_last_k_layers || '__ml'
+                  'title_' || coalesce(model, 'None') || '_lr' || learning_rate || '_unfreeze' || unfreeze_last_k_layers || '__ml'
                   || seq_max_length || '__seed42_cv' || run_id % 10 AS cv_name
-           FROM runs WHERE model IS NOT NULL""",
+           FROM runs""",
     ),
 )
 def run_name(spark, d):
     parts = [F.col(c) for c in ("model", "learning_rate", "unfreeze_last_k_layers", "seq_max_length")]
-    named = v.runs(spark, d).where("model IS NOT NULL")
-    return named.select(
+    return v.runs(spark, d).select(
         "run_id",
         "best_train_f1",
         ex.run_name(*parts, F.lit(42)).alias("name"),
