@@ -125,15 +125,15 @@ def exploded_references(works: DataFrame, refs: str, *keys: str) -> DataFrame:
 def halve_ids(df: DataFrame, column: str) -> DataFrame:
     """Distinct ids in order with ``half`` 1 for the first ``n // 2`` of them, 2 for the rest."""
     ids = df.select(column).where(F.col(column).isNotNull()).distinct()
-    placed = ordered_positions(ids, [column], "_position")
-    half = F.floor(placed.agg(F.count("*").alias("n")).scalar() / 2)
+    placed = ordered_positions(ids, [column], "_position", "_rows")
+    half = F.floor(F.col("_rows") / 2)
     return placed.select(column, F.when(F.col("_position") < half, 1).otherwise(2).alias("half"))
 
 
 def assign_batches(df: DataFrame, column: str, size: int = 200) -> DataFrame:
     """Distinct ids with the 0-based number of their batch of ``size`` in id order."""
     ids = df.select(column).where(F.col(column).isNotNull()).distinct()
-    placed = ordered_positions(ids, [column], "_position")
+    placed = ordered_positions(ids, [column], "_position", "_rows")
     return placed.select(column, F.floor(F.col("_position") / size).alias("batch"))
 
 

@@ -27,12 +27,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         .groupBy(*keys, F.col(value).cast("double").alias("_value"))
         .agg(F.count("*").alias("_n"))
     )
-    ordered = running_weight(counted, [*keys, "_value"], "_n", "_upto")
+    ordered = running_weight(counted, [*keys, "_value"], "_n", "_upto", "_rows")
     if keys:
         placed = _with_group_bounds(ordered, keys)
     else:
-        end = ordered.agg(F.max("_upto").alias("n")).scalar()
-        placed = ordered.withColumns({"_start": F.lit(0), "_end": end})
+        placed = ordered.withColumns({"_start": F.lit(0), "_end": F.col("_rows")})
     first = F.col("_upto") - F.col("_n") - F.col("_start")
     last = F.col("_upto") - F.col("_start") - 1
     size = F.col("_end") - F.col("_start")

@@ -27,14 +27,19 @@ def _numbered(df: DataFrame, order_cols: list) -> DataFrame:
 
 
 def _offsets(numbered: DataFrame, weight) -> DataFrame:
-    """Total weight of all earlier partitions; one row per partition of the sort."""
+    """Weight of all earlier partitions and of all together; one row per partition of the sort."""
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     per_part = numbered.groupBy("_part").agg(F.sum(weight).alias("_weight"))
-    return per_part.select("_part", F.coalesce(F.sum("_weight").over(earlier), F.lit(0)).alias("_before"))
+    return per_part.select(
+        "_part",
+        F.coalesce(F.sum("_weight").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_weight").over(everything).alias("_total"),
+    )
 
 
-def ordered_positions(df: DataFrame, order_cols: list, name: str = "position") -> DataFrame:
-    """Add the 0-based position of each row in the order of ``order_cols``.
+def ordered_positions(df: DataFrame, order_cols: list, name: str, total: str) -> DataFrame:
+    """Add the 0-based position of each row in the order of ``order_cols`` and the number of rows.
 
     The order must be total (ties are split arbitrarily, but only once).
     """
@@ -43,12 +48,13 @@ def ordered_positions(df: DataFrame, order_cols: list, name: str = "position") -
     return (
         numbered.join(offsets, "_part")
         .withColumn(name, (F.col("_before") + F.col("_pos")).cast("long"))
+        .withColumnRenamed("_total", total)
         .drop("_part", "_pos", "_before")
     )
 
 
-def running_weight(df: DataFrame, order_cols: list, weight: str, name: str) -> DataFrame:
-    """Add the sum of ``weight`` over all rows up to and including this one."""
+def running_weight(df: DataFrame, order_cols: list, weight: str, name: str, total: str) -> DataFrame:
+    """Add the sum of ``weight`` over all rows up to and including this one, and over all rows."""
     numbered = _numbered(df, order_cols)
     offsets = F.broadcast(_offsets(numbered, F.col(weight)))
     inside = Window.partitionBy("_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -56,5 +62,6 @@ def running_weight(df: DataFrame, order_cols: list, weight: str, name: str) -> D
         numbered.withColumn("_inside", F.sum(weight).over(inside))
         .join(offsets, "_part")
         .withColumn(name, (F.col("_before") + F.col("_inside")).cast("long"))
+        .withColumnRenamed("_total", total)
         .drop("_part", "_pos", "_before", "_inside")
     )

@@ -497,3 +497,19 @@ def test_stateless_operators_take_a_stream(spark, tmp_path):
         assert [tuple(r) for r in spark.table("screened").collect()] == [(1, 1, "a text")]
     finally:
         started.stop()
+
+
+def test_task_functions_travel_by_value(tmp_path):
+    """A worker that does not have the package can still run the functions it is sent."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from litscreen.functions import markup
+
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(markup._article_fields))
+    code = "import pickle; print(pickle.load(open('f.pkl', 'rb'))('<a/>'))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={}, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+    assert done.stdout.strip() == str((None,) * 6)
