@@ -1,17 +1,22 @@
 """Queries of the operators of this package and their SQL twins."""
 
-from litscreen.llm import chat, decontamination, exact_dedup, sharding, url_filter
+from litscreen.llm import chat, decontamination, exact_dedup, licenses, near_dedup, quality, sharding, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_licenses": licenses.op2_licenses,
+    "op4_quality": quality.op4_quality,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_chat": chat.op9_chat,
 }
 ORACLES = {
+    "op2_licenses": licenses.ORACLE_SQL,
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
     "op6_url_filter": url_filter.ORACLE_SQL,
+    "op7_near_dedup": near_dedup.ORACLE_SQL,
     "op8_decontamination": decontamination.ORACLE_SQL,
     "op9_chat": chat.ORACLE_SQL,
 }
