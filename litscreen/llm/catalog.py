@@ -1,6 +1,6 @@
 """Queries of the operators of this package and their SQL twins."""
 
-from litscreen.llm import chat, decontamination, exact_dedup, licenses, near_dedup, quality, sharding, url_filter
+from litscreen.llm import chat, decontamination, exact_dedup, licenses, near_dedup, packing, quality, sharding, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_chat": chat.op9_chat,
+    "op10_packing": packing.op10_packing,
 }
 ORACLES = {
     "op2_licenses": licenses.ORACLE_SQL,
