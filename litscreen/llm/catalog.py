@@ -1,10 +1,22 @@
 """Queries of the operators of this package and their SQL twins."""
 
-from litscreen.llm import chat, decontamination, exact_dedup, licenses, near_dedup, packing, quality, sharding, url_filter
+from litscreen.llm import (
+    chat,
+    decontamination,
+    exact_dedup,
+    licenses,
+    line_dedup,
+    near_dedup,
+    packing,
+    quality,
+    sharding,
+    url_filter,
+)
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_licenses": licenses.op2_licenses,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_quality": quality.op4_quality,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_url_filter": url_filter.op6_url_filter,

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litscreen.llm.common import stored, table
@@ -274,12 +274,12 @@ def near_duplicates(
     rows: int = ROWS,
     block: int = BLOCK,
 ) -> DataFrame:
-    """``doc_id, text_hash, n_shingles, component_id`` for every row of ``docs``.
+    """``doc_id, text_hash, n_shingles, component_id, group`` for every row of ``docs``.
 
     Rows are linked whose distinct word shingles have a Jaccard similarity of
     ``percent`` / 100 or more; ``component_id`` is the smallest id reachable,
-    its own included. ``text_hash`` is ``xxhash64`` of the text, so that id and
-    hash name a row. Null texts count as empty; a text without words has no
+    its own included, and ``group`` a number of the component (null without
+    words). ``text_hash`` is ``xxhash64`` of the text, so that id and hash name a row. Null texts count as empty; a text without words has no
     shingles and is linked with nothing. Null ids take part and are smaller than
     none: a component of null ids only has a null id. Repeated rows get equal
     results. Other columns are left out.
@@ -314,21 +314,19 @@ def near_duplicates(
     labelled = nodes.select("node", "set_id", "doc_id").join(components, "node", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "node"))
     smallest = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_set = labelled.join(smallest, "component").select("set_id", "component_id")
+    by_set = labelled.join(smallest, "component").select("set_id", "component_id", F.col("component").alias("group"))
     found = signed.where("set_id IS NOT NULL").join(by_set, "set_id")
-    alone = signed.where("set_id IS NULL").withColumn("component_id", F.col("doc_id"))
-    columns = ["doc_id", "text_hash", "n_shingles", "component_id"]
+    alone = signed.where("set_id IS NULL").withColumns(
+        {"component_id": F.col("doc_id"), "group": F.lit(None).cast("long")}
+    )
+    columns = ["doc_id", "text_hash", "n_shingles", "component_id", "group"]
     return found.select(*columns).unionByName(alone.select(*columns))
 
 
-def kept(component_id: Column, doc_id: Column) -> Column:
-    return component_id.eqNullSafe(doc_id)
-
-
 def op7_near_dedup(spark, sf_dir):
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
     return found.select(
-        "doc_id", "n_shingles", "component_id", kept(F.col("component_id"), F.col("doc_id")).alias("kept")
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 
