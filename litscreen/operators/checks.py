@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 #: A lookup with at most this many rows is broadcast; a larger one is joined by shuffle.
 SMALL_ROWS = 10_000
 
-#: A key-value table with at most this many rows travels with the tasks.
-MAPPING_ROWS = 100_000
-
 
 def require_columns(df: DataFrame, columns: Iterable[str], what: str = "DataFrame") -> None:
     """Raise ``KeyError`` naming every column of ``columns`` that ``df`` lacks."""
@@ -33,12 +30,3 @@ def small_lookup(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
         return df
     local = df.sparkSession.createDataFrame(rows, df.schema).coalesce(1)
     return F.broadcast(local)
-
-
-def small_mapping(df: DataFrame, key: str, value: str, max_rows: int = MAPPING_ROWS) -> dict | None:
-    """``{key: value}`` if ``df`` has at most ``max_rows`` rows, else None.
-
-    No more than ``max_rows + 1`` rows are fetched to find out.
-    """
-    rows = df.select(key, value).limit(max_rows + 1).collect()
-    return None if len(rows) > max_rows else {row[0]: row[1] for row in rows}

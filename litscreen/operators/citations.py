@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from litscreen.functions.labels import numeric_id
-from litscreen.functions.lookup import translate_members
-from litscreen.operators.checks import MAPPING_ROWS, require_columns, small_mapping
+from litscreen.operators.checks import require_columns
 from litscreen.operators.columns import replace_ids
+from litscreen.operators.lists import map_members
 from litscreen.operators.ranks import ordered_positions
 
 
@@ -22,33 +22,16 @@ def last_known_pmid(lookup: DataFrame, order: str) -> DataFrame:
 
 
 def map_references(
-    works: DataFrame,
-    lookup: DataFrame,
-    refs: str = "refs",
-    output: str = "pmids",
-    order: str = "seq",
-    key: str | None = None,
-    max_rows: int = MAPPING_ROWS,
+    works: DataFrame, lookup: DataFrame, refs: str = "refs", output: str = "pmids", order: str = "seq"
 ) -> DataFrame:
     """Replace each id of a list by its pmid; unknown ids go, order and repeats stay.
 
-    A lookup of at most ``max_rows`` ids travels with the tasks. A larger one is
-    joined on the exploded list members (adaptive execution splits the partition
-    of a work that everybody cites); that needs ``key``, the row id by which the
-    members of a list come together again. A NULL list becomes an empty one.
+    Of an id that the lookup has twice the last known pmid counts. A NULL list
+    becomes an empty one. Rows need no key, and the lookup may have any size.
     """
     require_columns(works, [refs])
-    known = last_known_pmid(lookup, order)
-    table = small_mapping(known, "openalex_id", "pmid", max_rows)
-    if table is not None:
-        return works.withColumn(output, translate_members(F.col(refs), table))
-    if key is None:
-        raise ValueError("a lookup of this size needs the row key")
-    mapped = known_references(exploded_references(works, refs, key), known, output="_pmid")
-    pairs = F.array_sort(F.collect_list(F.struct("pos", "_pmid")))
-    lists = mapped.groupBy(key).agg(F.transform(pairs, lambda p: p["_pmid"]).alias(output))
-    empty = F.array().cast("array<string>")
-    return works.join(lists, key, "left").withColumn(output, F.coalesce(output, empty))
+    known = last_known_pmid(lookup, order).select(F.col("openalex_id").alias("member"), F.col("pmid").alias("value"))
+    return map_members(works, F.col(refs), known, output)
 
 
 def known_references(edges: DataFrame, known: DataFrame, ref: str = "ref", output: str = "pmid") -> DataFrame:
@@ -98,7 +81,7 @@ def clean_reference_table(
         valid = numbered.where(F.col("pmid").isNotNull())
         tables.append(valid.withColumn("_priority", F.lit(priority)))
     rows = dedup_keep_first(concat_tables(*tables), "pmid", ["_priority", order])
-    mapped = map_references(rows, lookup, "refs", "references", order, key="pmid")
+    mapped = map_references(rows, lookup, "refs", "references", order)
     return num_refs(mapped.select("pmid", "references"), "references", "num_of_refs")
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litscreen.functions import text as tx
-from litscreen.functions.lookup import lookup_ids, replace_members
-from litscreen.operators.checks import MAPPING_ROWS, require_columns, small_mapping
+from litscreen.functions.lookup import lookup_ids
+from litscreen.operators.lists import map_members
 
 # Ids of the encoder that are no words, in this order.
 SPECIAL_TOKENS = ["[PAD]", "[UNK]", tx.KEY_MARKER, tx.TITLE_END, tx.JOURNAL_END]
@@ -91,39 +91,16 @@ def tfidf_weights(tokens: DataFrame, key: str, column: str, terms: Sequence[str]
 # ---- lemmas ---------------------------------------------------------------------------------
 
 
-def lemmatise(
-    df: DataFrame,
-    column: str,
-    lemmas: DataFrame,
-    output: str = "lemmas",
-    key: str | None = None,
-    max_rows: int = MAPPING_ROWS,
-) -> DataFrame:
+def lemmatise(df: DataFrame, column: str, lemmas: DataFrame, output: str = "lemmas") -> DataFrame:
     """Replace every blank-separated token by its lemma, if ``lemmas(token, lemma)`` has one.
 
-    A table of at most ``max_rows`` rows travels with the tasks, so that texts
-    stay where they are. A larger one is joined; that needs ``key``, the row id
-    by which the tokens of a text come together again.
+    Of a token that is listed twice the smallest lemma counts. A blank text has
+    no tokens, a NULL one no lemmas. The table may have any size.
     """
-    table = small_mapping(lemmas, "token", "lemma", max_rows)
-    if table is not None:
-        return df.withColumn(output, lemma_text(F.col(column), table))
-    if key is None:
-        raise ValueError("a lemma table of this size needs the row key")
-    require_columns(df, [key])
-    words = df.select(key, F.posexplode(tx.words(F.col(column))).alias("pos", "token"))
-    found = words.join(lemmas.select("token", "lemma"), "token", "left")
-    pairs = F.collect_list(F.struct("pos", F.coalesce("lemma", "token").alias("word")))
-    texts = found.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(pairs), lambda p: p["word"]), " ").alias(output)
-    )
-    # a blank text has no tokens; a NULL one has no lemmas
-    blank = F.when(F.col(column).isNotNull(), F.lit(""))
-    return df.join(texts, key, "left").withColumn(output, F.coalesce(output, blank))
-
-
-def lemma_text(col: Column, table: Mapping[str, str]) -> Column:
-    return F.array_join(replace_members(tx.words(col), table), " ")
+    unique = lemmas.where("token IS NOT NULL").groupBy(F.col("token").alias("member")).agg(F.min("lemma").alias("value"))
+    words = map_members(df, tx.words(F.col(column)), unique, "_lemmas", keep_unknown=True)
+    text = F.when(F.col(column).isNotNull(), F.array_join("_lemmas", " "))
+    return words.withColumn(output, text).drop("_lemmas")
 
 
 # ---- fixed-length ids -----------------------------------------------------------------------

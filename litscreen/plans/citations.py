@@ -129,7 +129,7 @@ _MAPPED = f"""{_KNOWN},
     ),
 )
 def map_references(spark, d):
-    mapped = ct.map_references(v.work_lists(spark, d), v.lookup(spark, d), key="pmid")
+    mapped = ct.map_references(v.work_lists(spark, d), v.lookup(spark, d))
     return mapped.select("pmid", F.array_join("pmids", "|").alias("pmids"))
 
 

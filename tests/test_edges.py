@@ -121,17 +121,29 @@ def test_enrich_articles(spark):
         enrich_articles(left, right.drop("PMID"))
 
 
-@pytest.mark.parametrize("max_rows", [100, 0])
-def test_map_references_with_both_ways(spark, max_rows):
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_map_references_by_broadcast_and_by_shuffle(spark, broadcast):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     works = spark.createDataFrame(
-        [(1, ["W1", "W2", "W1", "W9"]), (2, []), (3, None), (4, ["W3", "W4"])], "pmid long, refs array<string>"
+        [(1, ["W1", "W2", "W1", "W9"]), (2, []), (3, None), (4, ["W3", "W4"]), (1, ["W2", None]), (None, ["W1"])],
+        "pmid long, refs array<string>",
     )
     lookup = spark.createDataFrame(
         [("W1", "11", 1), ("W2", "21", 2), ("W2", "22", 3), ("W3", None, 4), ("W4", "41", 5), ("W4", None, 6)],
         "openalex_id string, pmid string, seq long",
     )
-    got = ct.map_references(works, lookup, key="pmid", max_rows=max_rows)
-    assert {r["pmid"]: r["pmids"] for r in got.collect()} == {1: ["11", "22", "11"], 2: [], 3: [], 4: ["41"]}
+    try:
+        got = [(r["pmid"], r["refs"], r["pmids"]) for r in ct.map_references(works, lookup).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(got, key=str) == [
+        (1, ["W1", "W2", "W1", "W9"], ["11", "22", "11"]),
+        (1, ["W2", None], ["22"]),
+        (2, [], []),
+        (3, None, []),
+        (4, ["W3", "W4"], ["41"]),
+        (None, ["W1"], ["11"]),
+    ]
 
 
 def test_dedup_clean_and_merge(spark):
@@ -338,11 +350,15 @@ def test_paths_and_entities(spark):
     assert column_of(spark, entities, unescape_html) == ["a < b", "éβε", "plain", "AT&T", None, "&amp;"]
 
 
-@pytest.mark.parametrize("max_rows", [100, 0])
-def test_lemmas_with_both_ways(spark, max_rows):
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_lemmas_by_broadcast_and_by_shuffle(spark, broadcast):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     df = spark.createDataFrame([(1, "cells are  bound\nare"), (2, ""), (3, None), (4, "x")], "id int, t string")
-    lemmas = spark.createDataFrame([("cells", "cell"), ("are", "be")], "token string, lemma string")
-    got = {r["id"]: r["lemmas"] for r in ft.lemmatise(df, "t", lemmas, key="id", max_rows=max_rows).collect()}
+    lemmas = spark.createDataFrame([("cells", "cell"), ("are", "bee"), ("are", "be"), (None, "y")], "token string, lemma string")
+    try:
+        got = {r["id"]: r["lemmas"] for r in ft.lemmatise(df, "t", lemmas).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == {1: "cell be bound be", 2: "", 3: None, 4: "x"}
 
 
