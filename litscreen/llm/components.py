@@ -11,47 +11,28 @@ from litscreen.llm.common import stored
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the smallest node reachable) for every node of ``edges`` (``a, b``: long).
 
-    Alternates large-star and small-star steps: every node links its larger
-    neighbours, then its smaller ones, to its smallest neighbour. The number of
-    edges never grows; the rounds grow with the logarithm of the longest path.
-    Only minima are gathered per node, so a node with very many edges is combined
-    before it is shuffled. Edges from a node to itself are allowed.
+    Alternates large-star and small-star steps until every node is linked to its
+    smallest one alone: a node links its larger neighbours, then its smaller
+    ones, to the smallest of them and itself. The number of edges never grows;
+    the rounds grow with the logarithm of the longest path. Only minima are
+    gathered per node, so a node with very many edges is combined before it is
+    shuffled. Edges from a node to itself are allowed.
     """
-    edges = stored(_distinct(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "edges")
-    total = _checksum(edges)
-    while True:
-        both = edges.union(edges.select("b", "a"))
-        large = _linked(both.where("a <> b").union(edges.where("a = b")), "b > a")
-        small = _linked(large, None)
-        edges = stored(small, "edges")
-        after = _checksum(edges)
-        if after == total:
-            break
-        total = after
-    own = edges.select(F.col("b").alias("node"), F.col("b").alias("component"))
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(own).distinct()
-
-
-def _distinct(edges: DataFrame) -> DataFrame:
-    return edges.select("a", "b").distinct()
-
-
-def _checksum(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-
-
-def _linked(edges: DataFrame, larger: str | None) -> DataFrame:
-    """Link the neighbours of every node ``a`` to the smallest of them and itself.
-
-    Large-star (``larger`` given): the neighbours above ``a``, of edges in both
-    directions. Small-star: edges point to the smaller end, and ``a`` itself is linked too.
-    """
-    least = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-    joined = edges.join(least, "a")
-    if larger:
-        out = joined.where(larger).select(F.col("b").alias("a"), F.col("least").alias("b"))
-        return _distinct(out.union(edges.where("a = b")))
-    linked = joined.select(F.col("b").alias("a"), F.col("least").alias("b"))
-    itself = least.select("a", F.col("least").alias("b"))
-    pairs = linked.union(itself).where("a <> b")
-    return _distinct(pairs.union(edges.where("a = b")))
+    given = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = stored(given.where("a <> b").distinct(), "edges")
+    while not _all_stars(links):
+        both = links.union(links.select("b", "a"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("least"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b")
+        links = stored(small.union(least).distinct(), "edges")
+    pairs = links.union(links.select("b", "b")).union(given.where("a = b"))
+    return pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+
+
+def _all_stars(links: DataFrame) -> bool:
+    """Whether every node is linked to one smaller node at most, and that one to none."""
+    roles = links.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("b", F.lit(0), F.lit(1)))
+    roles = roles.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not roles.where("up > 1 OR (up = 1 AND down = 1)").limit(1).count()

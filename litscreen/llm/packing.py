@@ -32,8 +32,12 @@ PIECES = "row long, doc_id {}, piece int, start long, length long, ids_crc32 lon
 Layout = tuple[tuple[int, ...], int]
 
 
-def exact_layouts(counts: np.ndarray) -> list[Layout]:
-    """Layouts that fill a sequence exactly; takes what they use out of ``counts`` (by length, 0 to capacity)."""
+def exact_layouts(counts: np.ndarray, most: int = 3, even: bool = False) -> list[Layout]:
+    """Layouts that fill a sequence exactly; takes what they use out of ``counts`` (by length, 0 to capacity).
+
+    A gap is filled by ``most`` pieces at most. Of the pairs of one sum the most
+    uneven is taken first, or with ``even`` the most even.
+    """
     capacity = len(counts) - 1
     layouts: list[Layout] = []
 
@@ -48,8 +52,8 @@ def exact_layouts(counts: np.ndarray) -> list[Layout]:
         return all(counts[x] >= lengths.count(x) for x in lengths)
 
     def pair(total: int, first: int) -> tuple[int, int] | None:
-        """Two available lengths of that sum, besides one piece of ``first``; the most even are taken last."""
-        larger = np.arange(total - 1, (total - 1) // 2, -1)
+        """Two available lengths of that sum, besides one piece of ``first``."""
+        larger = np.arange(total - 1, (total - 1) // 2, -1)[:: -1 if even else 1]
         larger = larger[larger <= capacity]
         good = larger[(counts[larger] > 0) & (counts[total - larger] > 0)]
         for x in good:
@@ -62,10 +66,12 @@ def exact_layouts(counts: np.ndarray) -> list[Layout]:
             gap = capacity - length
             if not gap:
                 take((length,))
-            elif enough((length, gap)):
+            elif most and enough((length, gap)):
                 take((length, gap))
-            elif found := pair(gap, length):
+            elif most > 1 and (found := pair(gap, length)):
                 take((length, *found))
+            elif most < 3:
+                break
             else:
                 for third in np.flatnonzero(counts[1 : max(gap - 1, 1)])[::-1] + 1:
                     third = int(third)
@@ -114,9 +120,25 @@ def best_fit_layouts(counts: np.ndarray) -> list[Layout]:
 
 
 def plan_layouts(counts: np.ndarray) -> list[Layout]:
-    """Layouts for ``counts`` pieces of every length from 0 to the capacity."""
-    counts = counts.copy()
-    return [layout for layout in exact_layouts(counts) + best_fit_layouts(counts) if layout[1]]
+    """Layouts for ``counts`` pieces of every length from 0 to the capacity.
+
+    Exact fillings first, then best fit. Fillings of up to three, two, one and no
+    pieces are tried, and the plan with the fewest sequences is taken; the first
+    one within a thousandth of the lower bound ends the search.
+    """
+    capacity = len(counts) - 1
+    lengths = np.arange(capacity + 1)
+    least = max(-(-int(counts @ lengths) // capacity), int(counts[2 * lengths > capacity].sum()))
+    best, fewest = [], None
+    for most, even in ((3, False), (3, True), (2, True), (2, False), (1, False), (0, False)):
+        left = counts.copy()
+        layouts = [layout for layout in exact_layouts(left, most, even) + best_fit_layouts(left) if layout[1]]
+        total = sum(times for _, times in layouts)
+        if fewest is None or total < fewest:
+            best, fewest = layouts, total
+        if fewest <= least + least // 1000:
+            break
+    return best
 
 
 def plan_intervals(layouts: list[Layout], capacity: int) -> dict[int, np.ndarray]:
