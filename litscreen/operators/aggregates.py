@@ -23,7 +23,7 @@ def label_shares(df: DataFrame, column: str) -> DataFrame:
     """Share of each non-null value in all rows, NULL rows included in the total."""
     # the NULL group has to be counted for the total, so filter after counting
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*").alias("n")).scalar()
+    total = counts.agg(F.sum("n").alias("n")).scalar()  # of the counts, whose shuffle is reused
     return counts.where(F.col(column).isNotNull()).select(
         column, (F.col("n").cast("double") / total).alias("share")
     )

@@ -11,13 +11,17 @@ from litscreen.operators.checks import require_columns
 
 
 def left_join_known(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left join on ``key`` in which rows without a key do not take part.
+    """Left join on ``key`` in which rows without a key do not meet in one task.
 
-    They can match nothing, and in a shuffle they would all meet in one task.
+    They can match nothing. A second key, the same for all other rows, spreads
+    them over the tasks of a shuffle; both inputs are evaluated once.
     """
-    has_key = F.col(key).isNotNull()
-    joined = left.where(has_key).join(right, key, "left")
-    return joined.unionByName(left.where(~has_key), allowMissingColumns=True)
+    spread = F.when(F.col(key).isNull(), F.monotonically_increasing_id() + 1).otherwise(0)
+    return (
+        left.withColumn("_spread", spread)
+        .join(right.withColumn("_spread", F.lit(0).cast("long")), [key, "_spread"], "left")
+        .drop("_spread")
+    )
 
 
 def enrich_articles(labels: DataFrame, fetched: DataFrame, key: str = "PMID") -> DataFrame:
@@ -46,11 +50,11 @@ def merge_reference_tables(articles: DataFrame, references: DataFrame, key: str
 def fill_pmid_by_doi(works: DataFrame, doi_index: DataFrame) -> DataFrame:
     """Fill a missing ``pmid`` by looking the bare DOI up in ``doi_index(doi, found_pmid)``.
 
-    Only rows that lack a pmid take part in the join; an index that lists a
+    Only rows that lack a pmid have a key to join on; an index that lists a
     DOI twice counts with its smallest pmid.
     """
-    index = doi_index.groupBy(F.col("doi").alias("_doi")).agg(F.min("found_pmid").alias("_found"))
-    open_rows = F.col("pmid").isNull() & F.col("doi").isNotNull()
-    joined = works.where(open_rows).join(index, normalise_doi(F.col("doi")) == F.col("_doi"), "left")
-    filled = joined.withColumn("pmid", F.col("_found")).drop("_doi", "_found")
-    return filled.unionByName(works.where(~open_rows))
+    index = doi_index.where("doi IS NOT NULL").groupBy(F.col("doi").alias("_key"))
+    found = index.agg(F.min("found_pmid").alias("_found"))
+    searched = works.withColumn("_key", F.when(F.col("pmid").isNull(), normalise_doi(F.col("doi"))))
+    joined = left_join_known(searched, found, "_key")
+    return joined.withColumn("pmid", F.coalesce("pmid", "_found")).drop("_key", "_found")

@@ -145,13 +145,28 @@ def select_grid_point(results: DataFrame, point: Mapping[str, object], columns:
     return results.where(reduce(lambda a, b: a & b, [F.col(p) == F.lit(x) for p, x in point.items()])).select(*columns)
 
 
-def top_grid_points(results: DataFrame, params: Sequence[str], n: int = 2, metric: str = "mean_test_f1") -> DataFrame:
-    return results.orderBy(F.col(metric).desc_nulls_last(), *params).limit(n)
+def number_candidates(results: DataFrame, grid: Mapping[str, Sequence]) -> DataFrame:
+    """Add ``candidate``: the place of a row's values among all combinations of ``grid``.
 
+    Parameters go by name, the last one changing fastest, each in the order of its values.
+    """
+    number = F.lit(0)
+    for name in sorted(grid):
+        place = reduce(lambda rest, k: F.when(F.col(name) == F.lit(grid[name][k]), k).otherwise(rest), range(len(grid[name])), F.lit(None))
+        number = number * len(grid[name]) + place
+    return results.withColumn("candidate", number.cast("int"))
 
-def best_grid_point(results: DataFrame, params: Sequence[str], metric: str = "mean_test_f1") -> DataFrame:
-    """The candidate with the highest mean; on ties the first in parameter order."""
-    return top_grid_points(results, params, 1, metric)
+
+def top_grid_points(
+    results: DataFrame, n: int = 2, metric: str = "mean_test_f1", candidate: str = "candidate"
+) -> DataFrame:
+    """The ``n`` candidates with the highest mean; on ties the smaller candidate number."""
+    return results.orderBy(F.col(metric).desc_nulls_last(), candidate).limit(n)
+
+
+def best_grid_point(results: DataFrame, metric: str = "mean_test_f1", candidate: str = "candidate") -> DataFrame:
+    """The candidate with the highest mean; on ties the first candidate."""
+    return top_grid_points(results, 1, metric, candidate)
 
 
 def best_checkpoint(epochs: DataFrame, run: str = "run_id", epoch: str = "epoch", metric: str = "f1") -> DataFrame:

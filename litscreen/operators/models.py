@@ -201,8 +201,9 @@ def refit_and_test(train: DataFrame, test: DataFrame, text: str, label: str, spe
 
 
 def candidates(base: TextModel, grid: Mapping[str, Sequence]) -> list[TextModel]:
-    """Every combination of the grid, the last parameter changing fastest."""
-    return [replace(base, **dict(zip(grid, values))) for values in product(*grid.values())]
+    """Every combination of the grid: parameters by name, the last one changing fastest."""
+    names = sorted(grid)
+    return [replace(base, **dict(zip(names, values))) for values in product(*(grid[n] for n in names))]
 
 
 def _fold_vocabularies(tokens: DataFrame, n_folds: int, max_features: int) -> list[list[tuple[str, int]]]:
@@ -271,12 +272,14 @@ def grid_search(
 
     Texts are tokenised once per set of text options and term counts are taken
     once for all folds; features are kept per fold while its candidates are
-    fitted. The results have mean and population std of the test metrics and
-    the mean F1 on the training rows per candidate.
+    fitted. The results have, per numbered candidate, mean and population std
+    of the test metrics and the mean F1 on the training rows. Of equal
+    candidates the first wins.
     """
     require_columns(train, [text, label, "fold"])
     specs = candidates(base, grid)
-    names = list(grid)
+    names = sorted(grid)
+    number = {tuple(getattr(s, n) for n in names): i for i, s in enumerate(specs)}
     by_text: dict = {}
     for spec in specs:
         by_text.setdefault(spec.text_options(), []).append(spec)
@@ -292,11 +295,12 @@ def grid_search(
         finally:
             tokens.unpersist()
     # one small record per candidate and fold
+    records = [{"candidate": number[tuple(r[n] for n in names)], **r} for r in records]
     table = train.sparkSession.createDataFrame([tuple(r.values()) for r in records], list(records[0])).coalesce(1)
-    results = grid_results(table, names, ["f1", "precision", "recall"]).join(
-        table.groupBy(*names).agg(F.avg("train_f1").alias("mean_train_f1")), names
+    results = grid_results(table, ["candidate", *names], ["f1", "precision", "recall"]).join(
+        table.groupBy("candidate").agg(F.avg("train_f1").alias("mean_train_f1")), "candidate"
     )
-    winner = best_grid_point(results, names).first()
+    winner = best_grid_point(results).first()
     best = replace(base, **{name: winner[name] for name in names})
     return results, best, fit_text_model(train, text, label, best)
 

@@ -31,9 +31,9 @@ def _list_text(refs):
     "decode_list_literal",
     v.with_views(
         _LISTS,
-        """SELECT w.pmid, array_to_string(w.refs, '|') AS refs,
+        """SELECT coalesce(w.pmid, e.vec_id) AS pmid, array_to_string(w.refs, '|') AS refs,
                   round(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE))), 6) AS loss_sum
-           FROM work_lists w JOIN embeddings e ON w.pmid = e.vec_id""",
+           FROM work_lists w FULL JOIN embeddings e ON w.pmid = e.vec_id""",
     ),
 )
 def decode_list_literal(spark, d):
@@ -43,7 +43,7 @@ def decode_list_literal(spark, d):
         F.col("vec_id").alias("pmid"), F.concat(F.lit("["), F.array_join(floats, ", "), F.lit("]")).alias("losses")
     )
     total = F.aggregate(decode_list(F.col("losses"), "double"), F.lit(0.0), lambda acc, x: acc + x)
-    return lists.join(losses, "pmid").select(
+    return lists.join(losses, "pmid", "full").select(
         "pmid",
         F.array_join(decode_list(F.col("refs")), "|").alias("refs"),
         F.round(total, 6).alias("loss_sum"),
@@ -117,19 +117,42 @@ def normalise_doi(spark, d):
 _KNOWN = """known AS (SELECT openalex_id, pmid FROM lookup WHERE pmid IS NOT NULL
                       QUALIFY row_number() OVER (PARTITION BY openalex_id ORDER BY seq DESC) = 1)"""
 _MAPPED = f"""{_KNOWN},
-    mapped AS (SELECT w.pmid, list(k.pmid ORDER BY m.pos) FILTER (WHERE k.pmid IS NOT NULL) AS pmids
-               FROM work_lists w LEFT JOIN work_members m ON w.pmid = m.vec_id
+    mapped AS (SELECT w.pmid, list(k.pmid ORDER BY m.pos, m.part) FILTER (WHERE k.pmid IS NOT NULL) AS pmids
+               FROM work_lists w LEFT JOIN work_members m ON w.pmid = m.work
                LEFT JOIN known k ON k.openalex_id = 'W' || m.part GROUP BY w.pmid)"""
 
 
 @query(
     "map_references",
     v.with_views(
-        f"{_LISTS} lookup", f", {_MAPPED} SELECT pmid, coalesce(array_to_string(pmids, '|'), '') AS pmids FROM mapped"
+        f"{_LISTS} lookup",
+        """, works AS (
+            SELECT row_number() OVER () AS r, pmid, refs
+            FROM (SELECT pmid, refs FROM work_lists UNION ALL SELECT NULL, refs FROM work_lists
+                  UNION ALL SELECT pmid, list_reverse(refs) FROM work_lists WHERE len(refs) > 3)),
+        doubled AS (
+            SELECT openalex_id, pmid, seq FROM lookup UNION ALL
+            SELECT openalex_id, CASE WHEN seq % 10 <> 0 THEN CAST(seq + 500000 AS VARCHAR) END, seq + 10000000
+            FROM lookup WHERE seq % 5 = 0),
+        known AS (SELECT openalex_id, pmid FROM doubled WHERE pmid IS NOT NULL
+                  QUALIFY row_number() OVER (PARTITION BY openalex_id ORDER BY seq DESC) = 1),
+        members AS (SELECT r, i, refs[i] AS ref FROM (SELECT r, refs, unnest(range(1, len(refs) + 1)) AS i FROM works)),
+        mapped AS (SELECT r, string_agg(k.pmid, '|' ORDER BY i) AS pmids
+                   FROM members JOIN known k ON k.openalex_id = ref GROUP BY r)
+        SELECT works.pmid, coalesce(pmids, '') AS pmids FROM works LEFT JOIN mapped USING (r)""",
     ),
 )
 def map_references(spark, d):
-    mapped = ct.map_references(v.work_lists(spark, d), v.lookup(spark, d))
+    """Lists under repeated and null keys, and a lookup that has ids twice."""
+    lists, lookup = v.work_lists(spark, d), v.lookup(spark, d).select("openalex_id", "pmid", "seq")
+    unnamed = lists.select(F.lit(None).cast("long").alias("pmid"), "refs")
+    again = lists.where(F.size("refs") > 3).select("pmid", F.reverse("refs").alias("refs"))
+    later = lookup.where("seq % 5 = 0").select(
+        "openalex_id",
+        F.when(F.col("seq") % 10 != 0, (F.col("seq") + 500000).cast("string")).alias("pmid"),
+        F.col("seq") + 10000000,
+    )
+    mapped = ct.map_references(lists.union(unnamed).union(again), lookup.union(later))
     return mapped.select("pmid", F.array_join("pmids", "|").alias("pmids"))
 
 
@@ -153,17 +176,14 @@ def num_refs(spark, d):
 # the second reference table: the same lists under ids that are partly missing or malformed
 _BY_WORK = """by_work AS (SELECT CASE e.label WHEN 3 THEN NULL WHEN 5 THEN 'PMC' || e.vec_id
                                  ELSE CAST(e.vec_id * 2 AS VARCHAR) END AS pmid_text, e.vec_id AS seq
-                          FROM embeddings e)"""
+                          FROM (SELECT pmid AS vec_id, pmid % 10 AS label FROM work_lists) e)"""
 
 
 def _by_work(spark, d):
-    label = F.col("label")
-    pmid = F.when(label == 5, F.concat(F.lit("PMC"), "vec_id")).when(
-        label != 3, (F.col("vec_id") * 2).cast("string")
-    )
-    ids = v.table(spark, d, "embeddings").select(F.col("vec_id").alias("seq"), pmid.alias("pmid"))
-    lists = v.work_lists(spark, d).withColumnRenamed("pmid", "seq")
-    return ids.join(lists, "seq")
+    work = F.col("pmid")
+    kind = work % 10
+    pmid = F.when(kind == 5, F.concat(F.lit("PMC"), work)).when(kind != 3, (work * 2).cast("string"))
+    return v.work_lists(spark, d).select(work.alias("seq"), pmid.alias("pmid"), "refs")
 
 
 _CLEAN = f"""{_MAPPED}, {_BY_WORK},
@@ -336,11 +356,11 @@ def parse_work_refs(spark, d):
                   CASE WHEN label NOT IN (2, 4, 6) THEN CAST(e.vec_id + 100000 AS VARCHAR) END AS pmid,
                   CASE WHEN label NOT IN (4, 6) THEN 'https://doi.org/10.1/' || e.vec_id END AS doi,
                   CASE WHEN label IN (4, 6) THEN '' ELSE array_to_string(refs, '|') END AS refs
-           FROM embeddings e JOIN work_lists w ON e.vec_id = w.pmid""",
+           FROM (SELECT pmid AS vec_id, pmid % 10 AS label, refs FROM work_lists) e""",
     ),
 )
 def parse_works(spark, d):
-    works = v.work_lists(spark, d).withColumnRenamed("pmid", "vec_id")
+    works = v.work_lists(spark, d).select(F.col("pmid").alias("vec_id"), (F.col("pmid") % 10).alias("label"), "refs")
     label = F.col("label")
     pmid = F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), F.col("vec_id") + 100000)
     doi = F.concat(F.lit("https://doi.org/10.1/"), "vec_id")
@@ -352,7 +372,7 @@ def parse_works(spark, d):
         )
     )
     null_ids = F.concat(F.lit('{"ids": null, "doi": "'), doi, F.lit('"}'))
-    landed = v.table(spark, d, "embeddings").join(works, "vec_id").select(
+    landed = works.select(
         F.concat(F.lit("W"), "vec_id").alias("openalex_id"),
         F.when(label == 4, null_ids).when(label == 6, F.lit("not json")).otherwise(whole).alias("payload"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from litscreen.functions.labels import map_values
 from litscreen.operators import columns as cols
 from litscreen.operators import experiments as ex
+from litscreen.operators.models import COUNT_GRID
 from litscreen.plans import views as v
 from litscreen.plans.registry import query
 from litscreen.session import scratch_path
@@ -251,17 +252,27 @@ def select_grid_point(spark, d):
     return ex.select_grid_point(_grid(spark, d), point, ["C", "mean_test_f1", "std_test_f1"])
 
 
-_GRID_ORDER = "mean_test_f1 DESC, " + ", ".join(_PARAMS)
+# means rounded to tie; the candidates are numbered as the search makes them, some parameters in falling order
+_NUMBERED = f"""{_GRID},
+    numbered AS (SELECT * REPLACE (round(mean_test_f1) AS mean_test_f1), CAST(
+        CASE C WHEN 0.1 THEN 0 WHEN 1 THEN 16 ELSE 32 END + CASE max_features WHEN 2000 THEN 0 ELSE 8 END
+        + (ngram_max - 1) * 4 + CASE WHEN remove_digits THEN 0 ELSE 2 END + CASE WHEN remove_punct THEN 0 ELSE 1 END
+        AS INTEGER) AS candidate FROM results)"""
+_GRID_ORDER = "mean_test_f1 DESC, candidate"
 
 
-@query("top_grid_points", f"WITH {_GRID} SELECT * FROM results ORDER BY {_GRID_ORDER} LIMIT 2")
+def _numbered(spark, d):
+    return ex.number_candidates(_grid(spark, d), COUNT_GRID).withColumn("mean_test_f1", F.round("mean_test_f1"))
+
+
+@query("top_grid_points", f"WITH {_NUMBERED} SELECT * FROM numbered ORDER BY {_GRID_ORDER} LIMIT 2")
 def top_grid_points(spark, d):
-    return ex.top_grid_points(_grid(spark, d), _PARAMS)
+    return ex.top_grid_points(_numbered(spark, d))
 
 
-@query("best_grid_point", f"WITH {_GRID} SELECT * FROM results ORDER BY {_GRID_ORDER} LIMIT 1")
+@query("best_grid_point", f"WITH {_NUMBERED} SELECT * FROM numbered ORDER BY {_GRID_ORDER} LIMIT 1")
 def best_grid_point(spark, d):
-    return ex.best_grid_point(_grid(spark, d), _PARAMS)
+    return ex.best_grid_point(_numbered(spark, d))
 
 
 @query(

@@ -57,16 +57,14 @@ SQL_VIEWS = {
     "edges": """
         SELECT o_orderkey AS pmid, l_linenumber AS pos, concat('W', l_partkey) AS ref
         FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
-    # works with a list of referenced ids: the members above a limit, scaled to an id
+    # works with a list of referenced ids: orders with their parts; some works have none
     "work_members": """
-        SELECT vec_id, i AS pos,
-               CAST(floor(CAST(embedding[i] AS DOUBLE) * 5000) AS BIGINT) AS part
-        FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)
-        WHERE embedding[i] > 0.15""",
+        SELECT o_orderkey AS work, l_linenumber AS pos, l_partkey AS part
+        FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 6 <> 0""",
     "work_lists": """
-        SELECT e.vec_id AS pmid,
-               coalesce(list('W' || m.part ORDER BY m.pos) FILTER (WHERE m.part IS NOT NULL), []) AS refs
-        FROM embeddings e LEFT JOIN work_members m ON e.vec_id = m.vec_id GROUP BY e.vec_id""",
+        SELECT o_orderkey AS pmid,
+               coalesce(list('W' || m.part ORDER BY m.pos, m.part) FILTER (WHERE m.part IS NOT NULL), []) AS refs
+        FROM orders LEFT JOIN work_members m ON o_orderkey = m.work GROUP BY o_orderkey""",
     # ---- experiment runs
     "runs": """
         SELECT l_orderkey * 10 + l_linenumber AS run_id,
@@ -159,11 +157,12 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 def work_lists(spark: SparkSession, d: str) -> DataFrame:
     """Works with a list cell of referenced ids: ``pmid, refs``."""
-    members = F.filter("embedding", lambda x: x > F.lit(0.15).cast("float"))
-    ids = F.transform(
-        members, lambda x: F.concat(F.lit("W"), F.floor(x.cast("double") * 5000).cast("string"))
-    )
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("pmid"), ids.alias("refs"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey").alias("member"))
+    cited = F.when(F.col("o_orderkey") % 6 != 0, F.col("o_orderkey")) == F.col("l_orderkey")
+    members = table(spark, d, "orders").join(lines, cited, "left").groupBy("o_orderkey")
+    lists = members.agg(F.sort_array(F.collect_list("member")).alias("members"))
+    ids = F.transform("members", lambda m: F.concat(F.lit("W"), m["l_partkey"]))
+    return lists.select(F.col("o_orderkey").alias("pmid"), ids.alias("refs"))
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:

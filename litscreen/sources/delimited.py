@@ -79,6 +79,40 @@ def load_id_list(df: DataFrame, column: str, warn: bool = False) -> tuple[DataFr
     return ids, duplicates
 
 
+# A member of a list literal: a quoted text or a bare word or number.
+_MEMBER = r"""'(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+"|[^\s,\[\]'"]++"""
+# Bare words and what they are in JSON.
+_BARE = {"None": "null", "nan": "NaN", "inf": "Infinity", "-inf": "-Infinity", "True": "true", "False": "false"}
+
+
+def _json_member(member: Column) -> Column:
+    """A quoted member as a JSON text (``\\xHH`` and ``\\'`` are no JSON escapes), a bare one in JSON's words."""
+    inner = F.substring(member, F.lit(2), F.length(member) - 2)
+    plain = F.replace(inner, F.lit("\\\\"), F.lit("\ue000"))  # escaped backslashes out of the way
+    plain = F.regexp_replace(plain, r"\\x([0-9a-fA-F]{2})", r"\\u00$1")
+    plain = F.replace(F.replace(plain, F.lit("\\'"), F.lit("'")), F.lit('\\"'), F.lit('"'))
+    plain = F.replace(F.replace(plain, F.lit('"'), F.lit('\\"')), F.lit("\ue000"), F.lit("\\\\"))
+    bare = member
+    for word, json in _BARE.items():
+        bare = F.when(member == word, json).otherwise(bare)
+    return F.when(member.rlike("^['\"]"), F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(bare)
+
+
 def decode_list_literal(col: Column, element: str = "string") -> Column:
-    """A list written as text (single or double quotes) as an array; NULL if it is none."""
-    return F.from_json(col, f"array<{element}>", {"allowSingleQuotes": "true"})
+    """A list written as text (quotes of either kind, ``None``, ``nan``, ``inf``, escapes) as an array; NULL if it is none."""
+    shape = F.regexp_replace(F.regexp_replace(col, _MEMBER, "x"), r"\s+", "")
+    is_list = F.replace(shape, F.lit(",x"), F.lit("")).isin("[]", "[x]", "[x,]")
+    members = F.transform(F.regexp_extract_all(col, F.lit(_MEMBER), F.lit(0)), _json_member)
+    json = F.concat(F.lit("["), F.array_join(members, ","), F.lit("]"))
+    return F.when(is_list, F.from_json(json, f"array<{element}>"))
+
+
+def decode_lists(df: DataFrame, column: str, output: str, element: str = "string") -> tuple[DataFrame, DataFrame]:
+    """``(decoded, rejects)``: rows with their list in ``output``, and rows whose text is no list.
+
+    A NULL text is no reject: its list is NULL.
+    """
+    require_columns(df, [column])
+    decoded = df.withColumn(output, decode_list_literal(F.col(column), element))
+    failed = F.col(column).isNotNull() & F.col(output).isNull()
+    return decoded.where(~failed), decoded.where(failed).drop(output)

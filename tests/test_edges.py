@@ -217,6 +217,17 @@ def test_decode_list_literal(spark):
     assert column_of(spark, cells, delimited.decode_list_literal) == [[], ["W1", "W2"], ["W1"], None, None, None, ["a"]]
     floats = ["[0.1, 2e-05]", "[1]", "[]"]
     assert column_of(spark, floats, lambda c: delimited.decode_list_literal(c, "double")) == [[0.1, 2e-05], [1.0], []]
+    odd = ["['a', None]", r"""['x\xa0y', 'it\'s', "it's"]""", """['None, "b"', ]""", r"['c\\x41', 'd\\']", "['a' 'b']", "['a'"]
+    expected = [["a", None], ["x\xa0y", "it's", "it's"], ['None, "b"'], [r"c\x41", "d\\"], None, None]
+    assert column_of(spark, odd, delimited.decode_list_literal) == expected
+    losses = column_of(spark, ["[nan, 1.5, inf, -inf, None]"], lambda c: delimited.decode_list_literal(c, "double"))[0]
+    assert str(losses) == "[nan, 1.5, inf, -inf, None]"
+    long = "[" + ", ".join(f"'W{i}'" for i in range(50_000)) + "]"
+    assert len(column_of(spark, [long], delimited.decode_list_literal)[0]) == 50_000
+    df = spark.createDataFrame([(1, "['a']"), (2, "x y"), (3, None)], "id int, t string")
+    decoded, rejects = delimited.decode_lists(df, "t", "l")
+    assert [tuple(r) for r in decoded.orderBy("id").collect()] == [(1, "['a']", ["a"]), (3, None, None)]
+    assert [tuple(r) for r in rejects.collect()] == [(2, "x y")]
 
 
 def test_parse_works(spark):
@@ -479,9 +490,12 @@ def test_boxplot(spark):
 def test_best_rows_on_ties(spark):
     epochs = spark.createDataFrame([("r", 1, 0.4), ("r", 2, 0.8), ("r", 3, 0.8), ("s", 1, None)], "run_id string, epoch int, f1 double")
     assert {r["run_id"]: r["epoch"] for r in ex.best_checkpoint(epochs).collect()} == {"r": 2, "s": 1}
-    results = spark.createDataFrame([(10.0, 0.5), (0.1, 0.9), (1.0, 0.9)], "C double, mean_test_f1 double")
-    assert ex.best_grid_point(results, ["C"]).first()["C"] == 0.1
-    assert values(ex.top_grid_points(results, ["C"])) == [0.1, 1.0]
+    results = spark.createDataFrame([(10.0, False, 0.5), (0.1, False, 0.9), (0.1, True, 0.9), (1.0, True, 0.9)], "C double, d boolean, mean_test_f1 double")
+    numbered = ex.number_candidates(results, {"d": [True, False], "C": [0.1, 1.0, 10.0]})
+    assert [r["candidate"] for r in numbered.collect()] == [5, 1, 0, 2]
+    # equal means: the first candidate, not the smaller parameter value
+    assert tuple(ex.best_grid_point(numbered).first())[:2] == (0.1, True)
+    assert [r["candidate"] for r in ex.top_grid_points(numbered).collect()] == [0, 1]
 
 
 def test_loss_curves(spark):
