@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from litscreen.functions import markup
 from litscreen.plans import views as v
 from litscreen.plans.registry import query
+from litscreen.session import scratch_path
 from litscreen.sources.pubmed_xml import parse_pubmed_xml as parse
+from litscreen.sources.pubmed_xml import read_pubmed_xml
 
 _SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
 
@@ -25,7 +27,7 @@ def _tag(name, content, attributes=""):
 def _landed(spark, d):
     """One ``PubmedArticle`` per document: two abstract parts, nested tags, doubly coded entities.
 
-    German titles carry a numbered entity, so that they take the full parse.
+    German titles carry a numbered entity.
     The numbers in a text are its references.
     """
     doc = v.table(spark, d, "documents")
@@ -94,7 +96,10 @@ _REFERENCES = "array_to_string(regexp_extract_all(text, '[0-9]+'), '|')"
                {_AUTHORS} AS Authors, source AS Journal, {_REFERENCES} AS "References" FROM documents""",
 )
 def parse_pubmed_xml(spark, d):
-    articles = _articles(spark, d)
+    """Through landed files: the payloads are written as text and read as article files."""
+    path = scratch_path(spark, "pubmed")
+    _landed(spark, d).write.text(path)
+    articles = parse(read_pubmed_xml(spark, path))[0]
     return articles.withColumns({c: F.array_join(c, "|") for c in ("Authors", "References")})
 
 

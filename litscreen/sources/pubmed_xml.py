@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litscreen.functions.markup import ARTICLE_TYPE, parsed_article
+from litscreen.functions import markup
 
 _ARTICLE_END = "</PubmedArticle>"
+ARTICLE_COLUMNS = ("PMID", "Title", "Abstract", "Authors", "Journal", "References")
 
 
 def read_pubmed_xml(spark: SparkSession, path: str) -> DataFrame:
@@ -23,13 +24,32 @@ def read_pubmed_xml(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def parse_pubmed_xml(df: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
-    """``(articles, rejected)`` of landed ``PubmedArticle`` payloads.
+def mark_pubmed_xml(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """Add ``PMID, Title, Abstract, Authors, Journal, References`` and ``rejected`` in one pass.
 
-    Articles have ``PMID, Title, Abstract, Authors, Journal, References``. A
-    payload that is no XML or has no citation with an article is rejected.
+    A payload that is no XML or has no citation with an article is rejected;
+    its fields are NULL. Every field is an expression of its own, so that only
+    the fields that are used are computed.
     """
-    parsed = df.withColumn("_article", parsed_article(F.col(payload)))
-    readable = F.col("_article.Title").isNotNull()
-    articles = parsed.where(readable).select(*[F.col(f"_article.{name}").alias(name) for name in ARTICLE_TYPE.names])
-    return articles, parsed.where(~readable).drop("_article")
+    text = F.col(payload)
+    cited = df.withColumn("_cited", markup.citation(text)).withColumn("_found", markup.is_article(F.col("_cited")))
+    # XPath only sees payloads that have been read without an error
+    seen = cited.withColumn("_marked", F.when(F.col("_found"), markup.marked_text(text)))
+    article = F.col("_cited.MedlineCitation.Article")
+    fields = {
+        "PMID": F.col("_cited.MedlineCitation.PMID._VALUE"),
+        "Title": markup.title_text(F.col("_marked")),
+        "Abstract": markup.abstract_text(F.col("_marked")),
+        "Authors": F.when(F.col("_found"), markup.author_names(F.col("_cited"))),
+        "Journal": F.when(F.col("_found"), F.coalesce(article["Journal"]["Title"], F.lit(""))),
+        "References": F.when(F.col("_found"), markup.reference_ids(text)),
+        "rejected": ~F.col("_found"),
+    }
+    return seen.withColumns(fields).drop("_cited", "_found", "_marked")
+
+
+def parse_pubmed_xml(df: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """``(articles, rejected)`` of landed ``PubmedArticle`` payloads, see :func:`mark_pubmed_xml`."""
+    marked = mark_pubmed_xml(df, payload)
+    articles = marked.where(~F.col("rejected")).select(*ARTICLE_COLUMNS)
+    return articles, marked.where("rejected").select(*df.columns)
