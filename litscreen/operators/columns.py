@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from litscreen.functions.labels import whole_id
 from litscreen.operators.checks import require_columns
+from litscreen.operators.enrich import left_join_known
 
 
 def reduce_columns(df: DataFrame, keep: Sequence[str], drop_duplicates: bool = False) -> DataFrame:
@@ -53,9 +54,17 @@ def model_input_columns(df: DataFrame) -> DataFrame:
     return df.select("input_ids", "attention_mask", *labels)
 
 
-def replace_ids(df: DataFrame, column: str, corrections: Mapping[str, str]) -> DataFrame:
-    """Literal corrections of single ids; all other values stay."""
-    return df.replace(dict(corrections), subset=[column])
+def replace_ids(df: DataFrame, column: str, corrections: Mapping[str, str] | DataFrame) -> DataFrame:
+    """Corrections of single ids; all other values stay.
+
+    A mapping is for a handful of literals. A table ``old, new`` of any size is
+    joined; of an id that it has twice the smallest correction counts.
+    """
+    if not isinstance(corrections, DataFrame):
+        return df.replace(dict(corrections), subset=[column])
+    known = corrections.where("old IS NOT NULL").groupBy(F.col("old").alias("_old")).agg(F.min("new").alias("_new"))
+    keyed = left_join_known(df.withColumn("_old", F.col(column)), known, "_old")
+    return keyed.withColumn(column, F.coalesce("_new", column)).select(*df.columns)
 
 
 def fill_flag(df: DataFrame, column: str) -> DataFrame:

@@ -94,6 +94,24 @@ def replace_ids(spark, d):
     return cols.replace_ids(v.table(spark, d, "part").select("p_partkey", "p_brand"), "p_brand", _SMALL_CORRECTIONS)
 
 
+@query(
+    "replace_ids_table",
+    """SELECT l_orderkey, l_linenumber,
+              coalesce(c.new, 'W' || l_partkey) AS ref
+       FROM lineitem LEFT JOIN (
+            SELECT 'W' || p_partkey AS old, 'X' || p_partkey AS new FROM part WHERE p_size = 13) c
+         ON c.old = 'W' || l_partkey""",
+)
+def replace_ids_table(spark, d):
+    """Corrections from a table that has every id twice."""
+    part, line = v.table(spark, d, "part").where("p_size = 13"), v.table(spark, d, "lineitem")
+    old = F.concat(F.lit("W"), "p_partkey").alias("old")
+    corrections = part.select(old, F.concat(F.lit("X"), "p_partkey").alias("new"))
+    later = part.select(old, F.concat(F.lit("Y"), "p_partkey").alias("new"))
+    refs = line.select("l_orderkey", "l_linenumber", F.concat(F.lit("W"), "l_partkey").alias("ref"))
+    return cols.replace_ids(refs, "ref", corrections.union(later))
+
+
 @query(
     "numeric_id",
     v.with_views("lookup", "SELECT openalex_id, CAST(TRY_CAST(pmid AS DOUBLE) AS BIGINT) AS pmid FROM lookup"),

@@ -12,10 +12,12 @@ from functools import reduce
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from litscreen.functions import text as tx
 from litscreen.functions.labels import threshold_label as at_threshold
 from litscreen.operators import models as md
 from litscreen.operators import splits as sp
 from litscreen.operators.scoring import predict_labels
+from litscreen.plans import screening
 from litscreen.plans import views as v
 from litscreen.plans.registry import query
 from litscreen.plans.texts import LEMMAS
@@ -88,6 +90,18 @@ def cv_run(spark, d):
     return log.read_runs(spark, path)
 
 
+@query("experiment_run")
+def experiment_run(spark, d):
+    """From articles with labels to one record in the run log, read again."""
+    rows = v.table(spark, d, "documents").join(v.labelled(spark, d).select("doc_id", "label"), "doc_id")
+    title = F.substring_index("text", "\n", 1)
+    text = tx.mark_keywords(tx.compose_input_text(title, F.col("source"), F.col("text")), ["the", "de"])
+    path = scratch_path(spark, "experiment-runs")
+    settings = {"max_features": _SPEC.max_features, "C": _SPEC.C}
+    screening.experiment_run(rows.select("doc_id", "label", text.alias("text")), "doc_id", "text", "label", _SPEC, path, settings)
+    return log.read_runs(spark, path)
+
+
 @query("refit_and_test")
 def refit_and_test(spark, d):
     train, test = _train_test(spark, d)

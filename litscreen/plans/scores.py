@@ -12,17 +12,19 @@ from litscreen.operators import metrics as mt
 from litscreen.operators.scoring import batch_predict
 from litscreen.plans import views as v
 from litscreen.plans.registry import query
+from litscreen.plans.screening import write_predictions
+from litscreen.session import scratch_path
+from litscreen.sources import delimited
 
 
 def _scored(spark, d):
     return v.scores(spark, d).withColumn("predicted_label", argmax_label(F.col("logits")))
 
 
-@query("argmax_label", """SELECT vec_id, CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INTEGER)
+@query("argmax_label", """SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER)
                           AS predicted_label FROM embeddings""")
 def argmax_label_query(spark, d):
-    logits = F.slice("embedding", 1, 10)
-    return v.table(spark, d, "embeddings").select("vec_id", argmax_label(logits).alias("predicted_label"))
+    return v.table(spark, d, "embeddings").select("vec_id", argmax_label(F.col("embedding")).alias("predicted_label"))
 
 
 @query(
@@ -100,7 +102,7 @@ def prefix_metrics(spark, d):
 
 @query(
     "classification_report",
-    """WITH s AS (SELECT label AS l, CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INTEGER) AS p
+    """WITH s AS (SELECT label AS l, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS p
                   FROM embeddings),
         classes AS (SELECT l AS c FROM s UNION SELECT p FROM s),
         counts AS (SELECT c, (SELECT count(*) FROM s WHERE l = c) AS actual, (SELECT count(*) FROM s WHERE p = c) AS predicted,
@@ -118,7 +120,7 @@ def prefix_metrics(spark, d):
                CAST(support AS BIGINT) AS support FROM report""",
 )
 def classification_report(spark, d):
-    scored = v.table(spark, d, "embeddings").select("label", argmax_label(F.slice("embedding", 1, 10)).alias("p"))
+    scored = v.table(spark, d, "embeddings").select("label", argmax_label(F.col("embedding")).alias("p"))
     return _rounded(mt.classification_report(scored, "label", "p"))
 
 
@@ -154,3 +156,26 @@ def _halves_model():
 )
 def batch_predict_query(spark, d):
     return batch_predict(v.table(spark, d, "embeddings"), "vec_id", "embedding", _halves_model, width=64)
+
+
+@query(
+    "write_predictions",
+    """WITH z AS (SELECT vec_id, list_sum(list_transform(embedding[1:32], lambda x: CAST(x AS DOUBLE))) AS z0,
+                         list_sum(list_transform(embedding[33:64], lambda x: CAST(x AS DOUBLE))) AS z1 FROM embeddings),
+            p AS (SELECT vec_id, CAST(CASE WHEN z1 > z0 THEN 1 ELSE 0 END AS INTEGER) AS predicted_label FROM z)
+       SELECT 'all' AS part, vec_id, predicted_label FROM p
+       UNION ALL SELECT 'positives', vec_id, predicted_label FROM p WHERE predicted_label = 1""",
+)
+def write_predictions_query(spark, d):
+    """The end of the deployment: predictions and their positives, written and read again."""
+    rows = v.table(spark, d, "embeddings")
+    scored = batch_predict(rows, "vec_id", "embedding", _halves_model, width=64)
+    folder = scratch_path(spark, "predictions")
+    paths = write_predictions(scored, folder)
+    parts = [
+        delimited.read_delimited(spark, path, "vec_id bigint, predicted_label int", multi_line=False).select(
+            F.lit(name).alias("part"), "vec_id", "predicted_label"
+        )
+        for name, path in paths.items()
+    ]
+    return parts[0].unionByName(parts[1])

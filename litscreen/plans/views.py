@@ -93,12 +93,12 @@ SQL_VIEWS = {
         FROM embeddings""",
     # ---- predictions
     "scores": """
-        SELECT vec_id, CAST(label % 2 AS INTEGER) AS labels,
-               CAST(embedding[1] AS DOUBLE) AS z0, CAST(embedding[2] AS DOUBLE) AS z1,
-               CAST(CASE WHEN embedding[2] > embedding[1] THEN 1 ELSE 0 END AS INTEGER) AS predicted_label,
+        SELECT vec_id, labels, z0, z1, CAST(CASE WHEN z1 > z0 THEN 1 ELSE 0 END AS INTEGER) AS predicted_label,
                CASE WHEN md5(CAST(vec_id AS VARCHAR)) < 'b' THEN 'train'
                     WHEN md5(CAST(vec_id AS VARCHAR)) < 'd' THEN 'val' ELSE 'test' END AS split
-        FROM embeddings""",
+        FROM (SELECT vec_id, CAST(label % 2 AS INTEGER) AS labels,
+                     list_sum(list_transform(embedding[1:32], lambda x: CAST(x AS DOUBLE))) AS z0,
+                     list_sum(list_transform(embedding[33:64], lambda x: CAST(x AS DOUBLE))) AS z1 FROM embeddings)""",
 }
 
 
@@ -203,13 +203,17 @@ def loss_runs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda total, x: total + x.cast("double"))
+
+
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    """Binary logits with labels and split: ``vec_id, labels, logits, split``."""
+    """Binary logits, the sums of the two halves of the vectors: ``vec_id, labels, logits, split``."""
     digest = F.md5(F.col("vec_id").cast("string"))
     split = F.when(digest < "b", "train").when(digest < "d", "val").otherwise("test")
     return table(spark, d, "embeddings").select(
         "vec_id",
         (F.col("label") % 2).alias("labels"),
-        F.slice("embedding", 1, 2).cast("array<double>").alias("logits"),
+        F.array(_total(F.slice("embedding", 1, 32)), _total(F.slice("embedding", 33, 32))).alias("logits"),
         split.alias("split"),
     )

@@ -32,13 +32,16 @@ def _separator(path: str) -> str:
     return "\t" if path.lower().endswith(TAB_EXTENSIONS) else ","
 
 
-def read_delimited(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Read a delimited file (or a folder of them) with header and quoted line breaks.
-
-    Without ``schema`` every column is read as string. A file with quoted line
-    breaks is parsed by one task, so land large tables as many files.
+def read_delimited(
+    spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True
+) -> DataFrame:
+    """Read a delimited file (or a folder of them) with header.
+
+    Without ``schema`` every column is read as string. With ``multi_line``
+    quoted values may hold line breaks, and each file is parsed by one task;
+    without it a record is a line, and a large file is split among many tasks.
     """
-    reader = spark.read.options(sep=_separator(path), multiLine=True, **_QUOTING)
+    reader = spark.read.options(sep=_separator(path), multiLine=multi_line, **_QUOTING)
     df = (reader.schema(schema) if schema else reader).csv(path)
     texts = {name for name, kind in df.dtypes if kind == "string"}
     return df.select(
@@ -49,9 +52,11 @@ def read_delimited(spark: SparkSession, path: str, schema: str | None = None) ->
     )
 
 
-def read_csv_index(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_csv_index(
+    spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True
+) -> DataFrame:
     """Read a file whose first column is a saved row index and leave that column out."""
-    df = read_delimited(spark, path, schema)
+    df = read_delimited(spark, path, schema, multi_line)
     return df.drop(df.columns[0])
 
 
