@@ -118,10 +118,13 @@ def _cut_points(keyed: DataFrame, buckets: DataFrame, cuts: dict) -> list[tuple]
     ranked = (
         keyed.withColumn("_bucket", _bucket())
         .join(F.broadcast(holding), ["_class", "_bucket"])
-        .withColumn("_rank", F.row_number().over(inside))
+        .withColumns({"_rank": F.row_number().over(inside), "_next": F.lead("_key").over(inside)})
         .where(F.col("_rank") == F.col("_rank_wanted"))
     )
-    return [tuple(row) for row in ranked.select("_class", "_cut", "_hash", "_key").collect()]
+    points = ranked.select("_class", "_cut", "_hash", "_key", (F.col("_next") == F.col("_key")).alias("_repeats")).collect()
+    if any(row["_repeats"] for row in points):
+        raise ValueError("the key does not identify the rows: it repeats at a cut")
+    return [tuple(row)[:4] for row in points]
 
 
 def _part_number(df: DataFrame, label: str | None, key: str, seed: int, points: list[tuple], cuts: dict) -> DataFrame:
@@ -176,7 +179,8 @@ def stratified_split(
     """Add ``split`` (``train``/``test``) with exact sizes overall and per class.
 
     ``key`` must identify the row. Raises ``ValueError`` if a class has fewer
-    than 2 rows, a side has fewer rows than classes, or a label is NULL.
+    than 2 rows, a side has fewer rows than classes, a label is NULL, or the
+    key repeats at a cut.
     """
 
     def cuts(counts: dict) -> dict:

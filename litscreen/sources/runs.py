@@ -19,11 +19,11 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 def collect_run_history(
     history: DataFrame, run: str, step: str, losses: list[str], part_size: int = 100_000
 ) -> DataFrame:
-    """Per run the loss vectors in step order, in parts of ``part_size`` steps.
+    """One row per run and part: the loss vectors in step order.
 
-    A run of usual length is one row (part 0); a very long one goes on in part
-    1, 2, ..., so that no cell grows without limit. Each vector leaves out the
-    steps where its loss was not logged.
+    Part ``k`` holds the steps from ``k * part_size`` up to the next part, so
+    that no cell grows without limit; a run whose steps start late starts with a
+    later part. Each vector leaves out the steps where its loss was not logged.
     """
     vectors = []
     for loss in losses:

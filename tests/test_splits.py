@@ -108,3 +108,9 @@ def test_errors(spark):
 def test_random_split(spark):
     got = counts(sp.random_split(table(spark, 1, 20), "id", 0.25), "split")
     assert got == {("test",): 6, ("train",): 15}
+
+
+def test_a_key_that_repeats_at_a_cut_is_an_error(spark):
+    df = spark.createDataFrame([(7, 0)] * 10, "id long, y int")
+    with pytest.raises(ValueError, match="repeats at a cut"):
+        sp.stratified_split(df, "y", "id", 0.5)
