@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litscreen.functions import text as tx
-from litscreen.functions.lookup import lookup_ids
+from litscreen.functions.lookup import lookup_ids, replace_members
 from litscreen.operators.lists import map_members
 
 # Ids of the encoder that are no words, in this order.
@@ -103,6 +103,11 @@ def lemmatise(df: DataFrame, column: str, lemmas: DataFrame, output: str = "lemm
     return words.withColumn(output, text).drop("_lemmas")
 
 
+def lemma_text(col: Column, table: Mapping[str, str]) -> Column:
+    """Text of lemmas from a list that is a model's parameter; :func:`lemmatise` takes a table."""
+    return F.array_join(replace_members(tx.words(col), table), " ")
+
+
 # ---- fixed-length ids -----------------------------------------------------------------------
 
 
