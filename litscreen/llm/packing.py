@@ -197,6 +197,13 @@ def _tokenizer(path: str | None) -> CachedTokenizer:
     return in_worker(f"tokenizer {path}", lambda: CachedTokenizer(path))
 
 
+def _small_batches(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few ids are held at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def tokenize_pieces(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -220,7 +227,7 @@ def tokenize_pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
         end = np.array([end_id], "<u4")
-        for batch in batches:
+        for batch in _small_batches(batches):
             texts = [b"" if t is None else t.encode() for t in batch.column("text").to_pylist()]
             at, piece, start, length, crc, data = [], [], [], [], [], []
             for i, ids in enumerate(tokenizer.encode_all(texts)):
@@ -258,11 +265,14 @@ def pack_documents(docs: DataFrame, with_ids: bool = True, **options) -> DataFra
     """``tokenize_pieces`` with the place of every piece: ``sequence_id`` and ``offset``.
 
     Texts are tokenised once; their pieces are stored below the shared
-    checkpoint folder. An empty table gives no rows.
+    checkpoint folder. Places are found without the ids. An empty table gives no rows.
     """
     pieces = tokenize_pieces(docs, with_ids=with_ids, **options)
     pieces = stored(pieces if with_ids else pieces.drop("ids"), "pieces")
-    return pack_pieces(pieces, options.get("capacity", CAPACITY)).drop("row")
+    placed = pack_pieces(pieces.drop("ids"), options.get("capacity", CAPACITY))
+    if with_ids:  # ids are shuffled once, to their places
+        placed = placed.join(pieces.select("row", "piece", "ids"), ["row", "piece"])
+    return placed.drop("row")
 
 
 def op10_packing(spark, sf_dir):

@@ -16,9 +16,9 @@ from collections.abc import Callable
 
 import numpy as np
 
-SLOTS = 1 << 21  # of the cache
-POOL = 1 << 24  # token ids that the cache holds at most
-SEGMENT = 1 << 21  # bytes that are worked on at a time
+SLOTS = 1 << 20  # of the cache
+POOL = 1 << 22  # token ids that the cache holds at most
+SEGMENT = 1 << 20  # bytes that are worked on at a time
 _STEP = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 #: first bytes of white space other than the blank
 _MAYBE_SPACE = np.isin(np.arange(256), [*range(9, 14), *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3])
@@ -124,7 +124,7 @@ class CachedTokenizer:
             sums = (sums ^ (sums >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + led
             hashes.append(sums ^ (sums >> np.uint64(32)))
         one, two = hashes
-        slots = (one >> np.uint64(43)).astype(np.int64)
+        slots = (one & np.uint64(SLOTS - 1)).astype(np.int64)
         known = (self.tags[0][slots] == one) & (self.tags[1][slots] == two)
         at, count = self.places[0][slots].astype(np.int64), self.places[1][slots].astype(np.int64)
         new = np.flatnonzero(~known & ~doubtful)
