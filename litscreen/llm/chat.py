@@ -15,6 +15,7 @@ control string, so that none stands in the output but the marks of the template.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,7 +52,7 @@ def _lookup(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def root_distances(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Way of every message to its root, and the jump tables of 1, 2, 4, ... steps.
+    """Way of every message to its root, and the jump tables of 1, 2, 4, ... steps (``up`` never null).
 
     ``messages`` has ``tree, node, parent, score``. The first table has, per
     message: ``up`` (null: the root is reached), ``size`` (messages on the way,
@@ -70,21 +71,26 @@ def root_distances(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         "replies",
     )
     largest = state.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    jumps = [state]
-    while 1 << (len(jumps) - 1) < largest and state.where("up IS NOT NULL").limit(1).count():
+    done, under_way = [state.where("up IS NULL")], state.where("up IS NOT NULL")
+    jumps = [under_way]
+    # only messages that do not see their root yet take part in the next round
+    while 1 << (len(jumps) - 1) < largest and under_way.limit(1).count():
         above = _lookup(state, up2="up", size2="size", total2="total", root2="root")
-        state = stored(
-            state.join(above, _same(state, above, "up"), "left").select(
+        seen = stored(
+            under_way.join(above, _same(under_way, above, "up")).select(
                 "tree",
                 "node",
                 F.col("up2").alias("up"),
-                (F.col("size") + F.coalesce("size2", F.lit(0))).alias("size"),
-                (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"),
-                F.coalesce("root2", "root").alias("root"),
+                (F.col("size") + F.col("size2")).alias("size"),
+                (F.col("total") + F.col("total2")).alias("total"),
+                F.col("root2").alias("root"),
             ),
             "replies",
         )
-        jumps.append(state)
+        done.append(seen.where("up IS NULL"))
+        under_way = seen.where("up IS NOT NULL")
+        jumps.append(under_way)
+        state = reduce(DataFrame.union, [*done, under_way])
     return state, jumps
 
 
@@ -104,11 +110,12 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     leaves = rooted.join(parents.distinct(), _same(rooted, parents, "node"), "left_anti")
     order = Window.partitionBy("tree").orderBy((F.col("total") / F.col("size")).desc(), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches)
-    path = stored(chosen.select("tree", F.col("node").alias("leaf"), "rank", "node"), "paths")
-    for table_of in reversed(jumps[:-1] or jumps):
-        above = _lookup(table_of.where("up IS NOT NULL"), up="up")
+    parts = [stored(chosen.select("tree", F.col("node").alias("leaf"), "rank", "node"), "paths")]
+    for jump in reversed(jumps):
+        path, above = reduce(DataFrame.union, parts), _lookup(jump, up="up")
         step = path.join(above, _same(path, above, "node")).select("tree", "leaf", "rank", F.col("up").alias("node"))
-        path = stored(path.unionByName(step), "paths")
+        parts.append(stored(step, "paths"))
+    path = reduce(DataFrame.union, parts)
     depths = _lookup(rooted, size="size")
     return path.join(depths, _same(path, depths, "node")).select(
         "tree", "leaf", "rank", "node", (F.col("size") - 1).alias("depth")
