@@ -20,6 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -31,6 +32,7 @@ GROUP_BYTES = 1 << 20  # bytes of text that are worked on at a time
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 _SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
+_KNOWN_POWERS: dict[int, np.ndarray] = {}
 _STOP = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 _WINDOW = np.dtype([("hash", "<u8"), ("window", "<i4")])
 
@@ -57,7 +59,14 @@ class Windows(NamedTuple):
 
 
 def _powers(step: np.uint64, count: int) -> np.ndarray:
-    return np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(max(count - 1, 0), step, np.uint64))))
+    """The first powers of ``step``; those for the usual size are computed once."""
+    known = _KNOWN_POWERS.get(int(step))
+    if known is None or len(known) < count:
+        size = max(count, 2 * GROUP_BYTES)
+        known = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(size - 1, step, np.uint64))))
+        if size == 2 * GROUP_BYTES:
+            _KNOWN_POWERS[int(step)] = known
+    return known[:count]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -77,14 +86,12 @@ def split_lines(texts: list[bytes]) -> Lines:
     after[1:] = _STOP[data[:-1]]
     cuts = np.flatnonzero((data == 10) | ((data == 32) & after)) + 1
     starts = np.concatenate(([0], cuts[:-1]))
-    word_at = np.flatnonzero(~space)
-    word_begin = ~space
-    word_begin[1:] &= space[:-1]
-    begins = np.flatnonzero(word_begin)
-    lo, hi = np.searchsorted(word_at, starts), np.searchsorted(word_at, cuts)
+    edges = np.flatnonzero(np.diff(space.view(np.int8), prepend=np.int8(1)))  # in turn where words begin and end
+    begins, ends = edges[::2], edges[1::2]
+    lo, hi = np.searchsorted(begins, starts), np.searchsorted(begins, cuts)
     held = np.flatnonzero(hi > lo)
-    begin, end = word_at[lo[held]], word_at[hi[held] - 1] + 1
-    words = np.searchsorted(begins, end) - np.searchsorted(begins, begin)
+    begin, end = begins[lo[held]], ends[hi[held] - 1]
+    words = hi[held] - lo[held]
     hashes = np.zeros(len(held), np.uint64)
     at = 0
     while at < len(held):  # some lines at a time, for the memory
@@ -221,11 +228,9 @@ def _unpacked(positions: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """``doc_id, text_hash, found``: per text its windows that stand earlier already.
+    """``doc_id, text_hash, found``: per text its windows that stand earlier already, as ``without_lines`` takes them.
 
-    ``found`` has structs of ``number`` (of the window in its text) and ``first``
-    (of the earlier one if that is in the same text, else -1). Earlier is the
-    smaller id, then the smaller hash of the text, then the place in the text.
+    Earlier is the smaller id, then the smaller hash of the text, then the place in the text.
     """
     marks = _fingerprints(docs, min_words).groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
     repeated = stored(marks.where("n > 1").select("mark"), "marks")
@@ -235,26 +240,41 @@ def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
     first = windows.groupBy("mark", "hash").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("n"))
     later = windows.join(first.where("n > 1"), ["mark", "hash"]).where(place > F.col("_first"))
     same_text = F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("text_hash") == F.col("_first.text_hash"))
-    match = F.struct("number", F.when(same_text, F.col("_first.number")).otherwise(-1).alias("first"))
+    first_number = F.when(same_text, F.col("_first.number") + 1).otherwise(0)
+    match = F.shiftleft(F.col("number").cast("long"), 32) + first_number
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set(match).alias("found"))
 
 
-def without_lines(text: bytes, matches: list[tuple[int, int]], min_words: int) -> bytes:
-    """The text without the lines of its matched windows.
+def without_lines(texts: list[bytes], matches: list[np.ndarray], min_words: int) -> list[bytes]:
+    """The texts without the lines of their matched windows.
 
-    A match whose earlier window overlaps it, in the same text, loses the lines behind that window.
+    ``matches`` has, per text, the numbers of its windows that stand earlier,
+    times 2 ** 32, plus the number of the earlier one plus 1 if that is in the
+    same text. A match loses the lines behind an earlier window that overlaps it.
     """
-    lines = split_lines([text])
+    lines = split_lines(texts)
     windows = make_windows(lines, min_words)
-    gone = np.zeros(len(lines.begin), bool)
-    for number, first in matches:
-        start = windows.first[number]
-        if first >= 0:
-            start = max(start, windows.last[first] + 1)
-        gone[start : windows.last[number] + 1] = True
-    extents = np.append(lines.begin, len(text))
-    kept = [text[: extents[0]]] + [text[i:j] for i, j, g in zip(extents, extents[1:], gone) if not g]
-    return b"".join(kept)
+    base = np.searchsorted(windows.text, np.arange(len(texts)))
+    of = np.repeat(base, list(map(len, matches)))
+    packed = np.concatenate(matches)
+    number, first = of + (packed >> 32), of + (packed & 0xFFFFFFFF) - 1
+    start, last = windows.first[number], windows.last[number]
+    own = (packed & 0xFFFFFFFF) > 0
+    start[own] = np.maximum(start[own], windows.last[first[own]] + 1)
+    some = start <= last
+    change = np.zeros(len(lines.begin) + 1, np.int64)
+    np.add.at(change, start[some], 1)
+    np.add.at(change, last[some] + 1, -1)
+    gone = np.cumsum(change[:-1]) > 0
+    text_start = np.cumsum([0] + [len(t) + 1 for t in texts])
+    out = []
+    for i, text in enumerate(texts):
+        lower, upper = lines.bounds[i], lines.bounds[i + 1]
+        extents = np.append(lines.begin[lower:upper] - text_start[i], len(text))
+        turns = np.flatnonzero(np.diff(gone[lower:upper], prepend=False, append=False))  # runs of lines that go
+        places = [0, *extents[turns].tolist(), len(text)]
+        out.append(b"".join(text[a:b] for a, b in zip(places[::2], places[1::2])))
+    return out
 
 
 def drop_repeated_lines(
@@ -284,17 +304,17 @@ def drop_repeated_lines(
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, removed = [], []
-            for text, found in zip(batch.column("text"), batch.column("found")):
-                before, matches = text.as_py(), found.as_py()
-                after = before
-                if matches:
-                    data = before.encode()
-                    after = without_lines(data, [(m["number"], m["first"]) for m in matches], min_words).decode()
-                texts.append(after)
-                removed.append(len((before or "").encode()) - len((after or "").encode()))
-            columns = [batch.column("row"), pa.array(texts, pa.string()), pa.array(removed, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "text", "removed"])
+            text, found = batch.column("text"), batch.column("found")
+            changed = found.is_valid()
+            before = _bytes(text.filter(changed))
+            matches = [m.values.to_numpy() for m in found.filter(changed)]
+            after: list[bytes] = []
+            for start, stop in _groups(before):
+                after += without_lines(before[start:stop], matches[start:stop], min_words)
+            removed = np.zeros(batch.num_rows, np.int64)
+            removed[changed.to_numpy(zero_copy_only=False)] = [len(a) - len(b) for a, b in zip(before, after)]
+            texts = pc.replace_with_mask(text, changed, pa.array([a.decode() for a in after], text.type))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), texts, pa.array(removed)], ["row", "text", "removed"])
 
     schema = StructType([joined.schema["row"], StructField("text", StringType()), StructField("removed", LongType())])
     return joined.mapInArrow(delete, schema)
