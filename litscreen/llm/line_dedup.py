@@ -6,11 +6,16 @@ line. Every window selects its smallest line hash (of equal ones the last) as
 fingerprint, so equal windows select equal lines: any repeated run of that many
 words is sure to share fingerprints, though only a few lines are selected.
 
-Fingerprints that occur once are dropped. The positions of the others are joined
-on the windows around them; a window that stands earlier already is a match.
+Fingerprints that occur once are dropped. The windows around the others are
+grouped by their hashes; a window that stands earlier already is a match.
 Matches extend both ways by the overlapping windows: windows from a line on reach
 back to the first line of a repeated run, windows up to a line to its last one.
 Lines in a match are deleted where they stand later.
+
+A passage need not begin or end with a line. So the same is done with words: a
+window is any run of ``RUN_WORDS`` words, its fingerprint the smallest hash of
+``GRAM_WORDS`` words in it, and its words are deleted where it stands earlier,
+which takes repeated passages up to their first and last word.
 """
 
 from __future__ import annotations
@@ -19,22 +24,25 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from litscreen.llm.common import stored, table
 
 MIN_WORDS = 30
+RUN_WORDS = 51  # a run of so many words goes wherever it begins
+GRAM_WORDS = 20  # RUN_WORDS - GRAM_WORDS + 1 must be a power of two
 GROUP_BYTES = 1 << 20  # bytes of text that are worked on at a time
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 _SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
 _KNOWN_POWERS: dict[int, np.ndarray] = {}
 _STOP = np.isin(np.arange(256), [ord(c) for c in ".!?"])
-_WINDOW = np.dtype([("hash", "<u8"), ("window", "<i4")])
+MOST_BITS = 1 << 28  # of a bitmap
 
 
 class Lines(NamedTuple):
@@ -75,26 +83,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def split_lines(texts: list[bytes]) -> Lines:
-    """Lines that hold words, blanks at both ends left out."""
-    joined = b"\n".join(texts) + b"\n"
-    data = np.frombuffer(joined, np.uint8)
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    text_starts = np.cumsum(sizes) - sizes
-    space = _SPACE[data]
-    after = np.zeros(len(data), bool)
-    after[1:] = _STOP[data[:-1]]
-    cuts = np.flatnonzero((data == 10) | ((data == 32) & after)) + 1
-    starts = np.concatenate(([0], cuts[:-1]))
-    edges = np.flatnonzero(np.diff(space.view(np.int8), prepend=np.int8(1)))  # in turn where words begin and end
-    begins, ends = edges[::2], edges[1::2]
-    lo, hi = np.searchsorted(begins, starts), np.searchsorted(begins, cuts)
-    held = np.flatnonzero(hi > lo)
-    begin, end = begins[lo[held]], ends[hi[held] - 1]
-    words = hi[held] - lo[held]
-    hashes = np.zeros(len(held), np.uint64)
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined bytes, where their words begin and end, and where the texts start, with the end of all."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    text_starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+    edges = np.flatnonzero(np.diff(_SPACE[data].view(np.int8), prepend=np.int8(1)))  # in turn where words begin and end
+    return data, edges[::2], edges[1::2], text_starts
+
+
+def _hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A polynomial hash of the bytes of every stretch; stretches follow one another."""
+    hashes = np.zeros(len(begin), np.uint64)
     at = 0
-    while at < len(held):  # some lines at a time, for the memory
+    while at < len(begin):  # some at a time, for the memory
         until = max(int(np.searchsorted(end, begin[at] + GROUP_BYTES, "right")), at + 1)
         low, high = begin[at], end[until - 1]
         values = (data[low:high].astype(np.uint64) + np.uint64(1)) * _powers(_STEP, high - low)
@@ -103,10 +104,24 @@ def split_lines(texts: list[bytes]) -> Lines:
         sums = np.add.reduceat(values, edges)[::2]
         if edges[-1] == len(values) - 1 and end[until - 1] - low == len(values):
             sums[-1] = values[edges[-2] :].sum()
-        hashes[at:until] = sums * _powers(_BACK, high - low)[begin[at:until] - low] + words[at:until].astype(np.uint64)
+        hashes[at:until] = sums * _powers(_BACK, high - low)[begin[at:until] - low]
         at = until
-    bounds = np.searchsorted(begin, np.append(text_starts, len(data)))
-    return Lines(begin, end, words, _mixed(hashes), bounds)
+    return hashes
+
+
+def split_lines(texts: list[bytes]) -> Lines:
+    """Lines that hold words, blanks at both ends left out."""
+    data, begins, ends, text_starts = _words(texts)
+    after = np.zeros(len(data), bool)
+    after[1:] = _STOP[data[:-1]]
+    cuts = np.flatnonzero((data == 10) | ((data == 32) & after)) + 1
+    starts = np.concatenate(([0], cuts[:-1]))
+    lo, hi = np.searchsorted(begins, starts), np.searchsorted(begins, cuts)
+    held = np.flatnonzero(hi > lo)
+    begin, end = begins[lo[held]], ends[hi[held] - 1]
+    words = hi[held] - lo[held]
+    hashes = _hashes(data, begin, end) + words.astype(np.uint64)
+    return Lines(begin, end, words, _mixed(hashes), np.searchsorted(begin, text_starts))
 
 
 def make_windows(lines: Lines, min_words: int) -> Windows:
@@ -143,6 +158,42 @@ def make_windows(lines: Lines, min_words: int) -> Windows:
     return Windows(first, last, text, number, _mixed(hashes), selected)
 
 
+def split_words(texts: list[bytes]) -> tuple[Lines, Windows]:
+    """Words as lines of their own, hashed with those that follow, and all windows of ``RUN_WORDS`` words."""
+    data, begin, end, text_starts = _words(texts)
+    bounds = np.searchsorted(begin, text_starts)
+    n, size = len(begin), RUN_WORDS - GRAM_WORDS + 1
+    sums = np.cumsum(_mixed(_hashes(data, begin, end)) * _powers(_STEP, n), dtype=np.uint64)
+    sums, back = np.concatenate((np.zeros(1, np.uint64), sums)), _powers(_BACK, n)
+
+    def runs(length: int) -> np.ndarray:
+        count = max(n - length + 1, 0)
+        return _mixed((sums[length : length + count] - sums[:count]) * back[:count] + np.uint64(length))
+
+    grams, hashes = runs(GRAM_WORDS), runs(RUN_WORDS)
+    least, selected, step = grams, np.arange(len(grams)), 1
+    while step < size:
+        better = least[step:] <= least[:-step]
+        selected = np.where(better, selected[step:], selected[:-step])
+        least = np.where(better, least[step:], least[:-step])
+        step *= 2
+    text = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    first = np.flatnonzero(text[: len(hashes)] == text[RUN_WORDS - 1 :])
+    number = first - bounds[text[first]]
+    marks = np.concatenate((grams, np.zeros(n - len(grams), np.uint64)))
+    lines = Lines(begin, end, np.ones(n, np.int64), marks, bounds)
+    return lines, Windows(first, first + RUN_WORDS - 1, text[first], number, hashes[first], selected[first])
+
+
+def _both(texts: list[bytes], min_words: int) -> Iterator[tuple[Lines, Windows]]:
+    """Lines with their windows, then words with theirs; the windows' numbers are even, then odd."""
+    lines = split_lines(texts)
+    windows = make_windows(lines, min_words)
+    yield lines, windows._replace(number=2 * windows.number)
+    words, windows = split_words(texts)
+    yield words, windows._replace(number=2 * windows.number + 1)
+
+
 def _groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``GROUP_BYTES`` each."""
     start = size = 0
@@ -170,75 +221,78 @@ def _fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             texts = _bytes(batch.column("text"))
             for start, stop in _groups(texts):
-                lines = split_lines(texts[start:stop])
-                chosen = np.unique(make_windows(lines, min_words).selected)
-                yield pa.RecordBatch.from_arrays([_signed(lines.hashes[chosen])], ["mark"])
+                for lines, windows in _both(texts[start:stop], min_words):
+                    chosen = np.unique(windows.selected)
+                    yield pa.RecordBatch.from_arrays([_signed(lines.hashes[chosen])], ["mark"])
 
     return docs.select("text").mapInArrow(select, "mark long")
 
 
-def _positions(docs: DataFrame, min_words: int) -> DataFrame:
-    """``mark, doc_id, text_hash, windows`` (packed hashes and numbers) of every selected line."""
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """Bits at the low ends of a column of hashes, 32 MB at most: whatever is not set is not in the column."""
+    bits = min(max(1 << (16 * hashes.count()).bit_length(), 1 << 16), MOST_BITS)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = batch.column(0).to_numpy() & (bits - 1)
+            yield pa.RecordBatch.from_arrays([pa.array([low.astype("<u4").tobytes()], pa.binary())], ["low"])
+
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for (low,) in hashes.mapInArrow(pack, "low binary").toLocalIterator():
+        at = np.frombuffer(low, "<u4")
+        np.bitwise_or.at(bitmap, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    return bitmap
+
+
+def _is_set(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes.view(np.int64) & (8 * len(bitmap) - 1)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _windows(docs: DataFrame, min_words: int, bitmap: np.ndarray, by_mark: bool) -> DataFrame:
+    """``doc_id, text_hash, hash, number`` of the windows whose selected hash, or own hash, may be in ``bitmap``."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _bytes(batch.column("text"))
             for start, stop in _groups(texts):
-                lines = split_lines(texts[start:stop])
-                windows = make_windows(lines, min_words)
-                order = np.argsort(windows.selected, kind="stable")
-                chosen, at = np.unique(windows.selected[order], return_index=True)
-                packed = np.empty(len(order), _WINDOW)
-                packed["hash"], packed["window"] = windows.hashes[order], windows.number[order]
-                raw, ends = packed.tobytes(), [*at[1:].tolist(), len(order)]
-                of = pa.array(windows.text[order][at] + start, pa.int64())
-                size = _WINDOW.itemsize
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        _signed(lines.hashes[chosen]),
-                        batch.column("doc_id").take(of),
-                        batch.column("text_hash").take(of),
-                        pa.array([raw[i * size : j * size] for i, j in zip(at.tolist(), ends)], pa.binary()),
-                    ],
-                    ["mark", "doc_id", "text_hash", "windows"],
-                )
+                for lines, windows in _both(texts[start:stop], min_words):
+                    tested = lines.hashes[windows.selected] if by_mark else windows.hashes
+                    kept = np.flatnonzero(_is_set(shared.value, tested))
+                    of = pa.array(windows.text[kept] + start, pa.int64())
+                    columns = [batch.column(name).take(of) for name in ("doc_id", "text_hash")]
+                    number = pa.array(windows.number[kept].astype(np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [*columns, _signed(windows.hashes[kept]), number], ["doc_id", "text_hash", "hash", "number"]
+                    )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text_hash", "text").mapInArrow(
-        select, f"mark long, doc_id {kind}, text_hash long, windows binary"
+        select, f"doc_id {kind}, text_hash long, hash long, number int"
     )
 
 
-def _unpacked(positions: DataFrame) -> DataFrame:
-    """``mark, hash, doc_id, text_hash, number``: one row per window."""
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [w.as_py() for w in batch.column("windows")]
-            rows = np.frombuffer(b"".join(raw), _WINDOW)
-            of = pa.array(np.repeat(np.arange(len(raw)), [len(r) // _WINDOW.itemsize for r in raw]), pa.int64())
-            columns = [batch.column(name).take(of) for name in ("mark", "doc_id", "text_hash")]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, _signed(rows["hash"]), pa.array(rows["window"].astype(np.int32))],
-                ["mark", "doc_id", "text_hash", "hash", "number"],
-            )
-
-    kind = positions.schema["doc_id"].dataType.simpleString()
-    return positions.mapInArrow(unpack, f"mark long, doc_id {kind}, text_hash long, hash long, number int")
-
-
 def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
     """``doc_id, text_hash, found``: per text its windows that stand earlier already, as ``without_lines`` takes them.
 
-    Earlier is the smaller id, then the smaller hash of the text, then the place in the text.
+    Earlier is the smaller id, then the smaller hash of the text, then the place
+    in the text. Bitmaps only keep what cannot be repeated out of the shuffles.
     """
     marks = _fingerprints(docs, min_words).groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
-    repeated = stored(marks.where("n > 1").select("mark"), "marks")
-    places = _positions(docs, min_words).join(repeated, "mark")
-    windows = stored(_unpacked(places), "windows")
+    repeated = _bitmap(stored(marks.where("n > 1").select("mark"), "marks"))
     place = F.struct("doc_id", "text_hash", "number")
-    first = windows.groupBy("mark", "hash").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("n"))
-    later = windows.join(first.where("n > 1"), ["mark", "hash"]).where(place > F.col("_first"))
+    groups = _windows(docs, min_words, repeated, True).groupBy("hash").agg(
+        F.min(place).alias("_first"), F.max(place).alias("_last"), F.count(F.lit(1)).alias("n")
+    )
+    groups = stored(groups.where("n > 1"), "windows")
+    many = groups.where("n > 2").select("hash", "_first")
+    others = _windows(docs, min_words, _bitmap(many.select("hash")), False).join(many, "hash")
+    # of two, the last is the later one
+    later = others.select(place.alias("_place"), "_first").unionByName(
+        groups.where("n = 2").select(F.col("_last").alias("_place"), "_first")
+    )
+    later = later.where("_place > _first").select("_place.*", "_first")
     same_text = F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("text_hash") == F.col("_first.text_hash"))
     first_number = F.when(same_text, F.col("_first.number") + 1).otherwise(0)
     match = F.shiftleft(F.col("number").cast("long"), 32) + first_number
@@ -246,33 +300,34 @@ def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def without_lines(texts: list[bytes], matches: list[np.ndarray], min_words: int) -> list[bytes]:
-    """The texts without the lines of their matched windows.
+    """The texts without the lines and words of their matched windows.
 
     ``matches`` has, per text, the numbers of its windows that stand earlier,
     times 2 ** 32, plus the number of the earlier one plus 1 if that is in the
-    same text. A match loses the lines behind an earlier window that overlaps it.
+    same text. Of a match that overlaps the earlier window what lies behind that goes.
     """
-    lines = split_lines(texts)
-    windows = make_windows(lines, min_words)
-    base = np.searchsorted(windows.text, np.arange(len(texts)))
-    of = np.repeat(base, list(map(len, matches)))
+    text_start = np.cumsum([0] + [len(t) + 1 for t in texts])
     packed = np.concatenate(matches)
-    number, first = of + (packed >> 32), of + (packed & 0xFFFFFFFF) - 1
-    start, last = windows.first[number], windows.last[number]
-    own = (packed & 0xFFFFFFFF) > 0
-    start[own] = np.maximum(start[own], windows.last[first[own]] + 1)
-    some = start <= last
-    change = np.zeros(len(lines.begin) + 1, np.int64)
-    np.add.at(change, start[some], 1)
-    np.add.at(change, last[some] + 1, -1)
+    of_text = np.repeat(np.arange(len(texts)), list(map(len, matches)))
+    number, first = packed >> 32, (packed & 0xFFFFFFFF) - 1
+    change = np.zeros(text_start[-1] + 1, np.int32)  # by byte
+    for kind, (lines, windows) in enumerate(_both(texts, min_words)):
+        mine = number % 2 == kind
+        base = np.searchsorted(windows.text, np.arange(len(texts)))[of_text[mine]]
+        at, own = base + number[mine] // 2, first[mine] >= 0
+        start, last = windows.first[at], windows.last[at]
+        start[own] = np.maximum(start[own], windows.last[(base + first[mine] // 2)[own]] + 1)
+        some = start <= last
+        start, last, of = start[some], last[some], of_text[mine][some]
+        following = np.append(lines.begin, text_start[-1])
+        np.add.at(change, lines.begin[start], 1)  # up to the next line or word, or the end of the text
+        np.add.at(change, np.minimum(following[last + 1], text_start[of + 1] - 1), -1)
     gone = np.cumsum(change[:-1]) > 0
-    text_start = np.cumsum([0] + [len(t) + 1 for t in texts])
     out = []
     for i, text in enumerate(texts):
-        lower, upper = lines.bounds[i], lines.bounds[i + 1]
-        extents = np.append(lines.begin[lower:upper] - text_start[i], len(text))
-        turns = np.flatnonzero(np.diff(gone[lower:upper], prepend=False, append=False))  # runs of lines that go
-        places = [0, *extents[turns].tolist(), len(text)]
+        lower = text_start[i]
+        turns = np.flatnonzero(np.diff(gone[lower : lower + len(text)], prepend=False, append=False))  # stretches that go
+        places = [0, *turns.tolist(), len(text)]
         out.append(b"".join(text[a:b] for a, b in zip(places[::2], places[1::2])))
     return out
 
@@ -284,23 +339,34 @@ def drop_repeated_lines(
 
     Lines are deleted that stand in a run of lines of ``min_words`` words or
     more of which an equal run stands earlier, in another text or before in the
-    same one. Lines are equal if they agree but for blanks at their ends. Rows
+    same one. Lines are equal if they agree but for blanks at their ends. Words
+    are deleted that stand in a run of ``RUN_WORDS`` words or more of which an
+    equal run stands earlier, wherever it begins; blanks do not count. Rows
     that agree in id and text are one text and get the same result; which row is
     earlier depends on id and text alone. Null and empty texts stay as they are,
     and so does every text without a repeated run, byte for byte.
 
-    ``docs`` must read a table, as it is evaluated three times.
+    ``docs`` must read a table, as it is evaluated five times.
     """
     text = F.col(text_col)
     others = [F.col(c) for c in docs.columns if c != text_col]
     rows = docs.select(
         F.struct(*others).alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")
     )
-    found = repeated_windows(rows.drop("row"), min_words).select(
+    found = stored(repeated_windows(rows.drop("row"), min_words), "found").select(
         F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), "found"
     )
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(found.select("_text_hash")))
+
+    @F.pandas_udf(BooleanType())
+    def changes(hashes: pd.Series) -> pd.Series:
+        return pd.Series(_is_set(shared.value, hashes.to_numpy()))
+
     same = rows["doc_id"].eqNullSafe(found["_doc_id"]) & (rows["text_hash"] == found["_text_hash"])
-    joined = rows.join(found, same, "left").select("row", "text", "found")
+    # texts without a match are not shuffled
+    joined = rows.where(changes("text_hash")).join(found, same, "left").select("row", "text", "found")
+    rest = rows.where(~changes("text_hash")).select("row", "text", F.lit(None).cast("array<long>").alias("found"))
+    joined = joined.unionByName(rest)
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

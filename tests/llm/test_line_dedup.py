@@ -89,3 +89,43 @@ def test_edges(spark):
     assert len(dict(texts)[5]) < 2_000 and len(dict(texts)[6]) < 200 and len(LONG) > 1_000_000
     assert drop_repeated_lines(docs.where("false")).count() == 0
     assert set(done[0].row.asDict()) == set(docs.columns) - {"text"}
+
+
+def brute_words(texts, least=51):
+    """Per text the numbers of the words in runs of ``least`` words that stand earlier."""
+    seen, out = {}, []
+    for number, text in enumerate(texts):
+        words, gone = text.split(), set()
+        for i in range(len(words) - least + 1):
+            first = seen.setdefault(tuple(words[i : i + least]), (number, i))
+            if first != (number, i):
+                gone |= set(range(i if first[0] != number else max(i, first[1] + least), i + least))
+        out.append(gone)
+    return out
+
+
+def test_passage_spliced_into_a_line_goes_whole(spark):
+    words = [f"word{i}" for i in range(53)]
+    words[30] += "."
+    words[36] += "."  # sentences of 31, 6 and 16 words
+    passage = " ".join(words)
+    texts = [f"First {passage} end.", f"Other start without a stop {passage} and another end.", f"{' '.join(words[:50])} is short"]
+    got = run(spark, texts, 30)
+    assert got[0] == texts[0].encode() and got[1] == b"Other start without a stop and another end."
+    # 50 words are no long run: of this text only the whole sentences that stand earlier could go
+    assert got[2] == texts[2].encode()
+
+
+def test_no_run_of_over_50_words_survives(spark):
+    random.seed(7)
+    word = lambda: f"w{random.randint(0, 10**9)}" + random.choice(["", "", "", ".", "\n", " "])
+    pool = [[word() for _ in range(random.randint(45, 90))] for _ in range(6)]
+    texts = []
+    for _ in range(40):
+        parts = [random.choice([[word() for _ in range(random.randint(1, 40))], random.choice(pool)]) for _ in range(5)]
+        texts.append(" ".join(" ".join(p[random.randint(0, 3) :]) for p in parts))
+    raw = [t.encode() for t in texts]
+    least = 10_000  # no runs of lines
+    expected = [[w for i, w in enumerate(t.split()) if i not in gone] for t, gone in zip(raw, brute_words(raw))]
+    assert [t.split() for t in run(spark, texts, least)] == expected
+    assert sum(map(len, brute_words(raw))) > 1000
