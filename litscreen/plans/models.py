@@ -24,8 +24,9 @@ from litscreen.plans.texts import LEMMAS
 from litscreen.session import scratch_path
 from litscreen.sources import runs as log
 
-_SPEC = md.TextModel(max_features=500, C=0.1, max_iter=100)
-_FOREST = md.TextModel(weighting="tfidf", classifier="forest", max_features=200, n_trees=10, max_depth=8, threshold=0.2)
+_SPEC = md.TextModel(C=0.1)
+# the only candidate of the forest's grid
+(_FOREST,) = md.candidates(md.TextModel(weighting="tfidf", classifier="forest", lemmas=LEMMAS), md.FOREST_GRID)
 
 
 def _holdout(spark, d):
@@ -69,7 +70,7 @@ def text_models(spark, d):
     reports = []
     for name, variant in md.VARIANTS.items():
         lemmas = LEMMAS if name.endswith("lemmas") else {}
-        spec = replace(variant, lemmas=lemmas, max_features=500, max_iter=100)
+        spec = replace(variant, lemmas=lemmas)
         path = scratch_path(spark, name)
         md.fit_text_model(train, "text", "label", spec).write().save(path)
         reports.append(md.evaluate_model(PipelineModel.load(path), test, variant=name))
@@ -78,9 +79,16 @@ def text_models(spark, d):
 
 @query("grid_search")
 def grid_search(spark, d):
+    """Results of the 18 candidates on TF-IDF vectors."""
     train, _ = _train_test(spark, d)
-    grid = {"max_features": [200, 500], "C": [0.1, 1.0]}
-    return md.grid_search(train, "text", "label", replace(_SPEC, weighting="tfidf"), grid)[0]
+    return md.grid_search(train, "text", "label", md.TextModel(weighting="tfidf"), md.TFIDF_GRID)[0]
+
+
+@query("grid_search_counts")
+def grid_search_counts(spark, d):
+    """Results of the 48 candidates on counts."""
+    train, _ = _train_test(spark, d)
+    return md.grid_search(train, "text", "label", md.TextModel(), md.COUNT_GRID)[0]
 
 
 @query("cv_run")

@@ -110,3 +110,19 @@ def test_refit_and_test(corpus):
     train, test = corpus.where("id < 40"), corpus.where("id >= 40")
     report = {r["class_name"]: r for r in md.refit_and_test(train, test, "text", "y", SPEC).collect()}
     assert report["accuracy"]["support"] == 21 and report["1"]["f1"] > 0.8
+
+
+def test_queries_use_the_whole_grids(monkeypatch):
+    """The registered searches and fits are handed the full grids and settings."""
+    from litscreen.plans import models as plans
+
+    given = []
+    monkeypatch.setattr(plans, "_train_test", lambda spark, d: (None, None))
+    monkeypatch.setattr(md, "grid_search", lambda train, text, label, base, grid: given.append((base, grid)) or [None])
+    plans.grid_search(None, None)
+    plans.grid_search_counts(None, None)
+    assert [(base.weighting, len(md.candidates(base, grid))) for base, grid in given] == [("tfidf", 18), ("count", 48)]
+    assert all(base.max_iter == 1000 for base, _ in given)
+    forest = plans._FOREST
+    assert (forest.n_trees, forest.max_features, forest.ngram_max, forest.max_depth) == (300, 5000, 2, 30)
+    assert (plans._SPEC.max_features, plans._SPEC.max_iter) == (5000, 1000)
