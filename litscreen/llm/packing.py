@@ -122,21 +122,21 @@ def best_fit_layouts(counts: np.ndarray) -> list[Layout]:
 def plan_layouts(counts: np.ndarray) -> list[Layout]:
     """Layouts for ``counts`` pieces of every length from 0 to the capacity.
 
-    Exact fillings first, then best fit. Fillings of up to three, two, one and no
-    pieces are tried, and the plan with the fewest sequences is taken; the first
-    one within a thousandth of the lower bound ends the search.
+    Exact fillings first, then best fit. Fillings of up to three, two and one
+    pieces are tried, and the plan with the fewest sequences is taken; one that
+    meets the lower bound ends the search.
     """
     capacity = len(counts) - 1
     lengths = np.arange(capacity + 1)
     least = max(-(-int(counts @ lengths) // capacity), int(counts[2 * lengths > capacity].sum()))
     best, fewest = [], None
-    for most, even in ((3, False), (3, True), (2, True), (2, False), (1, False), (0, False)):
+    for most, even in ((3, False), (3, True), (2, True), (2, False), (1, False)):
         left = counts.copy()
         layouts = [layout for layout in exact_layouts(left, most, even) + best_fit_layouts(left) if layout[1]]
         total = sum(times for _, times in layouts)
         if fewest is None or total < fewest:
             best, fewest = layouts, total
-        if fewest <= least + least // 1000:
+        if fewest == least:
             break
     return best
 

@@ -77,3 +77,21 @@ def test_edges(spark):
     check(rows, pieces, 16)
     assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in pieces)
     assert pack_documents(documents(spark, rows).where("false")).count() == 0
+
+
+def test_search_ends_at_the_lower_bound_only(monkeypatch):
+    """A plan that needs one sequence too many of 2000 is not taken while another trial meets the bound."""
+    from litscreen.llm import packing
+
+    tried = []
+
+    def trial(counts, most=3, even=False):
+        tried.append((most, even))
+        counts[:] = 0
+        return [((8,), 2000 if most == 1 else 2001)]
+
+    monkeypatch.setattr(packing, "exact_layouts", trial)
+    counts = np.zeros(9, np.int64)
+    counts[8] = 2000
+    assert packing.plan_layouts(counts) == [((8,), 2000)]
+    assert tried[-1] == (1, False) and all(most > 0 for most, _ in tried)
