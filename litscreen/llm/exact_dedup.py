@@ -24,6 +24,7 @@ from pyspark.sql.types import BooleanType, StringType
 from litscreen.llm.common import stored
 from litscreen.session import scratch_path
 
+BYTES_PER_BATCH = 4 << 30
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
@@ -72,7 +73,7 @@ def _newest(group: DataFrame) -> DataFrame:
 
 
 def stream_state(
-    spark: SparkSession, path: str, id_col: str, text_col: str, digest=sha256_hex, bytes_per_batch: int = 512 << 30
+    spark: SparkSession, path: str, id_col: str, text_col: str, digest=sha256_hex, bytes_per_batch: int = BYTES_PER_BATCH
 ) -> DataFrame:
     """Run the stream over all Parquet files of ``path`` and read its state: ``digest, keep, group_size``.
 
@@ -117,7 +118,12 @@ def stream_state(
 
 
 def deduplicate_files(
-    spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest=sha256_hex
+    spark: SparkSession,
+    path: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    digest=sha256_hex,
+    bytes_per_batch: int = BYTES_PER_BATCH,
 ) -> DataFrame:
     """One row per record of the Parquet files at ``path``: ``id, keep_id, group_size, kept, digest``.
 
@@ -125,7 +131,7 @@ def deduplicate_files(
     that repeat the same id and text, one (the last by file and row); a null id
     is smaller than any other. An empty table gives no rows.
     """
-    state = stream_state(spark, path, id_col, text_col, digest)
+    state = stream_state(spark, path, id_col, text_col, digest, bytes_per_batch)
     records = _with_locator(spark.read.parquet(path), id_col, text_col, digest)
 
     # Hits: every record of a digest seen twice, with its text.
