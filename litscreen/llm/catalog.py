@@ -2,6 +2,7 @@
 
 from litscreen.llm import (
     chat,
+    clustering,
     decontamination,
     exact_dedup,
     licenses,
@@ -9,6 +10,8 @@ from litscreen.llm import (
     near_dedup,
     packing,
     quality,
+    ranked_search,
+    sentence_pieces,
     sharding,
     url_filter,
 )
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_chat": chat.op9_chat,
     "op10_packing": packing.op10_packing,
+    "op11_pieces": sentence_pieces.op11_pieces,
+    "op12_ranked_search": ranked_search.op12_ranked_search,
+    "op13_clusters": clustering.op13_clusters,
 }
 ORACLES = {
     "op2_licenses": licenses.ORACLE_SQL,
@@ -32,4 +38,6 @@ ORACLES = {
     "op7_near_dedup": near_dedup.ORACLE_SQL,
     "op8_decontamination": decontamination.ORACLE_SQL,
     "op9_chat": chat.ORACLE_SQL,
+    "op12_ranked_search": ranked_search.ORACLE_SQL,
+    "op13_clusters": clustering.ORACLE_SQL,
 }

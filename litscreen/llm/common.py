@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,14 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back.
 
     Cuts the lineage: what follows reads the files, whichever executors are lost.
+    ``partition_by`` names a column with few values; each gets a folder.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,3 +57,15 @@ def numbered_within(rows: DataFrame, group: str, order: list[str], name: str, bu
     ranked = dealt.withColumn("_rank", F.row_number().over(inside))
     joined = ranked.join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_bucket") == F.col("_of")))
     return joined.select(*rows.columns, (F.col("_start") + F.col("_rank") - 1).cast("long").alias(name))
+
+
+def byte_slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts hold ``most`` bytes at most, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(sizes, dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = upto[start] - sizes[start]
+        stop = max(int(np.searchsorted(upto, before + most, "right")), start + 1)
+        yield batch.slice(start, stop - start)
+        start = stop
