@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litscreen.operators.quantiles import exact_quantiles
+from litscreen.operators.quantiles import counted_values, moments_of, quantiles_of
 
 
 def label_distribution(df: DataFrame, column: str) -> DataFrame:
@@ -59,18 +59,17 @@ def profile_columns(df: DataFrame) -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, column: str) -> DataFrame:
-    """count, mean, sample std, min, quartiles, max of the non-null values; one row."""
+    """count, mean, sample std, min, quartiles, max of the non-null values; one row, from one table of counted values."""
     probs = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-    quartiles = exact_quantiles(df, [], column, probs)
-    moments = df.agg(
-        F.count(column).alias("n"),
-        F.avg(column).alias("mean"),
-        F.stddev_samp(column).alias("std"),
-        F.min(column).cast("double").alias("min"),
-        F.max(column).cast("double").alias("max"),
-    )
-    row = quartiles.select(F.struct(*probs).alias("row")).scalar()
-    return moments.withColumn("_quartiles", row).select(*moments.columns, *[f"_quartiles.{name}" for name in probs])
+    counted = counted_values(df, [], column)
+    row = F.struct(F.col("count").alias("n"), "mean", "std", "min", "max")
+    moments = moments_of(counted, []).select(row.alias("row")).scalar()
+    quartiles = quantiles_of(counted, [], probs).select(F.struct(*probs).alias("row")).scalar()
+    # a row also where there is no value
+    described = df.sparkSession.range(1).select(moments.alias("_moments"), quartiles.alias("_quartiles"))
+    names = ["mean", "std", "min", "max"]
+    n = F.coalesce("_moments.n", F.lit(0).cast("long")).alias("n")
+    return described.select(n, *[f"_moments.{c}" for c in names], *[f"_quartiles.{c}" for c in probs])
 
 
 def mean_word_count(df: DataFrame, column: str) -> DataFrame:

@@ -1,32 +1,14 @@
-"""Precondition checks and size-checked lookups."""
+"""Precondition checks."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-#: A lookup with at most this many rows is broadcast; a larger one is joined by shuffle.
-SMALL_ROWS = 10_000
 
 
 def require_columns(df: DataFrame, columns: Iterable[str], what: str = "DataFrame") -> None:
     """Raise ``KeyError`` naming every column of ``columns`` that ``df`` lacks."""
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise KeyError(f"Missing columns in {what}: {missing}")
-
-
-def small_lookup(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Return ``df`` marked for broadcast if it has at most ``max_rows`` rows.
-
-    The check fetches ``max_rows + 1`` rows at most. A small table is evaluated
-    once and reused as a local relation; a larger one comes back untouched, so
-    that the join falls to Catalyst and adaptive execution.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    local = df.sparkSession.createDataFrame(rows, df.schema).coalesce(1)
-    return F.broadcast(local)
+        raise KeyError(f"{what} has no column named {', '.join(missing)}")

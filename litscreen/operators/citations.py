@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -11,7 +12,7 @@ from litscreen.functions.labels import numeric_id
 from litscreen.operators.checks import require_columns
 from litscreen.operators.columns import replace_ids
 from litscreen.operators.lists import map_members
-from litscreen.operators.ranks import ordered_positions
+from litscreen.operators.ranks import nth_text, ordered_positions
 
 
 def last_known_pmid(lookup: DataFrame, order: str) -> DataFrame:
@@ -106,11 +107,21 @@ def exploded_references(works: DataFrame, refs: str, *keys: str) -> DataFrame:
 
 
 def halve_ids(df: DataFrame, column: str) -> DataFrame:
-    """Distinct ids in order with ``half`` 1 for the first ``n // 2`` of them, 2 for the rest."""
-    ids = df.select(column).where(F.col(column).isNotNull()).distinct()
-    placed = ordered_positions(ids, [column], "_position", "_rows")
-    half = F.floor(F.col("_rows") / 2)
-    return placed.select(column, F.when(F.col("_position") < half, 1).otherwise(2).alias("half"))
+    """Distinct ids in order with ``half`` 1 for the first ``n // 2`` of them, 2 for the rest.
+
+    The last id of the first half is found by :func:`nth_text`; nothing is sorted.
+    """
+    ids = df.select(F.col(column).alias("_id")).where(F.col(column).isNotNull()).distinct()
+    text = F.col("_id").cast("string")
+    if dict(df.dtypes)[column] in ("tinyint", "smallint", "int", "bigint"):  # digits of one length, none negative
+        text = F.lpad((F.col("_id").cast("decimal(20, 0)") + F.lit(Decimal(1 << 63))).cast("string"), 20, "0")
+    kept = ids.select(text.alias("text")).persist()
+    try:
+        cut = nth_text(kept, "text", kept.count() // 2)
+    finally:
+        kept.unpersist()
+    first = F.lit(False) if cut is None else text <= cut
+    return ids.select(F.col("_id").alias(column), F.when(first, 1).otherwise(2).alias("half"))
 
 
 def assign_batches(df: DataFrame, column: str, size: int = 200) -> DataFrame:

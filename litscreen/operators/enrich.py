@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from litscreen.functions.labels import whole_id
 from litscreen.functions.text import normalise_doi
 from litscreen.operators.checks import require_columns
+from litscreen.operators.lists import content_hash
 
 
 def left_join_known(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left join on ``key`` in which rows without a key do not meet in one task.
 
     They can match nothing. A second key, the same for all other rows, spreads
-    them over the tasks of a shuffle; both inputs are evaluated once.
+    them over the tasks of a shuffle; both inputs are evaluated once. It comes
+    from the values of the row, so a repeated task deals its rows alike.
     """
-    spread = F.when(F.col(key).isNull(), F.monotonically_increasing_id() + 1).otherwise(0)
+    spread = F.when(F.col(key).isNull(), content_hash(left)).otherwise(0)
     return (
         left.withColumn("_spread", spread)
         .join(right.withColumn("_spread", F.lit(0).cast("long")), [key, "_spread"], "left")

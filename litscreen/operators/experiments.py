@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from litscreen.operators.checks import require_columns, small_lookup
-from litscreen.operators.quantiles import exact_quantiles
+from litscreen.operators.checks import require_columns
+from litscreen.operators.quantiles import counted_values, moments_of, quantiles_of
 
 # The configuration columns and metrics of the experiment summary.
 GROUP_COLUMNS = [
@@ -49,15 +49,10 @@ def _with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def run_group_summary(df: DataFrame, group: str, metric: str) -> DataFrame:
     """Per group: mean, quartiles 1 and 3, sample std, count, min, max; best mean first."""
-    rows = _with_keys(df, [group])
-    moments = rows.groupBy(group).agg(
-        F.avg(metric).alias("mean"),
-        F.stddev_samp(metric).alias("std"),
-        F.count(metric).alias("count"),
-        F.min(metric).alias("min"),
-        F.max(metric).alias("max"),
-    )
-    quartiles = exact_quantiles(rows, [group], metric, {"q1": 0.25, "q3": 0.75})
+    counted = counted_values(_with_keys(df, [group]), [group], metric)
+    kind = dict(df.dtypes)[metric]
+    moments = moments_of(counted, [group]).withColumns({c: F.col(c).cast(kind) for c in ("min", "max")})
+    quartiles = quantiles_of(counted, [group], {"q1": 0.25, "q3": 0.75})
     summary = moments.join(quartiles, group, "left").select(
         group, "mean", "q1", "q3", "std", "count", "min", "max"
     )
@@ -104,12 +99,12 @@ _BOX = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 def _fenced(df: DataFrame, group: str, metric: str, whisker: float) -> DataFrame:
     """Distinct values with their count and the box of their group."""
-    rows = _with_keys(df, [group, metric])
-    boxes = small_lookup(exact_quantiles(rows, [group], metric, _BOX))
-    counted = rows.groupBy(group, metric).agg(F.count("*").alias("n"))
+    counted = counted_values(_with_keys(df, [group, metric]), [group], metric)
+    boxes = quantiles_of(counted, [group], _BOX)
+    values = counted.select(group, F.col("_value").cast(dict(df.dtypes)[metric]).alias(metric), F.col("_n").alias("n"))
     reach = whisker * (F.col("q3") - F.col("q1"))
     inside = F.col(metric).between(F.col("q1") - reach, F.col("q3") + reach)
-    return counted.join(boxes, group).withColumn("inside", inside)
+    return values.join(boxes, group).withColumn("inside", inside)
 
 
 def boxplot_stats(df: DataFrame, group: str, metric: str, whisker: float = 1.5) -> DataFrame:
@@ -196,7 +191,7 @@ def loss_curve_band(df: DataFrame, model: str, losses: str) -> DataFrame:
     """Per model and step: mean and quartiles 1 and 3 over the runs; NULL models form no group."""
     rows = _with_keys(df, [model])
     check_equal_lengths(rows, model, losses)
-    points = loss_curve_points(rows, losses, model)
     keys = [model, "step"]
-    means = points.groupBy(*keys).agg(F.avg("loss").alias("mean"))
-    return means.join(exact_quantiles(points, keys, "loss", {"q1": 0.25, "q3": 0.75}), keys, "left")
+    counted = counted_values(loss_curve_points(rows, losses, model), keys, "loss")
+    means = counted.groupBy(*keys).agg(F.try_divide(F.sum(F.col("_value") * F.col("_n")), F.sum("_n")).alias("mean"))
+    return means.join(quantiles_of(counted, keys, {"q1": 0.25, "q3": 0.75}), keys, "left")

@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litscreen.functions import text as tx
 from litscreen.functions.lookup import lookup_ids, replace_members
 from litscreen.operators.lists import map_members
+from litscreen.operators.vocabulary import Vocabulary, learn_vocabulary
 
 # Ids of the encoder that are no words, in this order.
 SPECIAL_TOKENS = ["[PAD]", "[UNK]", tx.KEY_MARKER, tx.TITLE_END, tx.JOURNAL_END]
@@ -28,22 +29,14 @@ def exploded_terms(tokens: DataFrame, column: str, *keys: str) -> DataFrame:
 
 
 def build_vocabulary(tokens: DataFrame, column: str, max_features: int) -> DataFrame:
-    """``term, idx, n``: the most frequent terms of the corpus, indexed alphabetically.
+    """``term, idx, n, df``: the most frequent terms of the corpus, indexed alphabetically.
 
-    Ties in frequency go to the alphabetically first term. At most
-    ``max_features`` rows leave the distributed top-k.
+    ``n`` is the number of occurrences, ``df`` that of documents; see
+    :func:`learn_vocabulary`, which runs at once.
     """
-    counts = exploded_terms(tokens, column).groupBy("term").agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.col("n").desc(), "term").limit(max_features)
-    # the window sees max_features rows at most
-    position = F.row_number().over(Window.orderBy("term")) - 1
-    return top.select("term", position.cast("long").alias("idx"), "n")
-
-
-def vocabulary_terms(vocabulary: DataFrame) -> list[str]:
-    """The terms in index order, for a fitted model (``max_features`` values)."""
-    rows = vocabulary.select("idx", "term").collect()
-    return [row["term"] for row in sorted(rows, key=lambda row: row["idx"])]
+    found = learn_vocabulary(tokens, column, max_features)
+    rows = list(zip(found.terms, range(len(found.terms)), found.counts, found.documents))
+    return tokens.sparkSession.createDataFrame(rows, "term string, idx long, n long, df long")
 
 
 def count_model(terms: Sequence[str], column: str, output: str) -> CountVectorizerModel:
@@ -51,18 +44,13 @@ def count_model(terms: Sequence[str], column: str, output: str) -> CountVectoriz
     return CountVectorizerModel.from_vocabulary(list(terms), inputCol=column, outputCol=output)
 
 
-def tfidf_model(tokens: DataFrame, terms: Sequence[str], column: str, output: str) -> PipelineModel:
-    """tf * (ln((1+n)/(1+df)) + 1), scaled to length 1, fitted on ``tokens``.
-
-    Spark's own IDF lacks the ``+ 1``, which the element-wise product supplies.
-    """
+def tfidf_model(vocabulary: Vocabulary, column: str, output: str) -> PipelineModel:
+    """tf * (ln((1+n)/(1+df)) + 1), scaled to length 1; nothing is left to fit."""
     counts, scaled = f"{output}_counts", f"{output}_scaled"
-    counter = count_model(terms, column, counts)
-    idf = IDF(inputCol=counts, outputCol=scaled).fit(counter.transform(tokens)).idf
-    weights = Vectors.dense(idf.toArray() + 1.0)
+    weights = Vectors.dense(vocabulary.inverse_document_frequency())
     return PipelineModel(
         [
-            counter,
+            count_model(vocabulary.terms, column, counts),
             ElementwiseProduct(scalingVec=weights, inputCol=counts, outputCol=scaled),
             Normalizer(p=2.0, inputCol=scaled, outputCol=output),
         ]
@@ -82,10 +70,10 @@ def term_counts(tokens: DataFrame, key: str, column: str, terms: Sequence[str])
     return vector_entries(counted, key, "_counts", "tf").withColumn("tf", F.col("tf").cast("long"))
 
 
-def tfidf_weights(tokens: DataFrame, key: str, column: str, terms: Sequence[str]) -> DataFrame:
-    """``key, idx, weight`` of the TF-IDF vectors, fitted on the given rows."""
-    model = tfidf_model(tokens.select(key, column), terms, column, "_tfidf")
-    return vector_entries(model.transform(tokens.select(key, column)), key, "_tfidf", "weight")
+def tfidf_weights(tokens: DataFrame, key: str, column: str, vocabulary: Vocabulary) -> DataFrame:
+    """``key, idx, weight`` of the TF-IDF vectors."""
+    weighted = tfidf_model(vocabulary, column, "_tfidf").transform(tokens.select(key, column))
+    return vector_entries(weighted, key, "_tfidf", "weight")
 
 
 # ---- lemmas ---------------------------------------------------------------------------------
@@ -121,7 +109,7 @@ def learn_encoder(df: DataFrame, column: str, max_features: int) -> dict[str, in
     """``{piece: id}``: the special tokens, then the most frequent words in alphabetical order."""
     specials = [m.lower() for m in SPECIAL_TOKENS]
     pieces = df.select(F.filter(input_pieces(F.col(column)), lambda p: ~p.isin(specials)).alias("words"))
-    terms = vocabulary_terms(build_vocabulary(pieces, "words", max_features))
+    terms = learn_vocabulary(pieces, "words", max_features).terms
     return {piece: number for number, piece in enumerate([*specials, *terms])}
 
 

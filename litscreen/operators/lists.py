@@ -4,6 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
+
+from litscreen.operators.checks import require_columns
+
+
+def content_hash(df: DataFrame) -> Column:
+    """A number that depends on the values of a row alone, so that a repeated task gives the same one."""
+    hashable = [f.name for f in df.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in hashable])
 
 
 def map_members(df: DataFrame, members: Column, table: DataFrame, output: str, keep_unknown: bool = False) -> DataFrame:
@@ -11,25 +20,48 @@ def map_members(df: DataFrame, members: Column, table: DataFrame, output: str, k
 
     ``table`` has ``member`` (no value twice) and ``value``. Unknown and null
     members go, unless ``keep_unknown`` leaves them as they are. A NULL list gives
-    an empty one. Every row keeps a number of its own through the join, so rows
-    need no key; its other columns travel once, with its first member. Catalyst
-    broadcasts a small table and adaptive execution splits the partition of a
-    member that very many lists hold; null members meet in no task.
+    an empty one.
+
+    Only members that the table knows are shuffled, as patches ``position,
+    value`` under the digest of their list; equal lists share their patches,
+    which are combined before the shuffle. Each row then meets the patches of its
+    list, and they are put into it. Nothing depends on the order of rows, so a
+    repeated task gives the same result. ``df`` is evaluated twice.
     """
-    rows = df.select(F.struct("*").alias("_whole"), F.monotonically_increasing_id().alias("_row"), members.alias("_list"))
-    exploded = rows.select("_whole", "_row", F.posexplode_outer("_list").alias("_pos", "_member"))
-    # a null member gets a key that no table holds, different in every row
-    key = F.coalesce("_member", F.concat(F.lit("\u0000"), F.col("_row").cast("string")))
-    narrow = exploded.select(
-        F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_whole")).alias("_whole"), "_row", "_pos", "_member", key.alias("_key")
-    )
-    values = table.select(F.col("member").alias("_known"), F.col("value").alias("_value"))
-    found = narrow.join(values, F.col("_key") == F.col("_known"), "left")
-    value = F.coalesce("_value", "_member") if keep_unknown else F.col("_value")
-    pair = F.when(value.isNotNull(), F.struct("_pos", value.alias("_value")))
-    pairs = F.array_sort(F.collect_list(pair))
-    lists = found.groupBy("_row").agg(
-        F.first("_whole", ignorenulls=True).alias("_whole"), F.transform(pairs, lambda p: p["_value"]).alias("_out")
+    require_columns(table, ["member", "value"], "lookup table")
+    rows = df.select(F.struct("*").alias("_whole"), members.alias("_list"), content_hash(df).alias("_hash"))
+    # lists without members have no patches; their rows are spread
+    digest = F.when(F.size("_list") > 0, F.md5(F.to_json("_list"))).otherwise(F.col("_hash").cast("string"))
+    keyed = rows.select("_whole", "_list", digest.alias("_digest"))
+
+    values = table.where("value IS NOT NULL").select(F.col("member").alias("_known"), F.col("value").alias("_value"))
+    exploded = keyed.select("_digest", F.posexplode("_list").alias("_pos", "_member")).where("_member IS NOT NULL")
+    hits = exploded.join(values, F.col("_member") == F.col("_known"))
+    once = hits.groupBy("_digest", "_pos").agg(F.min("_value").alias("_value"))
+    patches = once.groupBy(F.col("_digest").alias("_of")).agg(
+        F.array_sort(F.collect_list(F.struct("_pos", "_value"))).alias("_patches")
     )
+
+    patched = F.transform("_patches", lambda p: p["_value"])
+    if keep_unknown:
+        patched = F.when(F.col("_patches").isNull(), F.col("_list")).otherwise(_put_in(F.col("_list"), F.col("_patches")))
+    empty = F.array().cast("array<string>") if keep_unknown else F.array().cast(f"array<{dict(values.dtypes)['_value']}>")
+    joined = keyed.join(patches, F.col("_digest") == F.col("_of"), "left")
     kept = [F.col(f"_whole.`{c}`").alias(c) for c in df.columns if c != output]
-    return lists.select(*kept, F.col("_out").alias(output))
+    return joined.select(*kept, F.coalesce(patched, empty).alias(output))
+
+
+def _put_in(members: Column, patches: Column) -> Column:
+    """The list with the patched members; null members go.
+
+    Both are sorted by position together; of a member and its patch the patch comes last and stays.
+    """
+    old = F.transform(members, lambda m, i: F.struct(i.alias("pos"), F.lit(0).alias("kind"), m.alias("value")))
+    new = F.transform(patches, lambda p: F.struct(p["_pos"].alias("pos"), F.lit(1).alias("kind"), p["_value"].alias("value")))
+    # in a list of one, so that it is sorted once and not for every member
+    both = F.array(F.array_sort(F.concat(F.filter(old, lambda e: e["value"].isNotNull()), new)))
+
+    def last_of_place(entries: Column) -> Column:
+        return F.filter(entries, lambda e, i: F.coalesce(F.get(entries, i + 1)["pos"] != e["pos"], F.lit(True)))
+
+    return F.transform(F.transform(both, last_of_place)[0], lambda e: e["value"])

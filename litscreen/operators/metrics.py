@@ -7,8 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litscreen.operators.checks import small_lookup
-
 # Metric names and the prefixes of the three evaluations.
 BINARY_METRICS = ["accuracy", "precision", "recall", "f1"]
 SPLIT_PREFIXES = {"train": "best_train", "val": "best_val", "test": "test"}
@@ -29,7 +27,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 def balanced_class_weights(df: DataFrame, label: str, train: Column | None = None) -> DataFrame:
     """Add ``weight``, computed on the rows where ``train`` holds (default: all)."""
     base = df if train is None else df.where(train)
-    return df.join(small_lookup(class_weights(base, label)), label, "left")
+    return df.join(class_weights(base, label), label, "left")
 
 
 def binary_metric_columns(label: Column, prediction: Column) -> dict[str, Column]:

@@ -6,21 +6,25 @@ is learned on the training rows of the fold or split at hand.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from litscreen.operators import features as ft
+from litscreen.operators import many_models as mm
 from litscreen.operators import metrics as mt
 from litscreen.operators.checks import require_columns
 from litscreen.operators.experiments import best_grid_point, grid_results
 from litscreen.operators.stages import Lemmatiser, NgramTokens, TextCleaner, ThresholdPrediction
+from litscreen.operators.vocabulary import Vocabulary, learn_vocabulary
+from litscreen.session import scratch_path
 
 
 @dataclass(frozen=True)
@@ -49,7 +53,7 @@ class TextModel:
         return options, tuple(sorted(self.lemmas.items())), self.ngram_max
 
 
-# The five kinds of text models, with the settings they are used with.
+# The five kinds of text models, with the settings they are used with.
 VARIANTS = {
     "counts": TextModel(remove_digits=False, remove_punct=False, ngram_max=2, C=0.1),
     "counts_lemmas": TextModel(ngram_max=2, C=0.1),
@@ -98,11 +102,11 @@ def text_stages(spec: TextModel, text: str, output: str = "tokens") -> list:
     return [*stages, NgramTokens(inputCol=column, outputCol=output, nMax=spec.ngram_max)]
 
 
-def vector_model(tokens: DataFrame, spec: TextModel, terms: Sequence[str]) -> PipelineModel:
-    """From the token list to the feature vector, fitted on ``tokens``."""
+def vector_model(spec: TextModel, vocabulary: Vocabulary) -> PipelineModel:
+    """From the token list to the feature vector."""
     if spec.weighting == "tfidf":
-        return ft.tfidf_model(tokens, terms, "tokens", "features")
-    return PipelineModel([ft.count_model(terms, "tokens", "features")])
+        return ft.tfidf_model(vocabulary, "tokens", "features")
+    return PipelineModel([ft.count_model(vocabulary.terms, "tokens", "features")])
 
 
 def train_logreg(train: DataFrame, spec: TextModel, n_train: int):
@@ -146,10 +150,13 @@ def tokenised(rows: DataFrame, text: str, label: str, spec: TextModel, *keep: st
     return stages, PipelineModel(stages).transform(labelled).select("label", "tokens", *keep)
 
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def fit_on_tokens(tokens: DataFrame, spec: TextModel) -> list:
     """Fitted stages from the token list to ``prediction``; ``tokens`` should be kept in memory."""
-    terms = ft.vocabulary_terms(ft.build_vocabulary(tokens, "tokens", spec.max_features))
-    vectors = vector_model(tokens, spec, terms)
+    vectors = vector_model(spec, learn_vocabulary(tokens, "tokens", spec.max_features))
     weighted = mt.balanced_class_weights(tokens, "label")
     rows = vectors.transform(weighted).select("features", "label", "weight")
     return [*vectors.stages, *train_classifier(rows, spec, tokens.count())]
@@ -158,7 +165,7 @@ def fit_on_tokens(tokens: DataFrame, spec: TextModel) -> list:
 def fit_text_model(train: DataFrame, text: str, label: str, spec: TextModel) -> PipelineModel:
     """One fitted object from the text column to ``prediction``."""
     stages, tokens = tokenised(train, text, label, spec)
-    tokens.persist()
+    tokens = tokens.repartition(_partitions(train)).persist()  # texts come in few, large files
     try:
         return PipelineModel([*stages, *fit_on_tokens(tokens, spec)])
     finally:
@@ -206,60 +213,145 @@ def candidates(base: TextModel, grid: Mapping[str, Sequence]) -> list[TextModel]
     return [replace(base, **dict(zip(names, values))) for values in product(*(grid[n] for n in names))]
 
 
-def _fold_vocabularies(tokens: DataFrame, n_folds: int, max_features: int) -> list[list[tuple[str, int]]]:
-    """Per fold the top terms of its training rows with their counts, from one count over all rows.
+def _fold_vocabularies(tokens: DataFrame, n_folds: int, max_features: int) -> list[list[str]]:
+    """Per fold the top terms of its training rows, the most frequent first, from one count over all rows.
 
-    A term's count on the training rows is its total without the fold's own count.
+    A term's count on the training rows is its total without the fold's own
+    count. Ties go to the alphabetically first term. At most ``max_features``
+    terms per fold reach the driver.
     """
-    in_fold = [F.count_if(F.col("fold") == f).alias(f"_in_{f}") for f in range(n_folds)]
-    counts = (
-        ft.exploded_terms(tokens, "tokens", "fold")
-        .groupBy("term")
-        .agg(F.count("*").alias("_all"), *in_fold)
-        .persist()
+    in_fold = [F.count_if(F.col("fold") == f) for f in range(n_folds)]
+    total = F.count_if(F.col("fold").isNotNull())
+    counts = ft.exploded_terms(tokens, "tokens", "fold").groupBy("term").agg(
+        F.array(*[total - own for own in in_fold]).alias("counts")
     )
+    by_fold = counts.select("term", F.posexplode("counts").alias("fold", "n")).where("n > 0")
+    best = Window.partitionBy("fold").orderBy(F.col("n").desc(), "term")
+    top = by_fold.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max_features)
+    tops: list[list[str]] = [[] for _ in range(n_folds)]
+    for row in sorted(top.select("fold", "rank", "term").collect()):
+        tops[row["fold"]].append(row["term"])
+    return tops
+
+
+def _search_source(number: int, train: DataFrame, text: str, label: str, spec: TextModel, n_folds: int, most: int) -> tuple:
+    """One token list of a search: top terms per fold, all of them in order, its blocks of term counts."""
+    tokens = tokenised(train, text, label, spec, "fold")[1].where("label IS NOT NULL")
+    tokens = tokens.repartition(_partitions(train)).persist()
     try:
-        tops = []
-        for f in range(n_folds):
-            n = F.col("_all") - F.col(f"_in_{f}")
-            top = counts.select("term", n.alias("n")).where("n > 0").orderBy(F.col("n").desc(), "term")
-            tops.append([(row["term"], row["n"]) for row in top.limit(max_features).collect()])
-        return tops
+        tops = _fold_vocabularies(tokens, n_folds, most)
+        terms = sorted(set().union(*tops))
+        if not terms:
+            raise ValueError("the training texts have no terms")
+        counted = ft.count_model(terms, "tokens", "_counts").transform(tokens).withColumn("_v", F.unwrap_udt("_counts"))
+        rows = counted.select(
+            F.lit(number).alias("source"), "fold", "label", F.col("_v.indices").alias("terms"), F.col("_v.values").alias("counts")
+        )
+        path = scratch_path(train.sparkSession, "search")
+        mm.pack(rows).write.parquet(path)
+        return tops, terms, path
     finally:
-        counts.unpersist()
+        tokens.unpersist()
+
+
+def _fold_statistics(rows: mm.Rows, n_folds: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Per source and fold: rows by label, then in how many rows each term stands."""
+    present = rows.counts > 0
+    for fold in range(n_folds):
+        mine = rows.fold == fold
+        labels = np.bincount(rows.label[mine], minlength=2)[:2].astype(np.float64)
+        yield rows.source * n_folds + fold, np.concatenate((labels, present[mine].sum(0)))
+
+
+def _class_weights(counts: np.ndarray) -> tuple[float, float]:
+    """Balanced weights of label 0 and 1; a class without rows has none."""
+    present = np.count_nonzero(counts)
+    return tuple(float(counts.sum() / (present * n)) if n else 0.0 for n in counts)
+
+
+def _idf(held: np.ndarray, n_rows: float) -> np.ndarray:
+    return np.log((1 + n_rows) / (1 + held)) + 1
+
+
+def _search_records(
+    train: DataFrame, text: str, label: str, specs: list[TextModel], names: Sequence[str], n_folds: int, parallelism: int
+) -> list[dict]:
+    """One record per candidate and fold, all models of the search fitted together."""
+    by_text: dict = {}
+    for number, spec in enumerate(specs):
+        by_text.setdefault(spec.text_options(), []).append(number)
+    groups = list(by_text.values())
+    with ThreadPool(parallelism) as pool:
+        tasks = [
+            (source, train, text, label, specs[group[0]], n_folds, max(specs[n].max_features for n in group))
+            for source, group in enumerate(groups)
+        ]
+        sources = pool.starmap(_search_source, tasks)
+    spark = train.sparkSession
+    blocks = spark.read.schema(mm.BLOCK).parquet(*[path for _, _, path in sources]).persist()
+    widths = [len(terms) for _, terms, _ in sources]
+    try:
+        counted = mm.summed(blocks, widths, _fold_statistics, n_folds)
+        views, view_of, models, candidates_of = [], {}, [], []
+        for source, (group, (tops, terms, _)) in enumerate(zip(groups, sources)):
+            place = {term: i for i, term in enumerate(terms)}
+            folds = [counted.get(source * n_folds + f, np.zeros(2 + len(terms))) for f in range(n_folds)]
+            for fold in range(n_folds):
+                rest = sum(folds) - folds[fold]
+                for number in group:
+                    spec = specs[number]
+                    key = (source, fold, spec.weighting, spec.max_features)
+                    if key not in view_of:
+                        columns = np.array(sorted(place[t] for t in tops[fold][: spec.max_features]), np.int64)
+                        tfidf = spec.weighting == "tfidf"
+                        weights = _idf(rest[2:][columns], rest[:2].sum()) if tfidf else np.ones(len(columns))
+                        view_of[key] = len(views)
+                        weight = _class_weights(rest[:2])
+                        views.append(mm.View(source, fold, columns, weights, tfidf, weight, int(rest[:2].sum())))
+                    models.append(mm.Model(view_of[key], spec.C))
+                    candidates_of.append((number, fold))
+        found, left = mm.fit_models(blocks, widths, views, models, specs[0].max_iter, mm.TOLERANCE)
+        confusions = mm.confusion_counts(blocks, widths, views, models, found)
+    finally:
+        blocks.unpersist()
+    records = []
+    for (number, fold), cells, gradient in zip(candidates_of, confusions, left):
+        (train_f1, _, _), (f1, precision, recall) = (_scores(part) for part in cells)
+        tags = {"candidate": number} | {name: getattr(specs[number], name) for name in names}
+        scores = {"f1": f1, "precision": precision, "recall": recall, "train_f1": train_f1}
+        records.append({**tags, "fold": fold, **scores, "gradient": float(gradient)})
+    return records
 
 
-def _fold_records(fold: int, tokens: DataFrame, specs: list[TextModel], top: list, names: Sequence[str]) -> list[dict]:
-    """Metrics of every candidate of one token list and one fold, on its train and test rows."""
-    train, test = tokens.where(F.col("fold") != fold), tokens.where(F.col("fold") == fold)
-    n_train = train.count()
+def _scores(cells: np.ndarray) -> tuple[float, float, float]:
+    """F1, precision and recall of class 1 from ``[label, prediction]`` counts, 0 where there is nothing to divide by."""
+    hit, predicted, actual = cells[1, 1], cells[:, 1].sum(), cells[1].sum()
+    return tuple(float(a / b) if b else 0.0 for a, b in ((2 * hit, predicted + actual), (hit, predicted), (hit, actual)))
+
+
+def _fitted_records(
+    train: DataFrame, text: str, label: str, specs: list[TextModel], names: Sequence[str], n_folds: int
+) -> list[dict]:
+    """As ``_search_records`` for classifiers that have no gradient: one fit per candidate and fold."""
     records = []
-    for weighting, max_features in sorted({(s.weighting, s.max_features) for s in specs}):
-        group = [s for s in specs if (s.weighting, s.max_features) == (weighting, max_features)]
-        terms = sorted(term for term, _ in top[:max_features])
-        vectors = vector_model(train, group[0], terms)
-        columns = ["label", "weight", "features"]
-        weighted = mt.balanced_class_weights(train, "label")
-        train_rows = vectors.transform(weighted).select(*columns).persist()
-        test_rows = vectors.transform(test.withColumn("weight", F.lit(1.0))).select(*columns)
+    for number, spec in enumerate(specs):
+        tokens = tokenised(train, text, label, spec, "fold")[1].persist()
         try:
-            for spec in group:
-                model = PipelineModel(train_classifier(train_rows, spec, n_train))
-                tags = {name: getattr(spec, name) for name in names}
-                both = train_rows.withColumn("part", F.lit("train")).union(test_rows.withColumn("part", F.lit("test")))
-                parts = mt.binary_metrics(model.transform(both), "label", "prediction", "part").collect()
-                found = {row["part"]: row for row in parts}
-                record = {**tags, "fold": fold}
-                for metric in ("f1", "precision", "recall"):
-                    record[metric] = found["test"][metric]
-                record["train_f1"] = found["train"]["f1"]
-                records.append(record)
+            for fold in range(n_folds):
+                own, rest = F.col("fold") == fold, F.col("fold") != fold
+                model = PipelineModel(fit_on_tokens(tokens.where(rest), spec))
+                part = F.when(own, "test").otherwise("train")
+                scored = model.transform(tokens.where("fold IS NOT NULL").withColumn("part", part))
+                found = {row["part"]: row for row in mt.binary_metrics(scored, "label", "prediction", "part").collect()}
+                tags = {"candidate": number} | {name: getattr(spec, name) for name in names}
+                scores = {m: found["test"][m] for m in ("f1", "precision", "recall")}
+                records.append({**tags, "fold": fold, **scores, "train_f1": found["train"]["f1"], "gradient": None})
         finally:
-            train_rows.unpersist()
+            tokens.unpersist()
     return records
 
 
-def grid_search(
+def search_folds(
     train: DataFrame,
     text: str,
     label: str,
@@ -267,42 +359,43 @@ def grid_search(
     grid: Mapping[str, Sequence],
     n_folds: int = 5,
     parallelism: int = 4,
-) -> tuple[DataFrame, TextModel, PipelineModel]:
-    """``(results, best settings, refitted model)`` of a full grid over the ``fold`` column.
-
-    Texts are tokenised once per set of text options and term counts are taken
-    once for all folds; features are kept per fold while its candidates are
-    fitted. The results have, per numbered candidate, mean and population std
-    of the test metrics and the mean F1 on the training rows. Of equal
-    candidates the first wins.
+) -> DataFrame:
+    """One row per numbered candidate of the grid and per ``fold``: its parameters, test metrics and training F1.
+
+    Texts are tokenised and counted once per set of text options; vocabulary,
+    document frequencies and class weights are those of the training rows of the
+    fold. All logistic models are fitted in one optimisation (``many_models``);
+    ``gradient`` is the largest component of the gradient that is left of each.
     """
     require_columns(train, [text, label, "fold"])
-    specs = candidates(base, grid)
-    names = sorted(grid)
-    number = {tuple(getattr(s, n) for n in names): i for i, s in enumerate(specs)}
-    by_text: dict = {}
-    for spec in specs:
-        by_text.setdefault(spec.text_options(), []).append(spec)
-    records = []
-    for group in by_text.values():
-        tokens = tokenised(train, text, label, group[0], "fold")[1].persist()
-        try:
-            tops = _fold_vocabularies(tokens, n_folds, max(s.max_features for s in group))
-            with ThreadPool(parallelism) as pool:
-                tasks = [(f, tokens, group, tops[f], names) for f in range(n_folds)]
-                for found in pool.starmap(_fold_records, tasks):
-                    records += found
-        finally:
-            tokens.unpersist()
+    specs, names = candidates(base, grid), sorted(grid)
+    if all(spec.classifier == "logreg" for spec in specs):
+        records = _search_records(train, text, label, specs, names, n_folds, parallelism)
+    else:
+        records = _fitted_records(train, text, label, specs, names, n_folds)
+    kinds = {bool: "boolean", int: "int", float: "double", str: "string"}
+    typed = [f"`{name}` {kinds[type(getattr(specs[0], name))]}" for name in names]
+    schema = ", ".join(["candidate int", *typed, "fold int, f1 double, precision double, recall double, train_f1 double, gradient double"])
     # one small record per candidate and fold
-    records = [{"candidate": number[tuple(r[n] for n in names)], **r} for r in records]
-    table = train.sparkSession.createDataFrame([tuple(r.values()) for r in records], list(records[0])).coalesce(1)
-    results = grid_results(table, ["candidate", *names], ["f1", "precision", "recall"]).join(
-        table.groupBy("candidate").agg(F.avg("train_f1").alias("mean_train_f1")), "candidate"
+    return train.sparkSession.createDataFrame([tuple(r.values()) for r in records], schema).coalesce(1)
+
+
+def grid_search(
+    train: DataFrame, text: str, label: str, base: TextModel, grid: Mapping[str, Sequence], n_folds: int = 5, parallelism: int = 4
+) -> tuple[DataFrame, TextModel]:
+    """``(results, best settings)`` of a full grid over the ``fold`` column.
+
+    The results have, per numbered candidate, mean and population std of the
+    test metrics and the mean F1 on the training rows. Of equal candidates the
+    first wins; ``fit_text_model`` with the best settings refits it on all rows.
+    """
+    names = sorted(grid)
+    folds = search_folds(train, text, label, base, grid, n_folds, parallelism)
+    results = grid_results(folds, ["candidate", *names], ["f1", "precision", "recall"]).join(
+        folds.groupBy("candidate").agg(F.avg("train_f1").alias("mean_train_f1")), "candidate"
     )
     winner = best_grid_point(results).first()
-    best = replace(base, **{name: winner[name] for name in names})
-    return results, best, fit_text_model(train, text, label, best)
+    return results, replace(base, **{name: winner[name] for name in names})
 
 
 def cv_run(rows: DataFrame, text: str, label: str, spec: TextModel, n_folds: int = 5) -> DataFrame:

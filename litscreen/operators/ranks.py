@@ -9,7 +9,7 @@ that partition must come from the same run.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litscreen.session import ensure_checkpoint_dir
@@ -38,6 +38,30 @@ def _offsets(numbered: DataFrame, weight) -> DataFrame:
     )
 
 
+def nth_text(texts: DataFrame, column: str, n: int) -> str | None:
+    """The ``n``-th text (from 1) of a column of distinct texts in their order; None for 0.
+
+    Counts of leading characters tell where it lies; only the texts that begin
+    alike are looked at more closely, until one is left. A count has one row per
+    next character. ``texts`` is read once per character of the answer at most,
+    so it should be kept in memory.
+    """
+    if n <= 0:
+        return None
+    known = ""
+    while True:
+        begins = texts.where(F.startswith(F.col(column), F.lit(known))) if known else texts
+        prefix: Column = F.substring(column, 1, len(known) + 1)
+        counts = begins.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n"), F.min(column).alias("least"))
+        for row in sorted(counts.collect(), key=lambda r: r["prefix"].encode()):
+            if n <= row["n"]:
+                break
+            n -= row["n"]
+        if row["n"] == 1 or n == 1:
+            return row["least"]
+        known = row["prefix"]
+
+
 def ordered_positions(df: DataFrame, order_cols: list, name: str, total: str) -> DataFrame:
     """Add the 0-based position of each row in the order of ``order_cols`` and the number of rows.
 

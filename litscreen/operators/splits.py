@@ -4,17 +4,21 @@ Rows are put in the order of ``md5(seed|key)`` inside their class and cut at
 exact positions, so sizes are exact and membership does not depend on how the
 rows are partitioned. The cuts are found by counting hash buckets; only the
 buckets that hold a cut are ranked. The table itself is then marked row by row
-by comparing with the cut points, without a shuffle.
+by comparing with the cut points of its class. Class sizes, quotas and cuts are
+tables themselves, so there may be any number of classes.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
+from collections.abc import Callable
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from litscreen.operators.checks import SMALL_ROWS, require_columns
+from litscreen.operators.checks import require_columns
+from litscreen.operators.ranks import ordered_positions, running_weight
 from litscreen.session import ensure_checkpoint_dir
 
 _BUCKET_DIGITS = 4  # 65 536 hash buckets per class
@@ -34,31 +38,72 @@ def exact_size(total: int, share: float) -> int:
     return nearest if abs(size - nearest) < 1e-9 * max(total, 1) else int(-(-size // 1))
 
 
-def class_quotas(counts: dict, size: int) -> dict:
-    """Share ``size`` among the classes by largest remainder; ties go to the lower label."""
-    total = sum(counts.values())
-    quotas = {c: n * size // total for c, n in counts.items()}
-    by_remainder = sorted(counts, key=lambda c: (-(counts[c] * size % total), c))
-    for c in by_remainder[: size - sum(quotas.values())]:
-        quotas[c] += 1
-    return quotas
+def class_quotas(classes: DataFrame, column: str, size: int, output: str) -> DataFrame:
+    """Add ``output``: ``size`` shared among the classes in proportion to ``column``, by largest remainder.
 
+    Ties go to the lower label. ``classes`` is a stored table of ``_class`` and
+    counts; remainders are ranked by a distributed sort of that table.
+    """
+    total = classes.agg(F.sum(column)).first()[0]
+    shared = f"CAST({column} AS DECIMAL(19, 0)) * CAST({size} AS DECIMAL(19, 0))"
+    whole = classes.withColumns(
+        {"_whole": F.expr(f"({shared}) DIV {total}"), "_rest": F.expr(f"CAST(({shared}) % {total} AS DECIMAL(20, 0))")}
+    )
+    over = size - whole.agg(F.sum("_whole")).first()[0]
+    if over:
+        ranked = ordered_positions(whole, [F.col("_rest").desc(), F.col("_class")], "_place", "_classes")
+        quota = F.col("_whole") + (F.col("_place") < over).cast("long")
+    else:
+        ranked, quota = whole, F.col("_whole")
+    return ranked.select(*classes.columns, quota.alias(output))
+
+
+def fold_cuts(classes: DataFrame, column: str, k: int, before: str | None = None) -> DataFrame:
+    """Add ``_cuts``: where the folds of each class end, the last left out; classes in label order dealt out in turn.
+
+    The rows of a class go to the folds round about, the first to the fold after
+    that of the last row of the class before. With ``before`` the cuts are moved
+    by that many rows, which make the first part.
+    """
+    placed = running_weight(classes, ["_class"], column, "_upto", "_total")
+    start = F.col("_upto") - F.col(column)
+
+    def dealt(fold: int) -> Column:
+        """Rows of the class in the folds up to this one."""
+        return reduce(
+            lambda a, b: a + b,
+            [F.floor((F.col("_upto") - i + k - 1) / k) - F.floor((start - i + k - 1) / k) for i in range(fold + 1)],
+        )
 
-def fold_quotas(counts: dict, k: int) -> dict:
-    """Rows of each class in each of ``k`` folds: classes in label order dealt out in turn."""
-    quotas, start = {}, 0
-    for c in sorted(counts):
-        dealt = [(start + counts[c] - i + k - 1) // k - (start - i + k - 1) // k for i in range(k)]
-        quotas[c] = dealt
-        start += counts[c]
-    return quotas
+    first = F.lit(0) if before is None else F.col(before)
+    cuts = [first + dealt(fold) for fold in range(k - 1)]
+    if before is not None:
+        cuts.insert(0, first)
+    return placed.select(*classes.columns, F.array(*[c.cast("long") for c in cuts]).alias("_cuts"))
 
 
-def _check_split(counts: dict, test: int) -> None:
-    total = sum(counts.values())
-    if min(counts.values()) < 2:
+class Sizes(NamedTuple):
+    """What the checks need to know of a table of class sizes."""
+
+    rows: int
+    classes: int
+    least: int
+    most: int
+
+
+def _sizes(classes: DataFrame, column: str = "_n") -> Sizes:
+    found = classes.agg(F.sum(column), F.count("*"), F.min(column), F.max(column), F.count_if(F.col("_class").isNull())).first()
+    if not found[1]:
+        raise ValueError("there are no rows to split")
+    if found[4]:
+        raise ValueError("NULL labels cannot be split")
+    return Sizes(*found[:4])
+
+
+def _check_split(sizes: Sizes, test: int) -> None:
+    if sizes.least < 2:
         raise ValueError("a class has fewer than 2 rows")
-    if test < len(counts) or total - test < len(counts):
+    if test < sizes.classes or sizes.rows - test < sizes.classes:
         raise ValueError("a side of the split has fewer rows than there are classes")
 
 
@@ -82,92 +127,56 @@ def _bucket_counts(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("_class", _bucket().alias("_bucket")).agg(F.count("*").alias("_n")).checkpoint()
 
 
-def _class_counts(buckets: DataFrame) -> dict:
-    rows = buckets.groupBy("_class").agg(F.sum("_n").alias("n")).limit(SMALL_ROWS + 1).collect()
-    if not rows:
-        raise ValueError("there are no rows to split")
-    if len(rows) > SMALL_ROWS:
-        raise ValueError("the label column is no class label: too many distinct values")
-    counts = {row["_class"]: row["n"] for row in rows}
-    if None in counts:
-        raise ValueError("NULL labels cannot be split")
-    return counts
-
-
-def _cut_points(keyed: DataFrame, buckets: DataFrame, cuts: dict) -> list[tuple]:
-    """``(class, cut number, hash, key)`` of the last row before each cut.
+def _cut_points(keyed: DataFrame, buckets: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``_class, _skipped, _lasts``, stored: hash and key of the last row before each cut of a class, in order.
 
-    ``cuts`` maps a class to its increasing cut positions. Cut 0 takes nothing
-    and a cut at the end takes everything; both are exact as they are.
+    ``cuts`` has the increasing cut positions of every class in ``_cuts``. A cut
+    at position 0 takes nothing and is only counted, in ``_skipped``.
     """
-    spark = keyed.sparkSession
-    wanted = [(c, number, position) for c, positions in cuts.items() for number, position in enumerate(positions) if position]
-    if not wanted:
-        return []
-    class_type = dict(keyed.dtypes)["_class"]
-    targets = spark.createDataFrame(wanted, f"_class {class_type}, _cut int, _position long")
+    wanted = cuts.select("_class", F.posexplode("_cuts").alias("_cut", "_position"))
     upto = Window.partitionBy("_class").orderBy("_bucket")
     placed = buckets.withColumn("_upto", F.sum("_n").over(upto))
     holding = (
-        placed.join(F.broadcast(targets), "_class")
+        placed.join(wanted.where("_position > 0"), "_class")
         .where((F.col("_position") <= F.col("_upto")) & (F.col("_position") > F.col("_upto") - F.col("_n")))
         .select("_class", "_cut", "_bucket", (F.col("_position") - F.col("_upto") + F.col("_n")).alias("_rank_wanted"))
     )
     inside = Window.partitionBy("_class", "_cut").orderBy("_hash", "_key")
-    # one bucket per wanted cut, so the broadcast side has as many rows as there are cuts
     ranked = (
         keyed.withColumn("_bucket", _bucket())
-        .join(F.broadcast(holding), ["_class", "_bucket"])
+        .join(holding, ["_class", "_bucket"])  # one bucket per cut
         .withColumns({"_rank": F.row_number().over(inside), "_next": F.lead("_key").over(inside)})
         .where(F.col("_rank") == F.col("_rank_wanted"))
     )
-    points = ranked.select("_class", "_cut", "_hash", "_key", (F.col("_next") == F.col("_key")).alias("_repeats")).collect()
-    if any(row["_repeats"] for row in points):
+    last = F.struct(F.col("_hash").alias("h"), F.col("_key").alias("k"))
+    lasts = ranked.groupBy("_class").agg(
+        F.array_sort(F.collect_list(last)).alias("_lasts"), F.max(F.col("_next") == F.col("_key")).alias("_repeats")
+    )
+    skipped = F.size(F.filter("_cuts", lambda position: position == 0))
+    points = cuts.select("_class", skipped.alias("_skipped")).join(lasts, "_class", "left").checkpoint()
+    if points.where("_repeats").limit(1).count():
         raise ValueError("the key does not identify the rows: it repeats at a cut")
-    return [tuple(row)[:4] for row in points]
+    return points.drop("_repeats")
 
 
-def _part_number(df: DataFrame, label: str | None, key: str, seed: int, points: list[tuple], cuts: dict) -> DataFrame:
-    """Add ``_part``: how many cuts lie before the row in the order of its class."""
-    group = F.lit(0) if label is None else F.col(label)
-    at = F.struct(hash_order(seed, key).alias("h"), F.col(key).alias("k"))
-    number = max(len(positions) for positions in cuts.values())
-    if len(cuts) * number <= 64:
-        # few classes: compare with literals, nothing to join
-        part = F.lit(0)
-        found = {(c, cut): (h, k) for c, cut, h, k in points}
-        for c, positions in cuts.items():
-            passed = F.lit(0)
-            for cut, _ in enumerate(positions):
-                point = found.get((c, cut))
-                beyond = F.lit(1)  # a cut at position 0 lies before every row
-                if point is not None:
-                    last = F.struct(F.lit(point[0]).alias("h"), F.lit(point[1]).alias("k"))
-                    beyond = (at > last).cast("int")
-                passed = passed + beyond
-            part = F.when(group.eqNullSafe(F.lit(c)), passed).otherwise(part)
-        return df.withColumn("_part", part)
-    spark = df.sparkSession
-    types = dict(df.dtypes)
-    class_type = "int" if label is None else types[label]
-    lists: dict = {c: [] for c in cuts}
-    for c, _, h, k in points:
-        lists[c].append((h, k))
-    skipped = {c: sum(1 for position in positions if not position) for c, positions in cuts.items()}
-    rows = [(c, skipped[c], lists[c]) for c in cuts]
-    schema = f"_class {class_type}, _skipped int, _lasts array<struct<h: string, k: {types[key]}>>"
-    table = F.broadcast(spark.createDataFrame(rows, schema))  # one row per class, SMALL_ROWS at most
-    passed = F.col("_skipped") + F.size(F.filter("_lasts", lambda last: last < at))
-    joined = df.join(table, group == F.col("_class"))
-    return joined.withColumn("_part", passed).drop("_class", "_skipped", "_lasts")
-
-
-def _marked(df: DataFrame, label: str | None, key: str, seed: int, cuts_of) -> DataFrame:
+def _marked(df: DataFrame, label: str | None, key: str, seed: int, cuts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Add ``_part``: how many cuts lie before the row in the order of its class.
+
+    ``cuts_of`` adds ``_cuts`` to the table of class sizes. The table is joined
+    with the cut points of the classes and compared with them row by row;
+    Catalyst broadcasts them if they are few.
+    """
     keyed = _keyed(df, label, key, seed)
     buckets = _bucket_counts(keyed)
-    cuts = cuts_of(_class_counts(buckets))
-    points = _cut_points(keyed, buckets, cuts)
-    return _part_number(df, label, key, seed, points, cuts)
+    classes = buckets.groupBy("_class").agg(F.sum("_n").alias("_n")).checkpoint()
+    points = _cut_points(keyed, buckets, cuts_of(classes))
+    if label is None:
+        points = F.broadcast(points)  # one row
+    points = points.withColumnRenamed("_class", "_of")
+    group = F.lit(0) if label is None else F.col(label)
+    at = F.struct(hash_order(seed, key).alias("h"), F.col(key).alias("k"))
+    passed = F.col("_skipped") + F.coalesce(F.size(F.filter("_lasts", lambda last: last < at)), F.lit(0))
+    return df.join(points, group == F.col("_of")).withColumn("_part", passed).drop("_of", "_skipped", "_lasts")
 
 
 # ---- public operators -----------------------------------------------------------------------
@@ -183,11 +192,12 @@ def stratified_split(
     key repeats at a cut.
     """
 
-    def cuts(counts: dict) -> dict:
-        test = exact_size(sum(counts.values()), test_size)
+    def cuts(classes: DataFrame) -> DataFrame:
+        sizes = _sizes(classes)
+        test = exact_size(sizes.rows, test_size)
         if stratify:
-            _check_split(counts, test)
-        return {c: [quota] for c, quota in class_quotas(counts, test).items()}
+            _check_split(sizes, test)
+        return class_quotas(classes, "_n", test, "_test").withColumn("_cuts", F.array("_test"))
 
     marked = _marked(df, label if stratify else None, key, seed, cuts)
     return marked.withColumn("split", F.when(F.col("_part") == 0, "test").otherwise("train")).drop("_part")
@@ -201,10 +211,10 @@ def random_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42
 def stratified_kfold(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Add ``fold`` 0..k-1: sizes differ by one row at most, classes are spread evenly."""
 
-    def cuts(counts: dict) -> dict:
-        if max(counts.values()) < k:
+    def cuts(classes: DataFrame) -> DataFrame:
+        if _sizes(classes).most < k:
             raise ValueError(f"no class has {k} rows")
-        return {c: list(accumulate(dealt))[:-1] for c, dealt in fold_quotas(counts, k).items()}
+        return fold_cuts(classes, "_n", k)
 
     return _marked(df, label, key, seed, cuts).withColumnRenamed("_part", "fold")
 
@@ -214,14 +224,14 @@ def three_way_split(
 ) -> DataFrame:
     """Add ``split`` train/val/test: a stratified rest, itself split by class into val and test."""
 
-    def cuts(counts: dict) -> dict:
-        rest_rows = exact_size(sum(counts.values()), rest_size)
-        _check_split(counts, rest_rows)
-        rest = class_quotas(counts, rest_rows)
+    def cuts(classes: DataFrame) -> DataFrame:
+        sizes = _sizes(classes)
+        rest_rows = exact_size(sizes.rows, rest_size)
+        _check_split(sizes, rest_rows)
+        rest = class_quotas(classes, "_n", rest_rows, "_rest_rows").checkpoint()
         test_rows = exact_size(rest_rows, test_share)
-        _check_split(rest, test_rows)
-        test = class_quotas(rest, test_rows)
-        return {c: [test[c], rest[c]] for c in counts}
+        _check_split(_sizes(rest, "_rest_rows"), test_rows)
+        return class_quotas(rest, "_rest_rows", test_rows, "_test").withColumn("_cuts", F.array("_test", "_rest_rows"))
 
     marked = _marked(df, label, key, seed, cuts)
     split = F.when(F.col("_part") == 0, "test").when(F.col("_part") == 1, "val").otherwise("train")
@@ -233,12 +243,12 @@ def holdout_then_kfold(
 ) -> DataFrame:
     """Add ``split`` (``test``/``cv``) and ``fold`` (NULL for the hold-out)."""
 
-    def cuts(counts: dict) -> dict:
-        test_rows = exact_size(sum(counts.values()), test_size)
-        _check_split(counts, test_rows)
-        test = class_quotas(counts, test_rows)
-        folds = fold_quotas({c: n - test[c] for c, n in counts.items()}, k)
-        return {c: list(accumulate([test[c], *folds[c][:-1]])) for c in counts}
+    def cuts(classes: DataFrame) -> DataFrame:
+        sizes = _sizes(classes)
+        test_rows = exact_size(sizes.rows, test_size)
+        _check_split(sizes, test_rows)
+        tested = class_quotas(classes, "_n", test_rows, "_test")
+        return fold_cuts(tested.withColumn("_cv", F.col("_n") - F.col("_test")), "_cv", k, before="_test")
 
     marked = _marked(df, label, key, seed, cuts)
     return marked.withColumns(

@@ -84,9 +84,9 @@ def reduce_columns(spark, d):
     return cols.reduce_columns(v.raw_labels(spark, d), ["rejection", "reason"], drop_duplicates=True)
 
 
-@query("lower_columns", v.with_views("fetched", "SELECT PMID AS pmid, Title AS title, Journal AS journal FROM fetched"))
+@query("lower_columns", v.with_views("fetched", "SELECT PMID AS pmid, Title AS title, Abstract AS abstract, Journal AS journal FROM fetched"))
 def lower_columns(spark, d):
-    return cols.lower_columns(v.fetched(spark, d).select("PMID", "Title", "Journal"))
+    return cols.lower_columns(v.fetched(spark, d))
 
 
 @query("rename_columns", v.with_views("raw_labels", "SELECT PMID AS id, rejection, reason AS why FROM raw_labels"))
@@ -104,9 +104,9 @@ def feature_label_view(spark, d):
     return cols.feature_label_view(v.labelled(spark, d), "label", ["doc_id", "text"])
 
 
-@query("ensure_labels", v.with_views("fetched", "SELECT PMID, Journal, CAST(-1 AS INTEGER) AS labels FROM fetched"))
+@query("ensure_labels", v.with_views("fetched", "SELECT PMID, Title, Abstract, Journal, CAST(-1 AS INTEGER) AS labels FROM fetched"))
 def ensure_labels(spark, d):
-    return cols.ensure_labels(v.fetched(spark, d).select("PMID", "Journal"))
+    return cols.ensure_labels(v.fetched(spark, d))
 
 
 # ---- filters --------------------------------------------------------------------------------
@@ -124,6 +124,16 @@ def drop_missing(spark, d):
     return flt.drop_missing(_merged(spark, d), ["Abstract"])[0]
 
 
+@query("drop_missing_rejects", v.with_views(_MERGED, "SELECT * FROM merged WHERE Abstract IS NULL"))
+def drop_missing_rejects(spark, d):
+    return flt.drop_missing(_merged(spark, d), ["Abstract"])[1]
+
+
+@query("drop_values_rejects", v.with_views("raw_labels", "SELECT * FROM raw_labels WHERE reason = 'Review article'"))
+def drop_values_rejects(spark, d):
+    return flt.drop_values(v.raw_labels(spark, d), "reason", REVIEW_REASON)[1]
+
+
 @query("drop_values", v.with_views("raw_labels", "SELECT * FROM raw_labels WHERE reason IS DISTINCT FROM 'Review article'"))
 def drop_values(spark, d):
     return flt.drop_values(v.raw_labels(spark, d), "reason", REVIEW_REASON)[0]
@@ -190,6 +200,14 @@ def normalise_ids(spark, d):
     return cols.normalise_ids(v.table(spark, d, "conversations"), "conv_id")[0]
 
 
+@query(
+    "normalise_ids_rejects",
+    v.with_views("lookup", "SELECT DISTINCT pmid AS value FROM lookup WHERE pmid LIKE 'PMC%'"),
+)
+def normalise_ids_rejects(spark, d):
+    return cols.normalise_ids(v.lookup(spark, d), "pmid")[1]
+
+
 # ---- joins and the whole plan ---------------------------------------------------------------
 
 

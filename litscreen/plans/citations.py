@@ -15,6 +15,7 @@ from litscreen.plans import views as v
 from litscreen.plans.registry import query
 from litscreen.sources import payloads
 from litscreen.sources.delimited import decode_list_literal as decode_list
+from litscreen.sources.delimited import decode_lists
 
 _LISTS = "work_members work_lists"
 
@@ -271,18 +272,28 @@ def empty_list_share(spark, d):
         "lookup",
         """SELECT l.openalex_id, l.doi, coalesce(l.pmid, i.found_pmid) AS pmid
            FROM lookup l LEFT JOIN (SELECT '10.1/' || p_partkey AS doi, CAST(p_partkey + 900000 AS VARCHAR) AS found_pmid
-                                    FROM part WHERE p_type = 'ECONOMY') i
+                                    FROM part) i
            ON l.pmid IS NULL AND i.doi = string_split(l.doi, 'doi.org/')[-1]""",
     ),
 )
 def fill_pmid_by_doi(spark, d):
-    index = v.table(spark, d, "part").where("p_type = 'ECONOMY'").select(
+    index = v.table(spark, d, "part").select(
         F.concat(F.lit("10.1/"), "p_partkey").alias("doi"),
         (F.col("p_partkey") + 900000).cast("string").alias("found_pmid"),
     )
     return fill_by_doi(v.lookup(spark, d), index).select("openalex_id", "doi", "pmid")
 
 
+@query(
+    "decode_lists_rejects",
+    v.with_views(_LISTS, "SELECT pmid, array_to_string(refs, '; ') AS refs FROM work_lists WHERE len(refs) % 2 = 1"),
+)
+def decode_lists_rejects(spark, d):
+    """Lists with an odd number of members are written without brackets."""
+    written = F.when(F.size("refs") % 2 == 1, F.array_join("refs", "; ")).otherwise(_list_text(F.col("refs")))
+    return decode_lists(v.work_lists(spark, d).select("pmid", written.alias("refs")), "refs", "list")[1]
+
+
 # ---- sets of ids, batches -------------------------------------------------------------------
 
 

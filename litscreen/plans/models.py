@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from litscreen.functions import text as tx
 from litscreen.functions.labels import threshold_label as at_threshold
+from litscreen.operators import many_models as mm
 from litscreen.operators import models as md
 from litscreen.operators import splits as sp
 from litscreen.operators.scoring import predict_labels
@@ -25,6 +26,7 @@ from litscreen.session import scratch_path
 from litscreen.sources import runs as log
 
 _SPEC = md.TextModel(C=0.1)
+_TFIDF = md.TextModel(weighting="tfidf")
 # the only candidate of the forest's grid
 (_FOREST,) = md.candidates(md.TextModel(weighting="tfidf", classifier="forest", lemmas=LEMMAS), md.FOREST_GRID)
 
@@ -81,7 +83,7 @@ def text_models(spark, d):
 def grid_search(spark, d):
     """Results of the 18 candidates on TF-IDF vectors."""
     train, _ = _train_test(spark, d)
-    return md.grid_search(train, "text", "label", md.TextModel(weighting="tfidf"), md.TFIDF_GRID)[0]
+    return md.grid_search(train, "text", "label", _TFIDF, md.TFIDF_GRID)[0]
 
 
 @query("grid_search_counts")
@@ -91,6 +93,22 @@ def grid_search_counts(spark, d):
     return md.grid_search(train, "text", "label", md.TextModel(), md.COUNT_GRID)[0]
 
 
+@query(
+    "grid_search_optima",
+    """
+    SELECT CAST(6 * c.i + 2 * m.i + n.i AS INTEGER) AS candidate, c.v AS C, CAST(m.v AS INTEGER) AS max_features,
+        CAST(n.v AS INTEGER) AS ngram_max, CAST(fold AS INTEGER) AS fold, true AS at_optimum
+    FROM (VALUES (0, CAST(0.1 AS DOUBLE)), (1, CAST(1.0 AS DOUBLE)), (2, CAST(10.0 AS DOUBLE))) c(i, v),
+        (VALUES (0, 1000), (1, 2000), (2, 5000)) m(i, v), (VALUES (0, 1), (1, 2)) n(i, v), range(5) f(fold)
+    """,
+)
+def grid_search_optima(spark, d):
+    """Every model of the search on TF-IDF vectors, and whether its gradient vanishes."""
+    train, _ = _train_test(spark, d)
+    folds = md.search_folds(train, "text", "label", _TFIDF, md.TFIDF_GRID)
+    return folds.select("candidate", *sorted(md.TFIDF_GRID), "fold", (F.col("gradient") <= mm.TOLERANCE).alias("at_optimum"))
+
+
 @query("cv_run")
 def cv_run(spark, d):
     path = scratch_path(spark, "cv-runs")
@@ -112,8 +130,10 @@ def experiment_run(spark, d):
 
 @query("refit_and_test")
 def refit_and_test(spark, d):
+    """Report on the hold-out of the winner of the search on TF-IDF vectors, fitted on all other rows."""
     train, test = _train_test(spark, d)
-    return md.refit_and_test(train, test, "text", "label", _SPEC)
+    _, best = md.grid_search(train, "text", "label", _TFIDF, md.TFIDF_GRID)
+    return md.refit_and_test(train, test, "text", "label", best)
 
 
 @query("top_features")

@@ -103,6 +103,16 @@ def parse_pubmed_xml(spark, d):
     return articles.withColumns({c: F.array_join(c, "|") for c in ("Authors", "References")})
 
 
+@query("parse_pubmed_xml_rejects", "SELECT CAST(doc_id AS VARCHAR) AS PMID FROM documents WHERE lang <> 'de'")
+def parse_pubmed_xml_rejects(spark, d):
+    """Payloads that are cut off, or whose article is missing; German ones are whole."""
+    payload, language = F.col("payload"), F.regexp_extract("payload", "<LastName>(..)</LastName>", 1)
+    cut = F.when(language == "en", F.left(payload, F.length("payload") - 20))
+    cut = cut.when(language != "de", F.replace(F.replace(payload, F.lit("<Article>"), F.lit("<Book>")), F.lit("</Article>"), F.lit("</Book>")))
+    rejected = parse(_landed(spark, d).select(cut.otherwise(payload).alias("payload")))[1]
+    return rejected.select(F.regexp_extract("payload", "<PMID[^>]*>([0-9]+)<", 1).alias("PMID"))
+
+
 @query("xml_text", f"SELECT {_TITLE} AS title, count(*) AS n FROM documents GROUP BY ALL")
 def xml_text(spark, d):
     return _articles(spark, d).groupBy(F.col("Title").alias("title")).agg(F.count("*").alias("n"))

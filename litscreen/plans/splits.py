@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from litscreen.operators import splits as sp
 from litscreen.plans import views as v
 from litscreen.plans.registry import query
@@ -45,6 +47,24 @@ def stratified_split(spark, d):
     return sp.stratified_split(_labels(spark, d), "quality", "doc_id").select("doc_id", "quality", "split")
 
 
+@query(
+    "stratified_split_many",
+    """WITH ranked AS (SELECT o_orderkey, o_orderkey // 7 AS class,
+                   row_number() OVER (PARTITION BY o_orderkey // 7 ORDER BY md5('42|' || o_orderkey), o_orderkey) AS rn
+                   FROM orders),
+        sizes AS (SELECT class, count(*)::HUGEINT AS n, sum(count(*)) OVER ()::HUGEINT AS total FROM ranked GROUP BY class),
+        parts AS (SELECT class, n, total, ceil(0.2 * total)::HUGEINT AS size FROM sizes),
+        base AS (SELECT class, size, n * size // total AS base,
+                        row_number() OVER (ORDER BY n * size % total DESC, class) AS nr FROM parts),
+        quotas AS (SELECT class, base + CASE WHEN nr <= size - sum(base) OVER () THEN 1 ELSE 0 END AS q FROM base)
+        SELECT o_orderkey, CASE WHEN rn <= q THEN 'test' ELSE 'train' END AS split FROM ranked JOIN quotas USING (class)""",
+)
+def stratified_split_many(spark, d):
+    """Thousands of classes of seven rows."""
+    orders = v.table(spark, d, "orders").select("o_orderkey", F.floor(F.col("o_orderkey") / 7).alias("class"))
+    return sp.stratified_split(orders, "class", "o_orderkey").select("o_orderkey", "split")
+
+
 @query(
     "random_split",
     f"""WITH {_RANKED.format(seed=42)}

@@ -8,6 +8,7 @@ from litscreen.functions import text as tx
 from litscreen.operators import aggregates as agg
 from litscreen.operators import columns as cols
 from litscreen.operators import features as ft
+from litscreen.operators.vocabulary import learn_vocabulary
 from litscreen.plans import views as v
 from litscreen.plans.registry import query
 
@@ -166,14 +167,27 @@ def mean_word_count(spark, d):
 
 _TERMS = f"""terms AS (SELECT doc_id, unnest({_sql_tokens('text')}) AS term FROM documents)"""
 _VOCABULARY = f"""{_TERMS},
-    top AS (SELECT term, count(*) AS n FROM terms GROUP BY term ORDER BY n DESC, term LIMIT 500),
-    vocabulary AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx, n FROM top)"""
+    top AS (SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM terms GROUP BY term ORDER BY n DESC, term LIMIT 5000),
+    vocabulary AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx, n, df FROM top)"""
 
 
-@query("build_vocabulary", f"WITH {_VOCABULARY} SELECT term, idx, n FROM vocabulary")
+@query("build_vocabulary", f"WITH {_VOCABULARY} SELECT term, idx, n, df FROM vocabulary")
 def build_vocabulary(spark, d):
     tokens = v.table(spark, d, "documents").select(tx.word_tokens(F.col("text")).alias("w"))
-    return ft.build_vocabulary(tokens, "w", 500)
+    return ft.build_vocabulary(tokens, "w", 5000)
+
+
+@query(
+    "build_vocabulary_bigrams",
+    f"""WITH tokens AS (SELECT doc_id, {_sql_tokens('text')} AS w FROM documents),
+        grams AS (SELECT doc_id, unnest(w) AS term FROM tokens UNION ALL
+                  SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM tokens),
+        top AS (SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM grams GROUP BY term ORDER BY n DESC, term LIMIT 2000)
+        SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx, n, df FROM top""",
+)
+def build_vocabulary_bigrams(spark, d):
+    tokens = v.table(spark, d, "documents").select(tx.word_ngrams(tx.word_tokens(F.col("text")), 1, 2).alias("w"))
+    return ft.build_vocabulary(tokens, "w", 2000)
 
 
 @query(
@@ -183,8 +197,7 @@ def build_vocabulary(spark, d):
 )
 def term_counts(spark, d):
     tokens = v.table(spark, d, "documents").select("doc_id", tx.word_tokens(F.col("text")).alias("w"))
-    terms = ft.vocabulary_terms(ft.build_vocabulary(tokens, "w", 500))
-    return ft.term_counts(tokens, "doc_id", "w", terms)
+    return ft.term_counts(tokens, "doc_id", "w", learn_vocabulary(tokens, "w", 5000).terms)
 
 
 _TFIDF = f"""WITH {_VOCABULARY},
@@ -198,8 +211,7 @@ _TFIDF = f"""WITH {_VOCABULARY},
 @query("tfidf", _TFIDF)
 def tfidf(spark, d):
     tokens = v.table(spark, d, "documents").select("doc_id", tx.word_tokens(F.col("text")).alias("w"))
-    terms = ft.vocabulary_terms(ft.build_vocabulary(tokens, "w", 500))
-    weights = ft.tfidf_weights(tokens, "doc_id", "w", terms)
+    weights = ft.tfidf_weights(tokens, "doc_id", "w", learn_vocabulary(tokens, "w", 5000))
     return weights.withColumn("weight", F.round("weight", 9))
 
 
@@ -227,7 +239,7 @@ _ENCODE = f"""WITH composed AS (
     pieces AS (SELECT doc_id, regexp_extract_all(lower(input_text), '\\[key\\]|\\[t_end\\]|\\[j_end\\]|{_WORD}{{2,}}') AS p
                FROM composed),
     words AS (SELECT unnest(p) AS term FROM pieces),
-    top AS (SELECT term, count(*) AS n FROM words WHERE term NOT LIKE '[%' GROUP BY term ORDER BY n DESC, term LIMIT 500),
+    top AS (SELECT term, count(*) AS n FROM words WHERE term NOT LIKE '[%' GROUP BY term ORDER BY n DESC, term LIMIT 5000),
     ids AS (SELECT term, row_number() OVER (ORDER BY term) + 4 AS id FROM top
             UNION ALL SELECT '[key]', 2 UNION ALL SELECT '[t_end]', 3 UNION ALL SELECT '[j_end]', 4),
     placed AS (SELECT doc_id, i, p[i] AS term
@@ -247,7 +259,7 @@ def _encoded(spark, d):
     composed = doc.select(
         "doc_id", tx.mark_keywords(tx.compose_input_text(title, F.col("source"), F.col("text")), ["the"]).alias("input_text")
     )
-    encoder = ft.learn_encoder(composed, "input_text", 500)
+    encoder = ft.learn_encoder(composed, "input_text", 5000)
     return ft.encode_fixed_length(composed, "input_text", encoder, 48)
 
 

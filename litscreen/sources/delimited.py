@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from litscreen.operators.aggregates import duplicate_count
 from litscreen.operators.checks import require_columns
+from litscreen.sources.records import quoted_records
 
 # Texts that stand for a missing value in a delimited file.
 NA_TOKENS = [
@@ -33,21 +34,27 @@ def _separator(path: str) -> str:
 
 
 def read_delimited(
-    spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True, one_task: bool = False
 ) -> DataFrame:
     """Read a delimited file (or a folder of them) with header.
 
-    Without ``schema`` every column is read as string. With ``multi_line``
-    quoted values may hold line breaks, and each file is parsed by one task;
-    without it a record is a line, and a large file is split among many tasks.
+    Without ``schema`` every column is read as string. A large file is split
+    among many tasks. With ``multi_line`` quoted values may hold line breaks,
+    see :func:`quoted_records`; without it a record is a line. A file with
+    quotes inside unquoted values needs ``one_task``, which parses each file whole.
     """
-    reader = spark.read.options(sep=_separator(path), multiLine=multi_line, **_QUOTING)
-    df = (reader.schema(schema) if schema else reader).csv(path)
-    texts = {name for name, kind in df.dtypes if kind == "string"}
-    return df.select(
+    options = dict(sep=_separator(path), multiLine=multi_line, **_QUOTING)
+    reader = spark.read.options(**options)
+    whole = (reader.schema(schema) if schema else reader).csv(path)
+    if multi_line and not one_task:
+        given = {name: str(value).lower() if isinstance(value, bool) else value for name, value in options.items()}
+        parsed = F.from_csv("record", whole.schema.toDDL(), given | {"header": "false"})
+        whole = quoted_records(spark, path).select(parsed.alias("_row")).select("_row.*")
+    texts = {name for name, kind in whole.dtypes if kind == "string"}
+    return whole.select(
         *[
             F.when(~F.col(f"`{c}`").isin(NA_TOKENS), F.col(f"`{c}`")).alias(c) if c in texts else F.col(f"`{c}`")
-            for c in df.columns
+            for c in whole.columns
         ]
     )
 

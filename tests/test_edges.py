@@ -15,7 +15,9 @@ from litscreen.operators import experiments as ex
 from litscreen.operators import features as ft
 from litscreen.operators import filters as flt
 from litscreen.operators import metrics as mt
-from litscreen.operators.enrich import enrich_articles, fill_pmid_by_doi, merge_reference_tables
+from litscreen.operators import vocabulary
+from litscreen.operators.enrich import enrich_articles, fill_pmid_by_doi, left_join_known, merge_reference_tables
+from litscreen.operators.lists import map_members
 from litscreen.operators.quantiles import exact_quantiles
 from litscreen.plans.screening import screen_articles
 from litscreen.sources import delimited, payloads, runs
@@ -189,6 +191,24 @@ def test_empty_lists(spark):
     assert values(ct.num_refs(lists, "l"), "num_refs") == [0, None, 1]
 
 
+def test_plans_do_not_depend_on_the_order_of_rows(spark):
+    """The same rows, dealt and ordered differently, give the same result; null keys and equal rows included."""
+    rows = [(i % 7 if i % 3 else None, ["a", None, "b", "z"][: i % 5], f"t{i % 4}") for i in range(200)]
+    lookup = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", None)], "member string, value string")
+    other = spark.createDataFrame([(k, f"r{k}") for k in range(5)], "k long, right string")
+    results = []
+    for seed in (1, 2):
+        df = spark.createDataFrame(rows, "k long, l array<string>, t string").repartition(3 + seed).orderBy(F.rand(seed))
+        joined = left_join_known(map_members(df, F.col("l"), lookup, "m"), other, "k")
+        kept = map_members(joined, F.col("l"), lookup, "u", keep_unknown=True)
+        results.append(sorted(map(str, kept.select("k", "l", "t", "m", "u", "right").collect())))
+    assert results[0] == results[1] and len(results[0]) == 200
+    plan = kept._jdf.queryExecution().toString()
+    assert "monotonically_increasing_id" not in plan
+    found = {str(r["l"]): (r["m"], r["u"]) for r in kept.collect()}
+    assert found["['a', None, 'b', 'z']"] == (["A", "B"], ["A", "B", "z"]) and found["[]"] == ([], [])
+
+
 # ---- files and payloads ---------------------------------------------------------------------
 
 
@@ -203,6 +223,38 @@ def test_delimited_round_trip(spark, tmp_path):
     assert sorted(values(delimited.read_csv_index(spark, str(tmp_path / "plain.csv")))) == ["x", "y, z"]
 
 
+def test_quoted_records_across_many_splits(spark, tmp_path):
+    """Line breaks in values, quotes, blank lines and values longer than a split, against the csv module."""
+    import csv
+    import io
+    import random
+
+    dice = random.Random(5)
+    pieces = ["a", '"', "\n", ",", " ", "é", "x" * 40, "\n\n", '""', "\r\n"]
+    rows = [(i, "".join(dice.choices(pieces, k=dice.randrange(12)))) for i in range(600)]
+    rows.insert(300, (600, '"\n' * 4000))
+    folder = tmp_path / "files.csv"
+    folder.mkdir()
+    for part in range(2):
+        out = io.StringIO(newline="")
+        writer = csv.writer(out, lineterminator="\r\n" if part else "\n", quoting=csv.QUOTE_NONNUMERIC)
+        writer.writerow(["the\nid", "text"])
+        writer.writerows(rows[part::2])
+        (folder / f"{part}.csv").write_bytes(out.getvalue().encode())
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        read = delimited.read_delimited(spark, str(folder), "id int, text string")
+        got = read.collect()
+        assert spark.read.text(str(folder), lineSep="\n").select(F.spark_partition_id()).distinct().count() > 20
+        whole = delimited.read_delimited(spark, str(folder), "id int, text string", one_task=True).collect()
+        assert delimited.read_delimited(spark, str(folder)).columns == ["the\nid", "text"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    expected = sorted((i, t or None) for i, t in rows)
+    assert sorted(map(tuple, got)) == expected and sorted(map(tuple, whole)) == expected
+
+
 def test_id_list_warns(spark):
     df = spark.createDataFrame([(1,), (1,), (None,), (2,)], "id long")
     with pytest.warns(UserWarning, match="1 duplicate"):
@@ -381,9 +433,31 @@ def test_encoder(spark):
     assert got == [[2, 6, 2, 5], [0, 0, 0, 0], [1, 1, 6, 0]]
 
 
+@pytest.mark.parametrize("capacity", [3, 40, 1000])
+def test_vocabulary_of_small_summaries(spark, capacity):
+    """Summaries that forget terms give the same counts as those that hold all."""
+    import random
+    from collections import Counter
+
+    dice = random.Random(capacity)
+    words = [f"t{i:03d}" for i in range(400)]
+    lists = [dice.choices(words, [1 / (i + 1) ** 1.3 for i in range(400)], k=dice.randrange(30)) for _ in range(600)]
+    lists += [None, [], [None, "t001"]]
+    n = Counter(t for l in lists for t in l or () if t)
+    df = Counter(t for l in lists for t in set(l or ()) if t)
+    rows = spark.createDataFrame([(l,) for l in lists], "w array<string>").repartition(5)
+    for k in (1, 10, 1000):
+        best = sorted(sorted(n, key=lambda t: (-n[t], t))[:k])
+        found = vocabulary.learn_vocabulary(rows, "w", k, capacity)
+        assert found == (best, [n[t] for t in best], [df[t] for t in best], 603)
+    assert vocabulary.learn_vocabulary(rows.limit(0), "w", 5, capacity) == ([], [], [], 0)
+
+
 def test_tfidf_of_a_text_without_known_terms(spark):
     tokens = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b"]), (3, ["z"])], "id int, w array<string>")
-    weights = {(r["id"], r["idx"]): r["weight"] for r in ft.tfidf_weights(tokens, "id", "w", ["a", "b"]).collect()}
+    known = vocabulary.learn_vocabulary(tokens, "w", 2)
+    assert known == (["a", "b"], [2, 2], [1, 2], 3)
+    weights = {(r["id"], r["idx"]): r["weight"] for r in ft.tfidf_weights(tokens, "id", "w", known).collect()}
     import math
 
     a, b = 2 * (math.log(4 / 2) + 1), math.log(4 / 3) + 1

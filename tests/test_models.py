@@ -76,7 +76,8 @@ def test_penalty_follows_the_summed_loss(corpus):
 def test_grid_search(corpus):
     folds = sp.stratified_kfold(corpus, "y", "id", 3)
     grid = {"ngram_max": [1, 2], "C": [0.001, 1.0]}
-    results, best, model = md.grid_search(folds, "text", "y", SPEC, grid, n_folds=3, parallelism=2)
+    results, best = md.grid_search(folds, "text", "y", SPEC, grid, n_folds=3, parallelism=2)
+    model = md.fit_text_model(folds, "text", "y", best)
     rows = results.collect()
     assert len(rows) == 4 and {"mean_test_f1", "std_test_f1", "mean_test_precision", "mean_test_recall", "mean_train_f1"} <= set(results.columns)
     top = max(rows, key=lambda r: r["mean_test_f1"])
@@ -84,9 +85,10 @@ def test_grid_search(corpus):
 
 
 def test_grid_search_equals_one_fit_per_fold(corpus):
-    folds = sp.stratified_kfold(corpus, "y", "id", 3)
+    # without the row that has no text: its probability is 0.5 at the optimum, and rounding decides its class
+    folds = sp.stratified_kfold(corpus, "y", "id", 3).where("text IS NOT NULL")
     spec = replace(SPEC, weighting="tfidf")
-    results, _, _ = md.grid_search(folds, "text", "y", spec, {"C": [1.0]}, n_folds=3)
+    results, _ = md.grid_search(folds, "text", "y", spec, {"C": [1.0]}, n_folds=3)
     f1 = []
     for fold in range(3):
         train, test = sp.fold_view(folds, fold)
@@ -94,6 +96,59 @@ def test_grid_search_equals_one_fit_per_fold(corpus):
     assert results.first()["mean_test_f1"] == pytest.approx(sum(f1) / 3)
 
 
+@pytest.mark.parametrize("weighting", ["count", "tfidf"])
+def test_every_model_of_a_search_is_at_its_optimum(corpus, weighting, monkeypatch):
+    """Coefficients of all folds and candidates against the gradient of a plain sum over whole rows."""
+    import re
+    from collections import Counter
+
+    import numpy as np
+
+    from litscreen.operators import many_models as mm
+
+    monkeypatch.setattr(mm, "BLOCK_ROWS", 7)
+    fitted = {}
+    real = mm.fit_models
+
+    def spy(blocks, widths, views, models, most, tolerance):
+        found, left = real(blocks, widths, views, models, most, tolerance)
+        fitted.update(views=views, models=models, found=found, left=left)
+        return found, left
+
+    monkeypatch.setattr(mm, "fit_models", spy)
+    folds = sp.stratified_kfold(corpus, "y", "id", 3)
+    spec = replace(SPEC, weighting=weighting, max_iter=500)
+    records = md.search_folds(folds, "text", "y", spec, {"C": [0.5, 5.0], "max_features": [4, 20]}, n_folds=3).collect()
+    assert len(records) == 12 and max(r["gradient"] for r in records) <= mm.TOLERANCE
+    rows = [(Counter(re.findall(r"\b[a-z_]{2,}\b", (r["text"] or "").lower())), r["y"], r["fold"]) for r in folds.collect()]
+    for model, point in zip(fitted["models"], fitted["found"]):
+        view = fitted["views"][model.view]
+        train = [(c, y) for c, y, f in rows if f != view.fold]
+        total = Counter()
+        for c, _ in train:
+            total.update(c)
+        terms = sorted(sorted(total, key=lambda t: (-total[t], t))[: len(view.columns)])
+        x = np.array([[c[t] for t in terms] for c, _ in train], float)
+        y = np.array([y for _, y in train])
+        if weighting == "tfidf":
+            x *= np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1
+            length = np.linalg.norm(x, axis=1, keepdims=True)
+            x = x / np.where(length > 0, length, 1)
+        weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+        p = 1 / (1 + np.exp(-(x @ point[:-1] + point[-1])))
+        slope = x.T @ (weight * (p - y)) / len(y) + point[:-1] / (model.penalty * len(y))
+        assert np.abs(slope).max() <= 2 * mm.TOLERANCE and abs((weight * (p - y)).sum()) / len(y) <= 2 * mm.TOLERANCE
+
+
+def test_search_takes_rows_without_fold_label_or_text(spark, corpus):
+    folds = sp.stratified_kfold(corpus, "y", "id", 3)
+    extra = spark.createDataFrame(
+        [(200, "market ligand", None, 0), (201, "ligand", 1, None), (202, None, 0, 1), (203, "", 1, 2)], "id long, text string, y int, fold int"
+    )
+    records = md.search_folds(folds.select("id", "text", "y", "fold").union(extra), "text", "y", SPEC, {"C": [1.0]}, n_folds=3)
+    assert len(records.collect()) == 3
+
+
 def test_candidates():
     assert len(md.candidates(SPEC, md.COUNT_GRID)) == 48
     assert len(md.candidates(SPEC, md.TFIDF_GRID)) == 18

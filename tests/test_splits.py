@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from litscreen.operators import splits as sp
 
@@ -76,7 +77,22 @@ def test_fold_views(spark):
     assert counts(sp.fold_views(folds, 5), "view", "part")[2, "train"] == 16
 
 
-def test_many_classes_use_the_joined_cut_points(spark):
+def test_twelve_thousand_classes(spark):
+    df = spark.range(36_000).selectExpr("id", "id div 3 AS y")
+    got = sp.stratified_split(df, "y", "id", 1 / 3).groupBy("y").agg(F.count_if(F.col("split") == "test").alias("n"))
+    assert {tuple(r) for r in got.groupBy("n").count().collect()} == {(1, 12_000)}
+    folds = sp.stratified_kfold(spark.range(60_000).selectExpr("id", "id div 5 AS y"), "y", "id", 5)
+    assert {tuple(r) for r in folds.groupBy("y", "fold").count().groupBy("count").count().collect()} == {(1, 60_000)}
+
+
+def test_quotas_by_largest_remainder(spark):
+    classes = spark.createDataFrame([(c, n) for c, n in enumerate([10, 11, 12, 13, 7])], "_class int, _n long")
+    got = {r["_class"]: r["q"] for r in sp.class_quotas(classes, "_n", 17, "q").collect()}
+    # 17/53 of each: 3.21, 3.53, 3.85, 4.17, 2.25; the two largest remainders go up
+    assert got == {0: 3, 1: 4, 2: 4, 3: 4, 4: 2}
+
+
+def test_many_classes(spark):
     df = table(spark, *[3] * 80)
     got = counts(sp.stratified_split(df, "y", "id", 1 / 3), "split", "y")
     assert all(got["test", y] == 1 and got["train", y] == 2 for y in range(80))
