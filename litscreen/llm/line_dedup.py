@@ -6,21 +6,23 @@ line. Every window selects its smallest line hash (of equal ones the last) as
 fingerprint, so equal windows select equal lines: any repeated run of that many
 words is sure to share fingerprints, though only a few lines are selected.
 
-Fingerprints that occur once are dropped. The windows around the others are
-grouped by their hashes; a window that stands earlier already is a match.
-Matches extend both ways by the overlapping windows: windows from a line on reach
-back to the first line of a repeated run, windows up to a line to its last one.
-Lines in a match are deleted where they stand later.
-
 A passage need not begin or end with a line. So the same is done with words: a
 window is any run of ``RUN_WORDS`` words, its fingerprint the smallest hash of
-``GRAM_WORDS`` words in it, and its words are deleted where it stands earlier,
-which takes repeated passages up to their first and last word.
+``GRAM_WORDS`` words in it.
+
+Only positions of selected fingerprints leave the texts, and only those whose
+fingerprint occurs twice. Such a position extends both ways to the first and
+the last window that select it; the words of that stretch are compared by a
+128-bit digest of their bytes. Positions with equal stretches are joined with
+the first of them. Where stretches around one fingerprint differ, the windows
+of the first position of every stretch are compared one by one. What stands
+earlier is deleted where it stands later.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -31,38 +33,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from litscreen.llm.common import stored, table
+from litscreen.llm.common import byte_slices, stored, table
 
 MIN_WORDS = 30
 RUN_WORDS = 51  # a run of so many words goes wherever it begins
 GRAM_WORDS = 20  # RUN_WORDS - GRAM_WORDS + 1 must be a power of two
 GROUP_BYTES = 1 << 20  # bytes of text that are worked on at a time
+MOST_BITS = 1 << 28  # of a bitmap
+CHUNK = 1 << 16  # bytes of a bitmap that travel as one row
+LONG_WORD = 64  # bytes; longer words are hashed one by one
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 _SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
-_KNOWN_POWERS: dict[int, np.ndarray] = {}
 _STOP = np.isin(np.arange(256), [ord(c) for c in ".!?"])
-MOST_BITS = 1 << 28  # of a bitmap
+_BLANKS = bytes(32 if _SPACE[c] else c for c in range(256))
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_KNOWN_POWERS: dict[int, np.ndarray] = {}
+PLACE = ["doc_id", "text_hash", "at"]
 
 
-class Lines(NamedTuple):
-    """Lines of several texts: where their words begin and end, the texts' bounds among them."""
+class Words(NamedTuple):
+    """Words of several texts joined by line breaks: bytes, where words begin and end, the texts' starts and first words."""
 
+    data: bytes
     begin: np.ndarray
     end: np.ndarray
-    words: np.ndarray
+    starts: np.ndarray
+    bounds: np.ndarray
+
+
+class Lines(NamedTuple):
+    """Runs of words of several texts: first word and the one behind the last, hash, each text's bounds among them."""
+
+    first: np.ndarray
+    behind: np.ndarray
     hashes: np.ndarray
     bounds: np.ndarray
 
 
 class Windows(NamedTuple):
-    """Windows of several texts, sorted by text and place: lines, number in the text, hash, selected line."""
+    """Windows of several texts, by text and place: first and last line, text, number in the text, selected line."""
 
     first: np.ndarray
     last: np.ndarray
     text: np.ndarray
     number: np.ndarray
-    hashes: np.ndarray
     selected: np.ndarray
 
 
@@ -70,9 +85,9 @@ def _powers(step: np.uint64, count: int) -> np.ndarray:
     """The first powers of ``step``; those for the usual size are computed once."""
     known = _KNOWN_POWERS.get(int(step))
     if known is None or len(known) < count:
-        size = max(count, 2 * GROUP_BYTES)
+        size = max(count, GROUP_BYTES)
         known = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(size - 1, step, np.uint64))))
-        if size == 2 * GROUP_BYTES:
+        if size == GROUP_BYTES:
             _KNOWN_POWERS[int(step)] = known
     return known[:count]
 
@@ -83,131 +98,173 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The joined bytes, where their words begin and end, and where the texts start, with the end of all."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    text_starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-    edges = np.flatnonzero(np.diff(_SPACE[data].view(np.int8), prepend=np.int8(1)))  # in turn where words begin and end
-    return data, edges[::2], edges[1::2], text_starts
-
-
-def _hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A polynomial hash of the bytes of every stretch; stretches follow one another."""
-    hashes = np.zeros(len(begin), np.uint64)
-    at = 0
-    while at < len(begin):  # some at a time, for the memory
-        until = max(int(np.searchsorted(end, begin[at] + GROUP_BYTES, "right")), at + 1)
-        low, high = begin[at], end[until - 1]
-        values = (data[low:high].astype(np.uint64) + np.uint64(1)) * _powers(_STEP, high - low)
-        edges = np.column_stack((begin[at:until], end[at:until])).ravel() - low
-        edges[-1] = min(edges[-1], len(values) - 1)
-        sums = np.add.reduceat(values, edges)[::2]
-        if edges[-1] == len(values) - 1 and end[until - 1] - low == len(values):
-            sums[-1] = values[edges[-2] :].sum()
-        hashes[at:until] = sums * _powers(_BACK, high - low)[begin[at:until] - low]
-        at = until
+def split_words(texts: list[bytes]) -> Words:
+    """Words stand between blanks; in scripts without blanks (Chinese, Japanese, Thai, Lao) every character is one."""
+    data = b"\n".join(texts) + b"\n"
+    raw = np.frombuffer(data, np.uint8)
+    starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+    blank = _SPACE[raw]
+    alone = (raw >= 0xE3) & (raw <= 0xE9)  # first bytes of U+3000 to U+9FFF
+    alone[:-1] |= (raw[:-1] == 0xE0) & (raw[1:] >= 0xB8) & (raw[1:] <= 0xBB)  # U+0E00 to U+0EFF
+    if alone.any():
+        starting = alone.copy()
+        starting[np.flatnonzero(alone) + 3] = True  # three bytes each; a blank follows every text
+        starting[1:] |= blank[:-1]
+        starting[0] = True
+        starting &= ~blank
+        begin = np.flatnonzero(starting)
+        end = np.flatnonzero(~blank[:-1] & (blank[1:] | starting[1:])) + 1
+    else:
+        edges = np.flatnonzero(np.diff(blank.view(np.int8), prepend=np.int8(1)))  # in turn where words begin and end
+        begin, end = edges[::2], edges[1::2]
+    return Words(data, begin, end, starts, np.searchsorted(begin, starts))
+
+
+def word_hashes(words: Words) -> np.ndarray:
+    """A hash of the bytes of every word, eight at a time."""
+    padded = np.frombuffer(words.data + bytes(8), np.uint8)
+    eights = np.lib.stride_tricks.as_strided(padded, (len(words.data) + 1, 8), (1, 1))
+    size = words.end - words.begin
+    hashes = size.astype(np.uint64)
+    left = np.flatnonzero(size <= LONG_WORD)
+    done = 0
+    while len(left):
+        some = eights[words.begin[left] + done].view("<u8").ravel() & _MASKS[np.minimum(size[left] - done, 8)]
+        hashes[left] = _mixed(hashes[left] * _STEP + some)
+        done += 8
+        left = left[size[left] > done]
+    for i in np.flatnonzero(size > LONG_WORD):
+        digest = blake2b(words.data[words.begin[i] : words.end[i]], digest_size=8).digest()
+        hashes[i] = np.uint64(int.from_bytes(digest, "little"))
     return hashes
 
 
-def split_lines(texts: list[bytes]) -> Lines:
-    """Lines that hold words, blanks at both ends left out."""
-    data, begins, ends, text_starts = _words(texts)
-    after = np.zeros(len(data), bool)
-    after[1:] = _STOP[data[:-1]]
-    cuts = np.flatnonzero((data == 10) | ((data == 32) & after)) + 1
-    starts = np.concatenate(([0], cuts[:-1]))
-    lo, hi = np.searchsorted(begins, starts), np.searchsorted(begins, cuts)
-    held = np.flatnonzero(hi > lo)
-    begin, end = begins[lo[held]], ends[hi[held] - 1]
-    words = hi[held] - lo[held]
-    hashes = _hashes(data, begin, end) + words.astype(np.uint64)
-    return Lines(begin, end, words, _mixed(hashes), np.searchsorted(begin, text_starts))
+def _summed(hashes: np.ndarray) -> np.ndarray:
+    """Sums of the hashes times powers, from which the hash of any run follows."""
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_STEP, len(hashes)), dtype=np.uint64)))
+
+
+def _run_hashes(sums: np.ndarray, first: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    return _mixed((sums[behind] - sums[first]) * _powers(_BACK, len(sums))[first] + (behind - first).astype(np.uint64))
 
 
-def make_windows(lines: Lines, min_words: int) -> Windows:
+def split_lines(words: Words, sums: np.ndarray | None) -> Lines:
+    """Lines that hold words; without ``sums`` they are not hashed."""
+    raw = np.frombuffer(words.data, np.uint8)
+    after = np.zeros(len(raw), bool)
+    after[1:] = _STOP[raw[:-1]]
+    cuts = np.flatnonzero((raw == 10) | ((raw == 32) & after)) + 1
+    edges = np.unique(np.searchsorted(words.begin, cuts))  # number of the first word behind each cut
+    edges = edges[edges > 0]
+    first = np.concatenate(([0], edges[:-1])).astype(np.int64) if len(edges) else np.zeros(0, np.int64)
+    hashes = np.zeros(0, np.uint64) if sums is None else _run_hashes(sums, first, edges)
+    return Lines(first, edges, hashes, np.searchsorted(first, words.bounds))
+
+
+def line_windows(lines: Lines, min_words: int, select: bool = True) -> Windows:
     """All windows of ``min_words`` words or more, from a line on or up to a line."""
-    n = len(lines.begin)
+    n = len(lines.first)
     if not n:
-        return Windows(*(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    upto = np.cumsum(lines.words)
-    before = upto - lines.words
+        return Windows(*(np.zeros(0, np.int64) for _ in range(5)))
+    upto, before = lines.behind - lines.first[0], lines.first - lines.first[0]
     index = np.arange(n)
     text = np.searchsorted(lines.bounds, index, "right") - 1
     last = np.searchsorted(upto, before + min_words)
     fits = last < lines.bounds[text + 1]
     first = np.searchsorted(before, upto - min_words, "right") - 1
     reaches = first >= lines.bounds[text]
-    pairs = np.unique(np.concatenate((index[fits] * n + last[fits], first[reaches] * n + index[reaches])))
+    pairs = np.concatenate((index[fits] * n + last[fits], first[reaches] * n + index[reaches]))
+    pairs.sort(kind="stable")  # two sorted runs
+    pairs = pairs[np.diff(pairs, prepend=-1) > 0]
     first, last = pairs // n, pairs % n
     text = text[first]
-    counts = np.searchsorted(text, np.arange(len(lines.bounds)))
-    number = np.arange(len(pairs)) - counts[text]
-
-    powers = _powers(_STEP, n)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(lines.hashes * powers, dtype=np.uint64)))
-    hashes = (sums[last + 1] - sums[first]) * _powers(_BACK, n)[first] + (last - first).astype(np.uint64)
-
-    selected, least = first.copy(), lines.hashes[first]
-    going, step = np.flatnonzero(last > first), 1
-    while len(going):
-        other = first[going] + step
-        better = lines.hashes[other] <= least[going]
-        least[going[better]], selected[going[better]] = lines.hashes[other[better]], other[better]
-        step += 1
-        going = going[first[going] + step <= last[going]]
-    return Windows(first, last, text, number, _mixed(hashes), selected)
-
-
-def split_words(texts: list[bytes]) -> tuple[Lines, Windows]:
-    """Words as lines of their own, hashed with those that follow, and all windows of ``RUN_WORDS`` words."""
-    data, begin, end, text_starts = _words(texts)
-    bounds = np.searchsorted(begin, text_starts)
-    n, size = len(begin), RUN_WORDS - GRAM_WORDS + 1
-    sums = np.cumsum(_mixed(_hashes(data, begin, end)) * _powers(_STEP, n), dtype=np.uint64)
-    sums, back = np.concatenate((np.zeros(1, np.uint64), sums)), _powers(_BACK, n)
-
-    def runs(length: int) -> np.ndarray:
-        count = max(n - length + 1, 0)
-        return _mixed((sums[length : length + count] - sums[:count]) * back[:count] + np.uint64(length))
-
-    grams, hashes = runs(GRAM_WORDS), runs(RUN_WORDS)
-    least, selected, step = grams, np.arange(len(grams)), 1
-    while step < size:
-        better = least[step:] <= least[:-step]
-        selected = np.where(better, selected[step:], selected[:-step])
-        least = np.where(better, least[step:], least[:-step])
-        step *= 2
-    text = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    first = np.flatnonzero(text[: len(hashes)] == text[RUN_WORDS - 1 :])
-    number = first - bounds[text[first]]
-    marks = np.concatenate((grams, np.zeros(n - len(grams), np.uint64)))
-    lines = Lines(begin, end, np.ones(n, np.int64), marks, bounds)
-    return lines, Windows(first, first + RUN_WORDS - 1, text[first], number, hashes[first], selected[first])
-
-
-def _both(texts: list[bytes], min_words: int) -> Iterator[tuple[Lines, Windows]]:
-    """Lines with their windows, then words with theirs; the windows' numbers are even, then odd."""
-    lines = split_lines(texts)
-    windows = make_windows(lines, min_words)
-    yield lines, windows._replace(number=2 * windows.number)
-    words, windows = split_words(texts)
-    yield words, windows._replace(number=2 * windows.number + 1)
-
-
-def _groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``GROUP_BYTES`` each."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > GROUP_BYTES:
-            yield start, i
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
-
-
-def _bytes(column: pa.Array) -> list[bytes]:
-    return [b"" if t is None else t.encode() for t in column.to_pylist()]
+    number = np.arange(len(pairs)) - np.searchsorted(text, np.arange(len(lines.bounds)))[text]
+    selected = first
+    if select:
+        selected, least = first.copy(), lines.hashes[first]
+        going, step = np.flatnonzero(last > first), 1
+        while len(going):
+            other = first[going] + step
+            better = lines.hashes[other] <= least[going]
+            least[going[better]], selected[going[better]] = lines.hashes[other[better]], other[better]
+            step += 1
+            going = going[first[going] + step <= last[going]]
+    return Windows(first, last, text, number, selected)
+
+
+def word_windows(words: Words, sums: np.ndarray | None) -> tuple[Lines, Windows]:
+    """All windows of ``RUN_WORDS`` words, with words as lines whose hashes are those of ``GRAM_WORDS`` words from each on."""
+    n, size = len(words.begin), RUN_WORDS - GRAM_WORDS + 1
+    index = np.arange(n)
+    text = np.repeat(np.arange(len(words.bounds) - 1), np.diff(words.bounds))
+    first = np.flatnonzero(text[: max(n - RUN_WORDS + 1, 0)] == text[RUN_WORDS - 1 :])
+    hashes, selected = np.zeros(0, np.uint64), first
+    if sums is not None:
+        count = max(n - GRAM_WORDS + 1, 0)
+        hashes = _run_hashes(sums, index[:count], index[:count] + GRAM_WORDS)
+        least, chosen, step = hashes, index[:count], 1
+        while step < size:
+            better = least[step:] <= least[:-step]
+            chosen = np.where(better, chosen[step:], chosen[:-step])
+            least = np.where(better, least[step:], least[:-step])
+            step *= 2
+        selected = chosen[first]
+    lines = Lines(index, index + 1, hashes, words.bounds)
+    return lines, Windows(first, first + RUN_WORDS - 1, text[first], first - words.bounds[text[first]], selected)
+
+
+def _both(words: Words, min_words: int, hashed: bool = True) -> Iterator[tuple[Lines, Windows]]:
+    """Lines with their windows, then words with theirs."""
+    sums = _summed(word_hashes(words)) if hashed else None
+    lines = split_lines(words, sums)
+    yield lines, line_windows(lines, min_words, hashed)
+    yield word_windows(words, sums)
+
+
+class Positions(NamedTuple):
+    """Selected lines of one kind: fingerprint, first window that selects it, how many windows do."""
+
+    marks: np.ndarray
+    window: np.ndarray
+    count: np.ndarray
+
+
+def _positions(kind: int, lines: Lines, windows: Windows) -> Positions:
+    """Windows that select one line follow one another."""
+    other = (np.diff(windows.selected, prepend=-1) != 0) | (np.diff(windows.text, prepend=-1) != 0)
+    window = np.flatnonzero(other)
+    count = np.diff(np.append(window, len(windows.first)))
+    marks = _mixed(lines.hashes[windows.selected[window]] + np.uint64(kind)) if len(window) else np.zeros(0, np.uint64)
+    return Positions(marks, window, count)
+
+
+class _Digests:
+    """Digests of stretches of words or, for kind 0, of lines; the number and kind of the blanks between words do not count."""
+
+    def __init__(self, words: Words, texts: list[bytes]):
+        self.words, self.plain = words, words.data.translate(_BLANKS)
+        self.uneven = np.array([b"  " in t.translate(_BLANKS) for t in texts], bool)
+
+    def of(self, kind: int, lines: Lines, begin: np.ndarray, end: np.ndarray, text: np.ndarray) -> pa.Array:
+        data = self.plain
+        if kind == 0:  # a line break before every line
+            marked = np.frombuffer(data, np.uint8).copy()
+            begins = self.words.begin[lines.first]
+            marked[begins[begins > 0] - 1] = 10
+            data = marked.tobytes()
+        out = []
+        for b, e, uneven in zip(begin.tolist(), end.tolist(), self.uneven[text].tolist()):
+            stretch = data[b:e]
+            if uneven:
+                stretch = b"\n".join(b" ".join(line.split()) for line in stretch.split(b"\n"))
+            out.append(blake2b(stretch, digest_size=16, salt=bytes([kind])).digest())
+        return pa.array(out, pa.binary())
+
+
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of about ``GROUP_BYTES`` of text with their texts; a null text counts as empty."""
+    for part in byte_slices(batch, "text", GROUP_BYTES):
+        yield part, [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -219,28 +276,50 @@ def _fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _bytes(batch.column("text"))
-            for start, stop in _groups(texts):
-                for lines, windows in _both(texts[start:stop], min_words):
-                    chosen = np.unique(windows.selected)
-                    yield pa.RecordBatch.from_arrays([_signed(lines.hashes[chosen])], ["mark"])
+            for _, texts in _groups(batch):
+                for kind, (lines, windows) in enumerate(_both(split_words(texts), min_words)):
+                    yield pa.RecordBatch.from_arrays([_signed(_positions(kind, lines, windows).marks)], ["mark"])
 
     return docs.select("text").mapInArrow(select, "mark long")
 
 
+def _place_key(text_hash: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return _mixed(text_hash.view(np.uint64) * _STEP + at.astype(np.uint64))
+
+
 def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """Bits at the low ends of a column of hashes, 32 MB at most: whatever is not set is not in the column."""
-    bits = min(max(1 << (16 * hashes.count()).bit_length(), 1 << 16), MOST_BITS)
+    """Bits at the low ends of a stored column of hashes, 32 MB at most: whatever is not set is not in the column.
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Every task sets the bits of its rows; the pieces are united by their number.
+    """
+    bits = min(max(1 << (16 * hashes.count()).bit_length(), 8 * CHUNK), MOST_BITS)
+
+    def pieces(bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for number, piece in enumerate(bitmap.reshape(-1, CHUNK)):
+            if piece.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number], pa.int32()), pa.array([piece.tobytes()], pa.binary())], ["number", "piece"]
+                )
+
+    def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            low = batch.column(0).to_numpy() & (bits - 1)
-            yield pa.RecordBatch.from_arrays([pa.array([low.astype("<u4").tobytes()], pa.binary())], ["low"])
+            at = batch.column(0).to_numpy() & (bits - 1)
+            np.bitwise_or.at(bitmap, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        yield from pieces(bitmap)
 
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            for number, piece in zip(*(column.to_pylist() for column in batch.columns)):
+                bitmap[number * CHUNK : (number + 1) * CHUNK] |= np.frombuffer(piece, np.uint8)
+        yield from pieces(bitmap)
+
+    schema = "number int, piece binary"
+    united = hashes.mapInArrow(set_bits, schema).repartition("number").mapInArrow(unite, schema)
     bitmap = np.zeros(bits // 8, np.uint8)
-    for (low,) in hashes.mapInArrow(pack, "low binary").toLocalIterator():
-        at = np.frombuffer(low, "<u4")
-        np.bitwise_or.at(bitmap, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    for row in united.collect():  # MOST_BITS at most
+        bitmap[row["number"] * CHUNK : (row["number"] + 1) * CHUNK] |= np.frombuffer(row["piece"], np.uint8)
     return bitmap
 
 
@@ -249,31 +328,81 @@ def _is_set(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _windows(docs: DataFrame, min_words: int, bitmap: np.ndarray, by_mark: bool) -> DataFrame:
-    """``doc_id, text_hash, hash, number`` of the windows whose selected hash, or own hash, may be in ``bitmap``."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+def _places(part: pa.RecordBatch, text: np.ndarray, number: np.ndarray, kind: int) -> list[pa.Array]:
+    of = pa.array(text, pa.int64())
+    at = pa.array((2 * number + kind).astype(np.int32))
+    return [part.column("doc_id").take(of), part.column("text_hash").take(of), at]
+
+
+def _stretches(docs: DataFrame, min_words: int, repeated: np.ndarray) -> DataFrame:
+    """``mark, digest, n`` and place of the positions whose fingerprint may be in ``repeated``.
+
+    ``digest`` is that of the words from the first window to the last, ``n`` the number of windows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(repeated)
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _bytes(batch.column("text"))
-            for start, stop in _groups(texts):
-                for lines, windows in _both(texts[start:stop], min_words):
-                    tested = lines.hashes[windows.selected] if by_mark else windows.hashes
-                    kept = np.flatnonzero(_is_set(shared.value, tested))
-                    of = pa.array(windows.text[kept] + start, pa.int64())
-                    columns = [batch.column(name).take(of) for name in ("doc_id", "text_hash")]
-                    number = pa.array(windows.number[kept].astype(np.int32))
+            for part, texts in _groups(batch):
+                words = split_words(texts)
+                digests = _Digests(words, texts)
+                for kind, (lines, windows) in enumerate(_both(words, min_words)):
+                    found = _positions(kind, lines, windows)
+                    kept = np.flatnonzero(_is_set(shared.value, found.marks))
+                    window, n = found.window[kept], found.count[kept]
+                    begin = words.begin[lines.first[windows.first[window]]]
+                    end = words.end[lines.behind[windows.last[window + n - 1]] - 1]
+                    text = windows.text[window]
+                    digest = digests.of(kind, lines, begin, end, text)
                     yield pa.RecordBatch.from_arrays(
-                        [*columns, _signed(windows.hashes[kept]), number], ["doc_id", "text_hash", "hash", "number"]
+                        [_signed(found.marks[kept]), digest, pa.array(n.astype(np.int32)),
+                         *_places(part, text, windows.number[window], kind)],
+                        ["mark", "digest", "n", *PLACE],
+                    )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"mark long, digest binary, n int, doc_id {kind}, text_hash long, at int"
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(select, schema)
+
+
+def _windows(docs: DataFrame, min_words: int, chosen: np.ndarray) -> DataFrame:
+    """``digest`` and place of the windows of the positions whose place may be in ``chosen``."""
+    shared = docs.sparkSession.sparkContext.broadcast(chosen)
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in _groups(batch):
+                words = split_words(texts)
+                digests = _Digests(words, texts)
+                hashes = part.column("text_hash").to_numpy()
+                for kind, (lines, windows) in enumerate(_both(words, min_words)):
+                    found = _positions(kind, lines, windows)
+                    key = _place_key(hashes[windows.text[found.window]], 2 * windows.number[found.window] + kind)
+                    kept = np.flatnonzero(_is_set(shared.value, key))
+                    n = found.count[kept]
+                    window = np.repeat(found.window[kept] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    begin = words.begin[lines.first[windows.first[window]]]
+                    end = words.end[lines.behind[windows.last[window]] - 1]
+                    text = windows.text[window]
+                    yield pa.RecordBatch.from_arrays(
+                        [digests.of(kind, lines, begin, end, text), *_places(part, text, windows.number[window], kind)],
+                        ["digest", *PLACE],
                     )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(
-        select, f"doc_id {kind}, text_hash long, hash long, number int"
-    )
+    schema = f"digest binary, doc_id {kind}, text_hash long, at int"
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(select, schema)
 
 
-def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
+def _place_keys(places: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([_signed(_place_key(*(c.to_numpy() for c in batch.columns)))], ["key"])
+
+    return places.select("text_hash", "at").mapInArrow(run, "key long")
+
+
+def repeated_stretches(docs: DataFrame, min_words: int) -> DataFrame:
     """``doc_id, text_hash, found``: per text its windows that stand earlier already, as ``without_lines`` takes them.
 
     Earlier is the smaller id, then the smaller hash of the text, then the place
@@ -281,51 +410,61 @@ def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
     """
     marks = _fingerprints(docs, min_words).groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
     repeated = _bitmap(stored(marks.where("n > 1").select("mark"), "marks"))
-    place = F.struct("doc_id", "text_hash", "number")
-    groups = _windows(docs, min_words, repeated, True).groupBy("hash").agg(
-        F.min(place).alias("_first"), F.max(place).alias("_last"), F.count(F.lit(1)).alias("n")
-    )
-    groups = stored(groups.where("n > 1"), "windows")
-    many = groups.where("n > 2").select("hash", "_first")
-    others = _windows(docs, min_words, _bitmap(many.select("hash")), False).join(many, "hash")
-    # of two, the last is the later one
-    later = others.select(place.alias("_place"), "_first").unionByName(
-        groups.where("n = 2").select(F.col("_last").alias("_place"), "_first")
+    shared = stored(_stretches(docs, min_words, repeated), "stretches")
+    place = F.struct(*PLACE)
+    classes = shared.groupBy("mark", "digest").agg(
+        F.min(place).alias("_first"), F.count(F.lit(1)).alias("_count"), F.max("n").alias("_n")
     )
-    later = later.where("_place > _first").select("_place.*", "_first")
-    same_text = F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("text_hash") == F.col("_first.text_hash"))
-    first_number = F.when(same_text, F.col("_first.number") + 1).otherwise(0)
-    match = F.shiftleft(F.col("number").cast("long"), 32) + first_number
-    return later.groupBy("doc_id", "text_hash").agg(F.collect_set(match).alias("found"))
+    classes = stored(classes, "classes")
+
+    def later(rows: DataFrame, firsts: DataFrame, keys: list[str], n) -> DataFrame:
+        """Of every place behind the first with its content: where, how many windows, and where the first is in the same text."""
+        joined = rows.join(firsts, keys).where(place > F.col("_first"))
+        same = F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("text_hash") == F.col("_first.text_hash"))
+        own = F.when(same, F.col("_first.at")).otherwise(-1)
+        return joined.select("doc_id", "text_hash", F.struct("at", n.alias("n"), own.alias("own")).alias("match"))
+
+    several = classes.where("_count > 1").select("mark", "digest", "_first")
+    whole = later(shared, several, ["mark", "digest"], F.col("n"))
+    # around one fingerprint different stretches: the windows of the first position of each
+    varied = classes.groupBy("mark").agg(F.count(F.lit(1)).alias("_classes")).where("_classes > 1").select("mark")
+    firsts = stored(classes.join(varied, "mark", "left_semi").select("_first.text_hash", "_first.at"), "firsts")
+    windows = stored(_windows(docs, min_words, _bitmap(_place_keys(firsts))), "windows")
+    groups = windows.groupBy("digest").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_count"))
+    single = later(windows, groups.where("_count > 1").drop("_count"), ["digest"], F.lit(1))
+    return whole.unionByName(single).groupBy("doc_id", "text_hash").agg(F.collect_set("match").alias("found"))
 
 
 def without_lines(texts: list[bytes], matches: list[np.ndarray], min_words: int) -> list[bytes]:
     """The texts without the lines and words of their matched windows.
 
-    ``matches`` has, per text, the numbers of its windows that stand earlier,
-    times 2 ** 32, plus the number of the earlier one plus 1 if that is in the
-    same text. Of a match that overlaps the earlier window what lies behind that goes.
+    ``matches`` has, per text, rows ``at, n, own``: ``n`` windows from ``at`` on
+    stand earlier (twice the number, plus 1 for windows of words); ``own`` is
+    where the earlier ones begin, if that is in the same text, else -1. Of a
+    window that overlaps the earlier one what lies behind that goes.
     """
-    text_start = np.cumsum([0] + [len(t) + 1 for t in texts])
-    packed = np.concatenate(matches)
-    of_text = np.repeat(np.arange(len(texts)), list(map(len, matches)))
-    number, first = packed >> 32, (packed & 0xFFFFFFFF) - 1
-    change = np.zeros(text_start[-1] + 1, np.int32)  # by byte
-    for kind, (lines, windows) in enumerate(_both(texts, min_words)):
-        mine = number % 2 == kind
+    words = split_words(texts)
+    at, n, own = np.concatenate(matches).T
+    of_text = np.repeat(np.repeat(np.arange(len(texts)), [len(m) for m in matches]), n)
+    shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    number, kinds = np.repeat(at >> 1, n) + shift, np.repeat(at & 1, n)
+    first = np.where(np.repeat(own, n) >= 0, np.repeat(own >> 1, n) + shift, -1)
+    change = np.zeros(len(words.data) + 1, np.int32)  # by byte
+    following = np.append(words.begin, len(words.data))
+    for kind, (lines, windows) in enumerate(_both(words, min_words, hashed=False)):
+        mine = kinds == kind
         base = np.searchsorted(windows.text, np.arange(len(texts)))[of_text[mine]]
-        at, own = base + number[mine] // 2, first[mine] >= 0
-        start, last = windows.first[at], windows.last[at]
-        start[own] = np.maximum(start[own], windows.last[(base + first[mine] // 2)[own]] + 1)
+        place, earlier = base + number[mine], first[mine] >= 0
+        start, last = windows.first[place], windows.last[place]
+        start[earlier] = np.maximum(start[earlier], windows.last[(base + first[mine])[earlier]] + 1)
         some = start <= last
         start, last, of = start[some], last[some], of_text[mine][some]
-        following = np.append(lines.begin, text_start[-1])
-        np.add.at(change, lines.begin[start], 1)  # up to the next line or word, or the end of the text
-        np.add.at(change, np.minimum(following[last + 1], text_start[of + 1] - 1), -1)
+        np.add.at(change, words.begin[lines.first[start]], 1)  # up to the next word, or the end of the text
+        np.add.at(change, np.minimum(following[lines.behind[last]], words.starts[of + 1] - 1), -1)
     gone = np.cumsum(change[:-1]) > 0
     out = []
     for i, text in enumerate(texts):
-        lower = text_start[i]
+        lower = words.starts[i]
         turns = np.flatnonzero(np.diff(gone[lower : lower + len(text)], prepend=False, append=False))  # stretches that go
         places = [0, *turns.tolist(), len(text)]
         out.append(b"".join(text[a:b] for a, b in zip(places[::2], places[1::2])))
@@ -339,12 +478,16 @@ def drop_repeated_lines(
 
     Lines are deleted that stand in a run of lines of ``min_words`` words or
     more of which an equal run stands earlier, in another text or before in the
-    same one. Lines are equal if they agree but for blanks at their ends. Words
-    are deleted that stand in a run of ``RUN_WORDS`` words or more of which an
-    equal run stands earlier, wherever it begins; blanks do not count. Rows
-    that agree in id and text are one text and get the same result; which row is
-    earlier depends on id and text alone. Null and empty texts stay as they are,
-    and so does every text without a repeated run, byte for byte.
+    same one. Words are deleted that stand in a run of ``RUN_WORDS`` words or
+    more of which an equal run stands earlier, wherever it begins. Runs are equal
+    if their bytes agree but for the kind and number of blanks between words (and
+    between lines, whose bounds must agree too). In
+    scripts without blanks every character counts as a word. Shorter repeated
+    lines stay, however frequent. Rows that agree in id and text are one text and
+    get the same result; which row is earlier depends on id and text alone. Null
+    and empty texts stay as they are, and so does every text without a repeated
+    run, byte for byte. Very long texts are whole; an empty table gives no rows;
+    other columns may have any names.
 
     ``docs`` must read a table, as it is evaluated five times.
     """
@@ -353,7 +496,7 @@ def drop_repeated_lines(
     rows = docs.select(
         F.struct(*others).alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")
     )
-    found = stored(repeated_windows(rows.drop("row"), min_words), "found").select(
+    found = stored(repeated_stretches(rows.drop("row"), min_words), "found").select(
         F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), "found"
     )
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(found.select("_text_hash")))
@@ -365,22 +508,27 @@ def drop_repeated_lines(
     same = rows["doc_id"].eqNullSafe(found["_doc_id"]) & (rows["text_hash"] == found["_text_hash"])
     # texts without a match are not shuffled
     joined = rows.where(changes("text_hash")).join(found, same, "left").select("row", "text", "found")
-    rest = rows.where(~changes("text_hash")).select("row", "text", F.lit(None).cast("array<long>").alias("found"))
+    rest = rows.where(~changes("text_hash")).select("row", "text", F.lit(None).cast(joined.schema["found"].dataType).alias("found"))
     joined = joined.unionByName(rest)
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, found = batch.column("text"), batch.column("found")
-            changed = found.is_valid()
-            before = _bytes(text.filter(changed))
-            matches = [m.values.to_numpy() for m in found.filter(changed)]
-            after: list[bytes] = []
-            for start, stop in _groups(before):
-                after += without_lines(before[start:stop], matches[start:stop], min_words)
-            removed = np.zeros(batch.num_rows, np.int64)
-            removed[changed.to_numpy(zero_copy_only=False)] = [len(a) - len(b) for a, b in zip(before, after)]
-            texts = pc.replace_with_mask(text, changed, pa.array([a.decode() for a in after], text.type))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), texts, pa.array(removed)], ["row", "text", "removed"])
+            for part, texts in _groups(batch):
+                found = part.column("found")
+                changed = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+                removed = np.zeros(part.num_rows, np.int64)
+                text = part.column("text")
+                if len(changed):
+                    matches = []
+                    for i in changed.tolist():
+                        entries = found[i].values
+                        matches.append(np.column_stack([entries.field(j).to_numpy() for j in range(3)]).astype(np.int64))
+                    before = [texts[i] for i in changed.tolist()]
+                    after = without_lines(before, matches, min_words)
+                    removed[changed] = [len(a) - len(b) for a, b in zip(before, after)]
+                    mask = pa.array(found.is_valid())
+                    text = pc.replace_with_mask(text, mask, pa.array([a.decode() for a in after], text.type))
+                yield pa.RecordBatch.from_arrays([part.column("row"), text, pa.array(removed)], ["row", "text", "removed"])
 
     schema = StructType([joined.schema["row"], StructField("text", StringType()), StructField("removed", LongType())])
     return joined.mapInArrow(delete, schema)

@@ -20,14 +20,14 @@ def lines_of(text):
     return out
 
 
-def brute(texts, least):
-    """Texts in order, without the lines of runs of ``least`` words that stand earlier."""
+def gone_lines(texts, least):
+    """Per text the byte ranges of lines in runs of ``least`` words that stand earlier."""
     seen, out = {}, []
     for number, text in enumerate(texts):
         placed = lines_of(text)
-        keys = [line for _, line in placed]
+        keys = [b" ".join(line.split()) for _, line in placed]
         words = [len(line.split()) for line in keys]
-        gone = [False] * len(keys)
+        gone = set()
         for i in range(len(keys)):
             total = 0
             for j in range(i, len(keys)):
@@ -36,12 +36,31 @@ def brute(texts, least):
                     continue
                 first = seen.setdefault(tuple(keys[i : j + 1]), (number, i, j))
                 if first != (number, i, j):
-                    start = i if first[0] != number else max(i, first[2] + 1)
-                    gone[start : j + 1] = [True] * (j + 1 - start)
+                    gone |= set(range(i if first[0] != number else max(i, first[2] + 1), j + 1))
                 if total >= 3 * least:
                     break  # longer runs hold shorter ones that are repeated too
         ends = [at for at, _ in placed] + [len(text)]
-        out.append(text[: ends[0]] + b"".join(text[a:b] for a, b, g in zip(ends, ends[1:], gone) if not g))
+        out.append([(ends[i], ends[i + 1]) for i in gone])
+    return out
+
+
+def gone_words(texts, least=51):
+    """Per text the byte ranges of words in runs of ``least`` words that stand earlier."""
+    out = []
+    for text, gone in zip(texts, brute_words(texts, least)):
+        ends = [m.start() for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", text)] + [len(text)]
+        out.append([(ends[i], ends[i + 1]) for i in gone])
+    return out
+
+
+def brute(texts, least):
+    """Texts in order, without runs of lines of ``least`` words and runs of 51 words that stand earlier."""
+    out = []
+    for text, *ranges in zip(texts, gone_lines(texts, least), gone_words(texts)):
+        left = [True] * len(text)
+        for start, stop in (r for part in ranges for r in part):
+            left[start:stop] = [False] * (stop - start)
+        out.append(bytes(c for c, stays in zip(text, left) if stays))
     return out
 
 
@@ -129,3 +148,28 @@ def test_no_run_of_over_50_words_survives(spark):
     expected = [[w for i, w in enumerate(t.split()) if i not in gone] for t, gone in zip(raw, brute_words(raw))]
     assert [t.split() for t in run(spark, texts, least)] == expected
     assert sum(map(len, brute_words(raw))) > 1000
+
+
+def test_scripts_without_blanks(spark):
+    random.seed(9)
+    shared = "".join(chr(random.randint(0x4E00, 0x9FFF)) for _ in range(120))
+    thai = "".join(chr(random.randint(0x0E01, 0x0E2E)) for _ in range(70))
+    texts = [f"一{shared}", f"二三{shared}四", f"x {thai} y", f"other {thai}", shared[:50]]
+    assert run(spark, texts, 30) == [f"一{shared}".encode(), "二三四".encode(), f"x {thai} y".encode(), b"other ", shared[:50].encode()]
+
+
+def test_nothing_goes_on_equal_hashes_alone(spark, monkeypatch):
+    """With one hash for all words, only words with equal bytes are deleted."""
+    import numpy as np
+
+    from litscreen.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "word_hashes", lambda words: np.ones(len(words.begin), np.uint64))
+    random.seed(11)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [" ".join(f"w{random.randint(0, 10**9)}" for _ in range(120)) for _ in range(12)]
+    texts[3] += " " + passage
+    texts[7] = passage + " " + texts[7]
+    expected = [t.encode() for t in texts]
+    expected[7] = texts[7].removeprefix(passage + " ").encode()
+    assert run(spark, texts, 30) == expected
