@@ -1,16 +1,12 @@
 """Deduplication of repeated lines by winnowing.
 
-A text is cut into lines, and long lines after the end of a sentence. A window
-is the shortest run of lines with ``min_words`` words from a line on, or up to a
-line. Every window selects its smallest line hash (of equal ones the last) as
-fingerprint, so equal windows select equal lines: any repeated run of that many
-words is sure to share fingerprints, though only a few lines are selected.
+A passage need not begin or end where a line does, so every word begins a line:
+the ``min_words // 2`` or so words from it on. A window is a run of ``min_words``
+words; it selects the smallest hash of the lines in it (of equal ones the last)
+as its fingerprint, so equal windows select equal lines: any repeated run of
+that many words is sure to share a fingerprint, though few lines are selected.
 
-A passage need not begin or end with a line. So the same is done with words: a
-window is any run of ``RUN_WORDS`` words, its fingerprint the smallest hash of
-``GRAM_WORDS`` words in it.
-
-Only positions of selected fingerprints leave the texts, and only those whose
+Only positions of selected lines leave the texts, and only those whose
 fingerprint occurs twice. Such a position extends both ways to the first and
 the last window that select it; the words of that stretch are compared by a
 128-bit digest of their bytes. Positions with equal stretches are joined with
@@ -29,27 +25,26 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from litscreen.llm.common import byte_slices, stored, table
 
 MIN_WORDS = 30
-RUN_WORDS = 51  # a run of so many words goes wherever it begins
-GRAM_WORDS = 20  # RUN_WORDS - GRAM_WORDS + 1 must be a power of two
 GROUP_BYTES = 1 << 20  # bytes of text that are worked on at a time
 MOST_BITS = 1 << 28  # of a bitmap
+BITS_EACH = 64  # of a bitmap, per hash that it holds
 CHUNK = 1 << 16  # bytes of a bitmap that travel as one row
 LONG_WORD = 64  # bytes; longer words are hashed one by one
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 _SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
-_STOP = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 _BLANKS = bytes(32 if _SPACE[c] else c for c in range(256))
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _KNOWN_POWERS: dict[int, np.ndarray] = {}
 PLACE = ["doc_id", "text_hash", "at"]
+DIGEST = ["high", "low"]
 
 
 class Words(NamedTuple):
@@ -62,23 +57,13 @@ class Words(NamedTuple):
     bounds: np.ndarray
 
 
-class Lines(NamedTuple):
-    """Runs of words of several texts: first word and the one behind the last, hash, each text's bounds among them."""
-
-    first: np.ndarray
-    behind: np.ndarray
-    hashes: np.ndarray
-    bounds: np.ndarray
-
-
-class Windows(NamedTuple):
-    """Windows of several texts, by text and place: first and last line, text, number in the text, selected line."""
+class Positions(NamedTuple):
+    """Selected lines: fingerprint, text, first word of the first window that selects it, number of windows that do."""
 
-    first: np.ndarray
-    last: np.ndarray
+    marks: np.ndarray
     text: np.ndarray
-    number: np.ndarray
-    selected: np.ndarray
+    word: np.ndarray
+    count: np.ndarray
 
 
 def _powers(step: np.uint64, count: int) -> np.ndarray:
@@ -139,126 +124,47 @@ def word_hashes(words: Words) -> np.ndarray:
     return hashes
 
 
-def _summed(hashes: np.ndarray) -> np.ndarray:
-    """Sums of the hashes times powers, from which the hash of any run follows."""
-    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_STEP, len(hashes)), dtype=np.uint64)))
-
-
-def _run_hashes(sums: np.ndarray, first: np.ndarray, behind: np.ndarray) -> np.ndarray:
-    return _mixed((sums[behind] - sums[first]) * _powers(_BACK, len(sums))[first] + (behind - first).astype(np.uint64))
-
-
-def split_lines(words: Words, sums: np.ndarray | None) -> Lines:
-    """Lines that hold words; without ``sums`` they are not hashed."""
-    raw = np.frombuffer(words.data, np.uint8)
-    after = np.zeros(len(raw), bool)
-    after[1:] = _STOP[raw[:-1]]
-    cuts = np.flatnonzero((raw == 10) | ((raw == 32) & after)) + 1
-    edges = np.unique(np.searchsorted(words.begin, cuts))  # number of the first word behind each cut
-    edges = edges[edges > 0]
-    first = np.concatenate(([0], edges[:-1])).astype(np.int64) if len(edges) else np.zeros(0, np.int64)
-    hashes = np.zeros(0, np.uint64) if sums is None else _run_hashes(sums, first, edges)
-    return Lines(first, edges, hashes, np.searchsorted(first, words.bounds))
-
-
-def line_windows(lines: Lines, min_words: int, select: bool = True) -> Windows:
-    """All windows of ``min_words`` words or more, from a line on or up to a line."""
-    n = len(lines.first)
-    if not n:
-        return Windows(*(np.zeros(0, np.int64) for _ in range(5)))
-    upto, before = lines.behind - lines.first[0], lines.first - lines.first[0]
-    index = np.arange(n)
-    text = np.searchsorted(lines.bounds, index, "right") - 1
-    last = np.searchsorted(upto, before + min_words)
-    fits = last < lines.bounds[text + 1]
-    first = np.searchsorted(before, upto - min_words, "right") - 1
-    reaches = first >= lines.bounds[text]
-    pairs = np.concatenate((index[fits] * n + last[fits], first[reaches] * n + index[reaches]))
-    pairs.sort(kind="stable")  # two sorted runs
-    pairs = pairs[np.diff(pairs, prepend=-1) > 0]
-    first, last = pairs // n, pairs % n
-    text = text[first]
-    number = np.arange(len(pairs)) - np.searchsorted(text, np.arange(len(lines.bounds)))[text]
-    selected = first
-    if select:
-        selected, least = first.copy(), lines.hashes[first]
-        going, step = np.flatnonzero(last > first), 1
-        while len(going):
-            other = first[going] + step
-            better = lines.hashes[other] <= least[going]
-            least[going[better]], selected[going[better]] = lines.hashes[other[better]], other[better]
-            step += 1
-            going = going[first[going] + step <= last[going]]
-    return Windows(first, last, text, number, selected)
-
-
-def word_windows(words: Words, sums: np.ndarray | None) -> tuple[Lines, Windows]:
-    """All windows of ``RUN_WORDS`` words, with words as lines whose hashes are those of ``GRAM_WORDS`` words from each on."""
-    n, size = len(words.begin), RUN_WORDS - GRAM_WORDS + 1
-    index = np.arange(n)
+def _line_hashes(words: Words, size: int) -> np.ndarray:
+    """A hash of the ``size`` words from each word on, from sums of the words' hashes times powers."""
+    hashes = word_hashes(words)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_STEP, len(hashes)), dtype=np.uint64)))
+    count = max(len(hashes) - size + 1, 0)
+    return _mixed((sums[size : size + count] - sums[:count]) * _powers(_BACK, count))
+
+
+def positions(words: Words, min_words: int) -> Positions:
+    """The lines that windows of ``min_words`` words select; windows that select one line follow one another."""
+    lines = 1 << ((min_words + 2) // 2).bit_length() - 1  # lines of a window, a power of two
+    least = _line_hashes(words, min_words - lines + 1)
+    chosen, hashes, step = np.arange(len(least)), least, 1
+    while step < lines:
+        better = least[step:] <= least[:-step]
+        chosen = np.where(better, chosen[step:], chosen[:-step])
+        least = np.where(better, least[step:], least[:-step])
+        step *= 2
     text = np.repeat(np.arange(len(words.bounds) - 1), np.diff(words.bounds))
-    first = np.flatnonzero(text[: max(n - RUN_WORDS + 1, 0)] == text[RUN_WORDS - 1 :])
-    hashes, selected = np.zeros(0, np.uint64), first
-    if sums is not None:
-        count = max(n - GRAM_WORDS + 1, 0)
-        hashes = _run_hashes(sums, index[:count], index[:count] + GRAM_WORDS)
-        least, chosen, step = hashes, index[:count], 1
-        while step < size:
-            better = least[step:] <= least[:-step]
-            chosen = np.where(better, chosen[step:], chosen[:-step])
-            least = np.where(better, least[step:], least[:-step])
-            step *= 2
-        selected = chosen[first]
-    lines = Lines(index, index + 1, hashes, words.bounds)
-    return lines, Windows(first, first + RUN_WORDS - 1, text[first], first - words.bounds[text[first]], selected)
-
-
-def _both(words: Words, min_words: int, hashed: bool = True) -> Iterator[tuple[Lines, Windows]]:
-    """Lines with their windows, then words with theirs."""
-    sums = _summed(word_hashes(words)) if hashed else None
-    lines = split_lines(words, sums)
-    yield lines, line_windows(lines, min_words, hashed)
-    yield word_windows(words, sums)
-
-
-class Positions(NamedTuple):
-    """Selected lines of one kind: fingerprint, first window that selects it, how many windows do."""
-
-    marks: np.ndarray
-    window: np.ndarray
-    count: np.ndarray
-
-
-def _positions(kind: int, lines: Lines, windows: Windows) -> Positions:
-    """Windows that select one line follow one another."""
-    other = (np.diff(windows.selected, prepend=-1) != 0) | (np.diff(windows.text, prepend=-1) != 0)
-    window = np.flatnonzero(other)
-    count = np.diff(np.append(window, len(windows.first)))
-    marks = _mixed(lines.hashes[windows.selected[window]] + np.uint64(kind)) if len(window) else np.zeros(0, np.uint64)
-    return Positions(marks, window, count)
+    inside = np.flatnonzero(text[: len(chosen)] == text[min_words - 1 :][: len(chosen)])  # windows of one text
+    chosen, of = chosen[inside], text[inside]
+    first = np.flatnonzero((np.diff(chosen, prepend=-1) != 0) | (np.diff(of, prepend=-1) != 0))
+    return Positions(hashes[chosen[first]], of[first], inside[first], np.diff(np.append(first, len(inside))))
 
 
 class _Digests:
-    """Digests of stretches of words or, for kind 0, of lines; the number and kind of the blanks between words do not count."""
+    """Digests of stretches of words; the number and kind of the blanks between them do not count."""
 
     def __init__(self, words: Words, texts: list[bytes]):
-        self.words, self.plain = words, words.data.translate(_BLANKS)
+        self.words, self.data = words, words.data.translate(_BLANKS)
         self.uneven = np.array([b"  " in t.translate(_BLANKS) for t in texts], bool)
 
-    def of(self, kind: int, lines: Lines, begin: np.ndarray, end: np.ndarray, text: np.ndarray) -> pa.Array:
-        data = self.plain
-        if kind == 0:  # a line break before every line
-            marked = np.frombuffer(data, np.uint8).copy()
-            begins = self.words.begin[lines.first]
-            marked[begins[begins > 0] - 1] = 10
-            data = marked.tobytes()
-        out = []
-        for b, e, uneven in zip(begin.tolist(), end.tolist(), self.uneven[text].tolist()):
-            stretch = data[b:e]
-            if uneven:
-                stretch = b"\n".join(b" ".join(line.split()) for line in stretch.split(b"\n"))
-            out.append(blake2b(stretch, digest_size=16, salt=bytes([kind])).digest())
-        return pa.array(out, pa.binary())
+    def of(self, first: np.ndarray, behind: np.ndarray, text: np.ndarray) -> list[pa.Array]:
+        """Two numbers for the words from each ``first`` on up to the one before ``behind``."""
+        out = bytearray()
+        begin, end = self.words.begin[first].tolist(), self.words.end[behind - 1].tolist()
+        for b, e, uneven in zip(begin, end, self.uneven[text].tolist()):
+            stretch = self.data[b:e]
+            out += blake2b(b" ".join(stretch.split()) if uneven else stretch, digest_size=16).digest()
+        pairs = np.frombuffer(bytes(out), np.int64).reshape(-1, 2)
+        return [pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)]
 
 
 def _groups(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -277,8 +183,7 @@ def _fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in _groups(batch):
-                for kind, (lines, windows) in enumerate(_both(split_words(texts), min_words)):
-                    yield pa.RecordBatch.from_arrays([_signed(_positions(kind, lines, windows).marks)], ["mark"])
+                yield pa.RecordBatch.from_arrays([_signed(positions(split_words(texts), min_words).marks)], ["mark"])
 
     return docs.select("text").mapInArrow(select, "mark long")
 
@@ -292,7 +197,7 @@ def _bitmap(hashes: DataFrame) -> np.ndarray:
 
     Every task sets the bits of its rows; the pieces are united by their number.
     """
-    bits = min(max(1 << (16 * hashes.count()).bit_length(), 8 * CHUNK), MOST_BITS)
+    bits = min(max(1 << (BITS_EACH * hashes.count() // 2).bit_length(), 8 * CHUNK), MOST_BITS)
 
     def pieces(bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
         for number, piece in enumerate(bitmap.reshape(-1, CHUNK)):
@@ -328,16 +233,27 @@ def _is_set(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _places(part: pa.RecordBatch, text: np.ndarray, number: np.ndarray, kind: int) -> list[pa.Array]:
+def _may_hold(bitmap: np.ndarray, spark):
+    """Whether a column of hashes may be in the bitmap, as a function on columns."""
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf(BooleanType())
+    def test(hashes: pd.Series) -> pd.Series:
+        return pd.Series(_is_set(shared.value, hashes.to_numpy()))
+
+    return test
+
+
+def _places(part: pa.RecordBatch, words: Words, text: np.ndarray, first: np.ndarray) -> list[pa.Array]:
     of = pa.array(text, pa.int64())
-    at = pa.array((2 * number + kind).astype(np.int32))
+    at = pa.array((first - words.bounds[text]).astype(np.int32))
     return [part.column("doc_id").take(of), part.column("text_hash").take(of), at]
 
 
 def _stretches(docs: DataFrame, min_words: int, repeated: np.ndarray) -> DataFrame:
-    """``mark, digest, n`` and place of the positions whose fingerprint may be in ``repeated``.
+    """``mark``, digest, ``n`` and place of the positions whose fingerprint may be in ``repeated``.
 
-    ``digest`` is that of the words from the first window to the last, ``n`` the number of windows.
+    The digest is that of the words from the first window to the last, ``n`` the number of windows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(repeated)
 
@@ -345,52 +261,38 @@ def _stretches(docs: DataFrame, min_words: int, repeated: np.ndarray) -> DataFra
         for batch in batches:
             for part, texts in _groups(batch):
                 words = split_words(texts)
-                digests = _Digests(words, texts)
-                for kind, (lines, windows) in enumerate(_both(words, min_words)):
-                    found = _positions(kind, lines, windows)
-                    kept = np.flatnonzero(_is_set(shared.value, found.marks))
-                    window, n = found.window[kept], found.count[kept]
-                    begin = words.begin[lines.first[windows.first[window]]]
-                    end = words.end[lines.behind[windows.last[window + n - 1]] - 1]
-                    text = windows.text[window]
-                    digest = digests.of(kind, lines, begin, end, text)
-                    yield pa.RecordBatch.from_arrays(
-                        [_signed(found.marks[kept]), digest, pa.array(n.astype(np.int32)),
-                         *_places(part, text, windows.number[window], kind)],
-                        ["mark", "digest", "n", *PLACE],
-                    )
+                found = positions(words, min_words)
+                kept = np.flatnonzero(_is_set(shared.value, found.marks))
+                marks, text, first, n = (column[kept] for column in found)
+                digests = _Digests(words, texts).of(first, first + n + min_words - 1, text)
+                columns = [_signed(marks), *digests, pa.array(n.astype(np.int32)), *_places(part, words, text, first)]
+                yield pa.RecordBatch.from_arrays(columns, ["mark", *DIGEST, "n", *PLACE])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"mark long, digest binary, n int, doc_id {kind}, text_hash long, at int"
+    schema = f"mark long, high long, low long, n int, doc_id {kind}, text_hash long, at int"
     return docs.select("doc_id", "text_hash", "text").mapInArrow(select, schema)
 
 
 def _windows(docs: DataFrame, min_words: int, chosen: np.ndarray) -> DataFrame:
-    """``digest`` and place of the windows of the positions whose place may be in ``chosen``."""
+    """Digest and place of the windows of the positions whose place may be in ``chosen``."""
     shared = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in _groups(batch):
                 words = split_words(texts)
-                digests = _Digests(words, texts)
+                found = positions(words, min_words)
                 hashes = part.column("text_hash").to_numpy()
-                for kind, (lines, windows) in enumerate(_both(words, min_words)):
-                    found = _positions(kind, lines, windows)
-                    key = _place_key(hashes[windows.text[found.window]], 2 * windows.number[found.window] + kind)
-                    kept = np.flatnonzero(_is_set(shared.value, key))
-                    n = found.count[kept]
-                    window = np.repeat(found.window[kept] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    begin = words.begin[lines.first[windows.first[window]]]
-                    end = words.end[lines.behind[windows.last[window]] - 1]
-                    text = windows.text[window]
-                    yield pa.RecordBatch.from_arrays(
-                        [digests.of(kind, lines, begin, end, text), *_places(part, text, windows.number[window], kind)],
-                        ["digest", *PLACE],
-                    )
+                key = _place_key(hashes[found.text], found.word - words.bounds[found.text])
+                kept = np.flatnonzero(_is_set(shared.value, key))
+                n = found.count[kept]
+                first = np.repeat(found.word[kept] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                text = np.repeat(found.text[kept], n)
+                digests = _Digests(words, texts).of(first, first + min_words, text)
+                yield pa.RecordBatch.from_arrays([*digests, *_places(part, words, text, first)], [*DIGEST, *PLACE])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"digest binary, doc_id {kind}, text_hash long, at int"
+    schema = f"high long, low long, doc_id {kind}, text_hash long, at int"
     return docs.select("doc_id", "text_hash", "text").mapInArrow(select, schema)
 
 
@@ -402,6 +304,25 @@ def _place_keys(places: DataFrame) -> DataFrame:
     return places.select("text_hash", "at").mapInArrow(run, "key long")
 
 
+def _later(rows: DataFrame, groups: DataFrame, n: Column) -> DataFrame:
+    """``doc_id, text_hash, match`` of every place in ``rows`` that is not the first with its digest.
+
+    ``groups`` has first and last place and the number of places per digest. Of
+    two places the last is the later one; only those of larger groups are joined.
+    """
+    spark = rows.sparkSession
+    place = F.struct(*PLACE)
+    two = groups.where("_count = 2 AND _last > _first").select(F.col("_last").alias("_place"), "_first", F.col("_n").alias("n"))
+    many = stored(groups.where("_count > 2").select(*DIGEST, "_first"), "groups")
+    held = _may_hold(_bitmap(many.select("high")), spark)
+    joined = rows.where(held("high")).join(many, DIGEST).select(place.alias("_place"), "_first", n.alias("n"))
+    both = joined.where("_place > _first").unionByName(two)
+    same = F.col("_place.doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("_place.text_hash") == F.col("_first.text_hash"))
+    own = F.when(same, F.col("_first.at")).otherwise(-1)
+    match = F.struct(F.col("_place.at").alias("at"), F.col("n").alias("n"), own.alias("own"))
+    return both.select("_place.doc_id", "_place.text_hash", match.alias("match"))
+
+
 def repeated_stretches(docs: DataFrame, min_words: int) -> DataFrame:
     """``doc_id, text_hash, found``: per text its windows that stand earlier already, as ``without_lines`` takes them.
 
@@ -412,61 +333,44 @@ def repeated_stretches(docs: DataFrame, min_words: int) -> DataFrame:
     repeated = _bitmap(stored(marks.where("n > 1").select("mark"), "marks"))
     shared = stored(_stretches(docs, min_words, repeated), "stretches")
     place = F.struct(*PLACE)
-    classes = shared.groupBy("mark", "digest").agg(
-        F.min(place).alias("_first"), F.count(F.lit(1)).alias("_count"), F.max("n").alias("_n")
-    )
-    classes = stored(classes, "classes")
-
-    def later(rows: DataFrame, firsts: DataFrame, keys: list[str], n) -> DataFrame:
-        """Of every place behind the first with its content: where, how many windows, and where the first is in the same text."""
-        joined = rows.join(firsts, keys).where(place > F.col("_first"))
-        same = F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("text_hash") == F.col("_first.text_hash"))
-        own = F.when(same, F.col("_first.at")).otherwise(-1)
-        return joined.select("doc_id", "text_hash", F.struct("at", n.alias("n"), own.alias("own")).alias("match"))
-
-    several = classes.where("_count > 1").select("mark", "digest", "_first")
-    whole = later(shared, several, ["mark", "digest"], F.col("n"))
+    ends = [F.min(place).alias("_first"), F.max(place).alias("_last"), F.count(F.lit(1)).alias("_count")]
+    # equal digests have equal fingerprints
+    classes = stored(shared.groupBy(*DIGEST).agg(*ends, F.max("n").alias("_n"), F.max("mark").alias("mark")), "classes")
+    whole = _later(shared, classes, F.col("n"))
     # around one fingerprint different stretches: the windows of the first position of each
     varied = classes.groupBy("mark").agg(F.count(F.lit(1)).alias("_classes")).where("_classes > 1").select("mark")
     firsts = stored(classes.join(varied, "mark", "left_semi").select("_first.text_hash", "_first.at"), "firsts")
     windows = stored(_windows(docs, min_words, _bitmap(_place_keys(firsts))), "windows")
-    groups = windows.groupBy("digest").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_count"))
-    single = later(windows, groups.where("_count > 1").drop("_count"), ["digest"], F.lit(1))
+    groups = windows.groupBy(*DIGEST).agg(*ends).withColumn("_n", F.lit(1)).where("_count > 1")
+    single = _later(windows, stored(groups, "repeated"), F.lit(1))
     return whole.unionByName(single).groupBy("doc_id", "text_hash").agg(F.collect_set("match").alias("found"))
 
 
 def without_lines(texts: list[bytes], matches: list[np.ndarray], min_words: int) -> list[bytes]:
-    """The texts without the lines and words of their matched windows.
+    """The texts without the words of their matched windows.
 
-    ``matches`` has, per text, rows ``at, n, own``: ``n`` windows from ``at`` on
-    stand earlier (twice the number, plus 1 for windows of words); ``own`` is
-    where the earlier ones begin, if that is in the same text, else -1. Of a
-    window that overlaps the earlier one what lies behind that goes.
+    ``matches`` has, per text, rows ``at, n, own``: ``n`` windows from word ``at``
+    on stand earlier; ``own`` is where the earlier ones begin, if that is in the
+    same text, else -1. Of a window that overlaps the earlier one what lies
+    behind that goes.
     """
     words = split_words(texts)
     at, n, own = np.concatenate(matches).T
-    of_text = np.repeat(np.repeat(np.arange(len(texts)), [len(m) for m in matches]), n)
-    shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    number, kinds = np.repeat(at >> 1, n) + shift, np.repeat(at & 1, n)
-    first = np.where(np.repeat(own, n) >= 0, np.repeat(own >> 1, n) + shift, -1)
-    change = np.zeros(len(words.data) + 1, np.int32)  # by byte
-    following = np.append(words.begin, len(words.data))
-    for kind, (lines, windows) in enumerate(_both(words, min_words, hashed=False)):
-        mine = kinds == kind
-        base = np.searchsorted(windows.text, np.arange(len(texts)))[of_text[mine]]
-        place, earlier = base + number[mine], first[mine] >= 0
-        start, last = windows.first[place], windows.last[place]
-        start[earlier] = np.maximum(start[earlier], windows.last[(base + first[mine])[earlier]] + 1)
-        some = start <= last
-        start, last, of = start[some], last[some], of_text[mine][some]
-        np.add.at(change, words.begin[lines.first[start]], 1)  # up to the next word, or the end of the text
-        np.add.at(change, np.minimum(following[lines.behind[last]], words.starts[of + 1] - 1), -1)
+    base = words.bounds[:-1][np.repeat(np.arange(len(texts)), [len(m) for m in matches])]
+    # as a whole: of the first window what lies behind the earlier one, of every other one word more
+    start = np.where(own >= 0, np.maximum(at, own + min_words), at)
+    behind = at + n + min_words - 1
+    some = start < behind
+    change = np.zeros(len(words.begin) + 1, np.int32)
+    np.add.at(change, (base + start)[some], 1)
+    np.add.at(change, (base + behind)[some], -1)
     gone = np.cumsum(change[:-1]) > 0
     out = []
     for i, text in enumerate(texts):
-        lower = words.starts[i]
-        turns = np.flatnonzero(np.diff(gone[lower : lower + len(text)], prepend=False, append=False))  # stretches that go
-        places = [0, *turns.tolist(), len(text)]
+        low, high = words.bounds[i], words.bounds[i + 1]
+        edges = np.append(words.begin[low:high], words.starts[i + 1] - 1) - words.starts[i]  # a word goes up to the next one
+        turns = np.flatnonzero(np.diff(gone[low:high], prepend=False, append=False))
+        places = [0, *edges[turns].tolist(), len(text)]
         out.append(b"".join(text[a:b] for a, b in zip(places[::2], places[1::2])))
     return out
 
@@ -476,18 +380,15 @@ def drop_repeated_lines(
 ) -> DataFrame:
     """``row`` (struct of the other columns), ``text`` and ``removed`` (bytes) for every row of ``docs``.
 
-    Lines are deleted that stand in a run of lines of ``min_words`` words or
-    more of which an equal run stands earlier, in another text or before in the
-    same one. Words are deleted that stand in a run of ``RUN_WORDS`` words or
-    more of which an equal run stands earlier, wherever it begins. Runs are equal
-    if their bytes agree but for the kind and number of blanks between words (and
-    between lines, whose bounds must agree too). In
-    scripts without blanks every character counts as a word. Shorter repeated
-    lines stay, however frequent. Rows that agree in id and text are one text and
-    get the same result; which row is earlier depends on id and text alone. Null
-    and empty texts stay as they are, and so does every text without a repeated
-    run, byte for byte. Very long texts are whole; an empty table gives no rows;
-    other columns may have any names.
+    Words are deleted that stand in a run of ``min_words`` words or more of which
+    an equal run stands earlier, in another text or before in the same one,
+    wherever it begins. Runs are equal if their bytes agree but for the kind and
+    number of blanks between words. In scripts without blanks every character
+    counts as a word. Shorter repeated lines stay, however frequent. Rows that
+    agree in id and text are one text and get the same result; which row is
+    earlier depends on id and text alone. Null and empty texts stay as they are,
+    and so does every text without a repeated run, byte for byte. Very long texts
+    are whole; an empty table gives no rows; other columns may have any names.
 
     ``docs`` must read a table, as it is evaluated five times.
     """
@@ -499,11 +400,7 @@ def drop_repeated_lines(
     found = stored(repeated_stretches(rows.drop("row"), min_words), "found").select(
         F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), "found"
     )
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(found.select("_text_hash")))
-
-    @F.pandas_udf(BooleanType())
-    def changes(hashes: pd.Series) -> pd.Series:
-        return pd.Series(_is_set(shared.value, hashes.to_numpy()))
+    changes = _may_hold(_bitmap(found.select("_text_hash")), docs.sparkSession)
 
     same = rows["doc_id"].eqNullSafe(found["_doc_id"]) & (rows["text_hash"] == found["_text_hash"])
     # texts without a match are not shuffled

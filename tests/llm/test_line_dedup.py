@@ -5,46 +5,7 @@ from litscreen.llm.line_dedup import drop_repeated_lines, op3_line_dedup
 from tests.llm.helpers import EDGES, LONG, documents
 
 SF_DIR = "/root/testdata/sf0.01"
-BLANK = b" \t\n\r\x0b\x0c"
-
-
-def lines_of(text):
-    """Place and content of every line that holds words."""
-    cuts = [m.end() for m in re.finditer(rb"\n|(?<=[.!?]) ", text)] + [len(text)]
-    out, at = [], 0
-    for cut in cuts:
-        line = text[at:cut]
-        if line.strip(BLANK):
-            out.append((at + len(line) - len(line.lstrip(BLANK)), line.strip(BLANK)))
-        at = cut
-    return out
-
-
-def gone_lines(texts, least):
-    """Per text the byte ranges of lines in runs of ``least`` words that stand earlier."""
-    seen, out = {}, []
-    for number, text in enumerate(texts):
-        placed = lines_of(text)
-        keys = [b" ".join(line.split()) for _, line in placed]
-        words = [len(line.split()) for line in keys]
-        gone = set()
-        for i in range(len(keys)):
-            total = 0
-            for j in range(i, len(keys)):
-                total += words[j]
-                if total < least:
-                    continue
-                first = seen.setdefault(tuple(keys[i : j + 1]), (number, i, j))
-                if first != (number, i, j):
-                    gone |= set(range(i if first[0] != number else max(i, first[2] + 1), j + 1))
-                if total >= 3 * least:
-                    break  # longer runs hold shorter ones that are repeated too
-        ends = [at for at, _ in placed] + [len(text)]
-        out.append([(ends[i], ends[i + 1]) for i in gone])
-    return out
-
-
-def gone_words(texts, least=51):
+def gone_words(texts, least):
     """Per text the byte ranges of words in runs of ``least`` words that stand earlier."""
     out = []
     for text, gone in zip(texts, brute_words(texts, least)):
@@ -54,11 +15,11 @@ def gone_words(texts, least=51):
 
 
 def brute(texts, least):
-    """Texts in order, without runs of lines of ``least`` words and runs of 51 words that stand earlier."""
+    """Texts in order, without runs of ``least`` words that stand earlier."""
     out = []
-    for text, *ranges in zip(texts, gone_lines(texts, least), gone_words(texts)):
+    for text, ranges in zip(texts, gone_words(texts, least)):
         left = [True] * len(text)
-        for start, stop in (r for part in ranges for r in part):
+        for start, stop in ranges:
             left[start:stop] = [False] * (stop - start)
         out.append(bytes(c for c, stays in zip(text, left) if stays))
     return out
@@ -110,7 +71,7 @@ def test_edges(spark):
     assert set(done[0].row.asDict()) == set(docs.columns) - {"text"}
 
 
-def brute_words(texts, least=51):
+def brute_words(texts, least):
     """Per text the numbers of the words in runs of ``least`` words that stand earlier."""
     seen, out = {}, []
     for number, text in enumerate(texts):
@@ -128,11 +89,11 @@ def test_passage_spliced_into_a_line_goes_whole(spark):
     words[30] += "."
     words[36] += "."  # sentences of 31, 6 and 16 words
     passage = " ".join(words)
-    texts = [f"First {passage} end.", f"Other start without a stop {passage} and another end.", f"{' '.join(words[:50])} is short"]
+    texts = [f"First {passage} end.", f"Other start without a stop {passage} and another end."]
+    texts += [f"{' '.join(words[:29])} is short", f"is {' '.join(words[7:37])} long"]
     got = run(spark, texts, 30)
     assert got[0] == texts[0].encode() and got[1] == b"Other start without a stop and another end."
-    # 50 words are no long run: of this text only the whole sentences that stand earlier could go
-    assert got[2] == texts[2].encode()
+    assert got[2] == texts[2].encode() and got[3] == b"is long"
 
 
 def test_no_run_of_over_50_words_survives(spark):
@@ -144,18 +105,17 @@ def test_no_run_of_over_50_words_survives(spark):
         parts = [random.choice([[word() for _ in range(random.randint(1, 40))], random.choice(pool)]) for _ in range(5)]
         texts.append(" ".join(" ".join(p[random.randint(0, 3) :]) for p in parts))
     raw = [t.encode() for t in texts]
-    least = 10_000  # no runs of lines
-    expected = [[w for i, w in enumerate(t.split()) if i not in gone] for t, gone in zip(raw, brute_words(raw))]
-    assert [t.split() for t in run(spark, texts, least)] == expected
-    assert sum(map(len, brute_words(raw))) > 1000
+    expected = [[w for i, w in enumerate(t.split()) if i not in gone] for t, gone in zip(raw, brute_words(raw, 51))]
+    assert [t.split() for t in run(spark, texts, 51)] == expected
+    assert sum(map(len, brute_words(raw, 51))) > 1000
 
 
 def test_scripts_without_blanks(spark):
     random.seed(9)
     shared = "".join(chr(random.randint(0x4E00, 0x9FFF)) for _ in range(120))
     thai = "".join(chr(random.randint(0x0E01, 0x0E2E)) for _ in range(70))
-    texts = [f"一{shared}", f"二三{shared}四", f"x {thai} y", f"other {thai}", shared[:50]]
-    assert run(spark, texts, 30) == [f"一{shared}".encode(), "二三四".encode(), f"x {thai} y".encode(), b"other ", shared[:50].encode()]
+    texts = [f"一{shared}", f"二三{shared}四", f"x {thai} y", f"other {thai}", shared[:29]]
+    assert run(spark, texts, 30) == [f"一{shared}".encode(), "二三四".encode(), f"x {thai} y".encode(), b"other ", shared[:29].encode()]
 
 
 def test_nothing_goes_on_equal_hashes_alone(spark, monkeypatch):
