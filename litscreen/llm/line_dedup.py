@@ -39,8 +39,7 @@ CHUNK = 1 << 16  # bytes of a bitmap that travel as one row
 LONG_WORD = 64  # bytes; longer words are hashed one by one
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
-_SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
-_BLANKS = bytes(32 if _SPACE[c] else c for c in range(256))
+_BLANKS = bytes(32 if c in (*range(9, 14), 32) else c for c in range(256))
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _KNOWN_POWERS: dict[int, np.ndarray] = {}
 PLACE = ["doc_id", "text_hash", "at"]
@@ -88,34 +87,36 @@ def split_words(texts: list[bytes]) -> Words:
     data = b"\n".join(texts) + b"\n"
     raw = np.frombuffer(data, np.uint8)
     starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-    blank = _SPACE[raw]
-    alone = (raw >= 0xE3) & (raw <= 0xE9)  # first bytes of U+3000 to U+9FFF
-    alone[:-1] |= (raw[:-1] == 0xE0) & (raw[1:] >= 0xB8) & (raw[1:] <= 0xBB)  # U+0E00 to U+0EFF
-    if alone.any():
-        starting = alone.copy()
-        starting[np.flatnonzero(alone) + 3] = True  # three bytes each; a blank follows every text
-        starting[1:] |= blank[:-1]
-        starting[0] = True
-        starting &= ~blank
-        begin = np.flatnonzero(starting)
-        end = np.flatnonzero(~blank[:-1] & (blank[1:] | starting[1:])) + 1
-    else:
-        edges = np.flatnonzero(np.diff(blank.view(np.int8), prepend=np.int8(1)))  # in turn where words begin and end
-        begin, end = edges[::2], edges[1::2]
+    blank = (raw - np.uint8(9) < 5) | (raw == 32)
+    change = np.empty(len(raw), bool)
+    change[0] = not blank[0]
+    np.not_equal(blank[1:], blank[:-1], out=change[1:])
+    edges = np.flatnonzero(change)  # in turn where words begin and end
+    begin, end = edges[::2], edges[1::2]
+    high = np.flatnonzero(raw >= 0xE0)
+    lead, second = raw[high], raw[np.minimum(high + 1, len(raw) - 1)]
+    # first bytes, of three, of U+3000 to U+9FFF and U+0E00 to U+0EFF
+    alone = high[((lead >= 0xE3) & (lead <= 0xE9)) | ((lead == 0xE0) & (second >= 0xB8) & (second <= 0xBB))]
+    if len(alone):
+        inside = alone[~blank[np.maximum(alone - 1, 0)] & (alone > 0)]  # behind a character that is no blank
+        behind = alone + 3
+        behind = behind[~blank[behind]]  # a blank follows every text
+        cuts = np.union1d(inside, behind)
+        cuts = cuts[~np.isin(cuts, begin)]
+        begin, end = np.union1d(begin, cuts), np.union1d(end, cuts)
     return Words(data, begin, end, starts, np.searchsorted(begin, starts))
 
 
 def word_hashes(words: Words) -> np.ndarray:
     """A hash of the bytes of every word, eight at a time."""
-    padded = np.frombuffer(words.data + bytes(8), np.uint8)
-    eights = np.lib.stride_tricks.as_strided(padded, (len(words.data) + 1, 8), (1, 1))
+    eights = np.ndarray(len(words.data) + 1, "<u8", words.data + bytes(8), 0, (1,))  # eight bytes from each on
     size = words.end - words.begin
     hashes = size.astype(np.uint64)
-    left = np.flatnonzero(size <= LONG_WORD)
-    done = 0
+    left, done = np.flatnonzero(size <= LONG_WORD), 0
     while len(left):
-        some = eights[words.begin[left] + done].view("<u8").ravel() & _MASKS[np.minimum(size[left] - done, 8)]
-        hashes[left] = _mixed(hashes[left] * _STEP + some)
+        some = eights[words.begin[left] + done] & _MASKS[np.minimum(size[left] - done, 8)]
+        some = (hashes[left] ^ some) * _STEP
+        hashes[left] = some ^ (some >> np.uint64(32))
         done += 8
         left = left[size[left] > done]
     for i in np.flatnonzero(size > LONG_WORD):
@@ -273,9 +274,9 @@ def _stretches(docs: DataFrame, min_words: int, repeated: np.ndarray) -> DataFra
     return docs.select("doc_id", "text_hash", "text").mapInArrow(select, schema)
 
 
-def _windows(docs: DataFrame, min_words: int, chosen: np.ndarray) -> DataFrame:
-    """Digest and place of the windows of the positions whose place may be in ``chosen``."""
-    shared = docs.sparkSession.sparkContext.broadcast(chosen)
+def _windows(docs: DataFrame, min_words: int, repeated: np.ndarray, chosen: np.ndarray) -> DataFrame:
+    """Digest and place of the windows of the positions whose fingerprint and place may be in the bitmaps."""
+    shared = docs.sparkSession.sparkContext.broadcast((repeated, chosen))
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,7 +285,7 @@ def _windows(docs: DataFrame, min_words: int, chosen: np.ndarray) -> DataFrame:
                 found = positions(words, min_words)
                 hashes = part.column("text_hash").to_numpy()
                 key = _place_key(hashes[found.text], found.word - words.bounds[found.text])
-                kept = np.flatnonzero(_is_set(shared.value, key))
+                kept = np.flatnonzero(_is_set(shared.value[0], found.marks) & _is_set(shared.value[1], key))
                 n = found.count[kept]
                 first = np.repeat(found.word[kept] - np.cumsum(n) + n, n) + np.arange(n.sum())
                 text = np.repeat(found.text[kept], n)
@@ -340,7 +341,7 @@ def repeated_stretches(docs: DataFrame, min_words: int) -> DataFrame:
     # around one fingerprint different stretches: the windows of the first position of each
     varied = classes.groupBy("mark").agg(F.count(F.lit(1)).alias("_classes")).where("_classes > 1").select("mark")
     firsts = stored(classes.join(varied, "mark", "left_semi").select("_first.text_hash", "_first.at"), "firsts")
-    windows = stored(_windows(docs, min_words, _bitmap(_place_keys(firsts))), "windows")
+    windows = stored(_windows(docs, min_words, repeated, _bitmap(_place_keys(firsts))), "windows")
     groups = windows.groupBy(*DIGEST).agg(*ends).withColumn("_n", F.lit(1)).where("_count > 1")
     single = _later(windows, stored(groups, "repeated"), F.lit(1))
     return whole.unionByName(single).groupBy("doc_id", "text_hash").agg(F.collect_set("match").alias("found"))
