@@ -26,6 +26,7 @@ from litscreen.llm.tokens import CachedTokenizer, in_worker
 
 CAPACITY = 2048
 END_ID = 0
+BUCKET_ROWS = 200_000  # pieces of the most frequent length that a task numbers
 TOKENIZER = "byte_bpe_50k.json"
 PIECES = "row long, doc_id {}, piece int, start long, length long, ids_crc32 long, ids binary"
 
@@ -184,7 +185,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             names = [name for name in batch.schema.names if name != "_number"]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    numbered = numbered_within(pieces, "length", ["row", "piece"], "_number", buckets=64)
+    buckets = 64 + int(counts.max()) // BUCKET_ROWS
+    numbered = numbered_within(pieces, "length", ["row", "piece"], "_number", buckets)
     schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
     return numbered.mapInArrow(place, schema)
 

@@ -3,8 +3,9 @@
 A byte-level BPE tokenizer never merges across a blank that stands between two
 other characters: the blank begins the next chunk. So a text is cut before such
 blanks, known chunks are looked up by a 128-bit hash, and only new chunks are
-encoded. A text with other blanks (double ones, one at the end, one before a
-line break) is encoded as it is.
+encoded. Nor does it merge a letter with a punctuation mark behind it, so a
+mark begins a chunk as well. A text with other blanks (double ones, one at the
+end, one before a line break) is encoded as it is.
 """
 
 from __future__ import annotations
@@ -16,11 +17,14 @@ from collections.abc import Callable
 
 import numpy as np
 
-SLOTS = 1 << 20  # of the cache
+SLOTS = 1 << 19  # of the cache, for two chunks each
 POOL = 1 << 22  # token ids that the cache holds at most
 SEGMENT = 1 << 20  # bytes that are worked on at a time
 _STEP = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 #: first bytes of white space other than the blank
+_LETTER = np.isin(np.arange(256), [c for c in range(128) if chr(c).isalpha()])
+#: ASCII punctuation but the apostrophe, which may begin a contraction
+_MARK = np.isin(np.arange(256), [c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"])
 _MAYBE_SPACE = np.isin(np.arange(256), [*range(9, 14), *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3])
 
 
@@ -42,14 +46,15 @@ class CachedTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         first = [(self.tokenizer.id_to_token(i) or "")[:1] for i in range(size)]
+        self.whole = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]  # found in any text
         self.starts_chunk = np.array([c == "Ġ" for c in first])  # the sign for a blank byte
         self.up = [_powers(s, SEGMENT + 1) for s in _STEP]
         self.down = [_powers(_inverse(s), SEGMENT + 1) for s in _STEP]
         self._reset()
 
     def _reset(self) -> None:
-        self.tags = np.zeros((2, SLOTS), np.uint64)
-        self.places = np.zeros((2, SLOTS), np.int32)  # start in the pool, number of ids
+        self.tags = np.zeros((2, 2, SLOTS), np.uint64)  # younger and older chunk, two hashes
+        self.places = np.zeros((2, 2, SLOTS), np.int32)  # start in the pool, number of ids
         self.pool = np.zeros(POOL, np.uint32)
         self.filled = 0
 
@@ -101,12 +106,22 @@ class CachedTokenizer:
     def _encode_segments(self, segments: list[tuple[int, bytes, bool]]) -> list[np.ndarray | None]:
         joined = b" ".join(s for _, s, _ in segments)
         data = np.frombuffer(joined, np.uint8)
-        blanks = np.flatnonzero(data == 32)
-        starts = np.concatenate(([0], blanks + 1))
-        ends = np.concatenate((blanks, [len(data)]))
+        blank = data == 32
+        inner = np.zeros(len(data) + 1, bool)  # where a chunk begins without a blank
+        inner[1:-1] = _LETTER[data[:-1]] & _MARK[data[1:]]
+        for token in self.whole:
+            at = joined.find(token)
+            while at >= 0:
+                inner[at + 1 : at + len(token)] = False
+                at = joined.find(token, at + 1)
+        begins = inner.copy()
+        begins[0] = True
+        begins[1:] |= blank
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:] - ~inner[starts[1:]], len(data))
         lengths = np.array([len(s) for _, s, _ in segments])
         first = np.searchsorted(starts, np.cumsum(lengths + 1) - lengths - 1)  # first chunk of each segment
-        led = np.ones(len(starts), bool)
+        led = ~inner[starts]
         led[first] = [x for _, _, x in segments]
 
         empty = ends == starts
@@ -125,8 +140,9 @@ class CachedTokenizer:
             hashes.append(sums ^ (sums >> np.uint64(32)))
         one, two = hashes
         slots = (one & np.uint64(SLOTS - 1)).astype(np.int64)
-        known = (self.tags[0][slots] == one) & (self.tags[1][slots] == two)
-        at, count = self.places[0][slots].astype(np.int64), self.places[1][slots].astype(np.int64)
+        younger, older = ((self.tags[way][0][slots] == one) & (self.tags[way][1][slots] == two) for way in (0, 1))
+        known = younger | older
+        at, count = (np.where(younger, self.places[0][i][slots], self.places[1][i][slots]).astype(np.int64) for i in (0, 1))
         new = np.flatnonzero(~known & ~doubtful)
         if len(new):
             _, index, inverse = np.unique(one[new], return_index=True, return_inverse=True)
@@ -135,8 +151,11 @@ class CachedTokenizer:
                 self._reset()
                 return self._encode_segments(segments)
             at[new], count[new] = (x[inverse] for x in self._learn(joined, starts, ends, led, chosen))
-            self.tags[0][slots[new]], self.tags[1][slots[new]] = one[new], two[new]
-            self.places[0][slots[new]], self.places[1][slots[new]] = at[new], count[new]
+            # the older one of a slot makes room; of several new ones in a slot the last stays
+            some = np.unique(slots[new])
+            self.tags[1][:, some], self.places[1][:, some] = self.tags[0][:, some], self.places[0][:, some]
+            self.tags[0][0][slots[new]], self.tags[0][1][slots[new]] = one[new], two[new]
+            self.places[0][0][slots[new]], self.places[0][1][slots[new]] = at[new], count[new]
         count[doubtful] = 0
         total = np.cumsum(count)
         ids = self.pool[np.repeat(at - total + count, count) + np.arange(total[-1])]
