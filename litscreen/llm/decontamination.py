@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litscreen.llm.common import table
+from litscreen.llm.common import stored, table
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: every byte that stands in no word becomes a blank, upper case becomes lower case
@@ -136,9 +136,10 @@ def find_benchmark(
     of the items that occur; a null id counts as the string ''.
 
     The driver holds two passes of benchmark text at most; a larger benchmark
-    takes more passes over the documents, which stay row by row (no shuffle).
-    Null and empty texts have no words. Repeated rows are searched alike, and
-    repeated items found once. Without items nothing is hit.
+    takes more passes over the documents, each stored, which stay row by row (no
+    shuffle). Null and empty texts have no words; very long ones are searched
+    whole. Repeated rows are searched alike, and repeated items found once.
+    Without items nothing is hit; an empty table gives no rows.
     """
     others = [F.col(c) for c in docs.columns if c != text_col]
     rows = docs.select(
@@ -151,7 +152,8 @@ def find_benchmark(
     passes = _item_passes(benchmark, item_id, item_text, pass_bytes)
     items, after = next(passes, []), next(passes, None)
     while after is not None:
-        rows = _search(rows, items, window, True)
+        # stored, so that no task holds the tables of two passes
+        rows = stored(_search(rows, items, window, True), "searched")
         items, after = after, next(passes, None)
     return _search(rows, items, window, with_text)
 

@@ -8,27 +8,29 @@ shares of its characters and statistics of its words and lines.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import eq
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from litscreen.llm.common import table
+from litscreen.llm.common import byte_slices, table
 
 #: bounds of the sample that the model is fitted on, in rows
 SAMPLE_ROWS = 8_000
 THRESHOLD = 0.3
+SLICE_BYTES = 4 << 20  # texts that are scored at a time
 _STATISTICS = 14
 FEATURES = 129 + _STATISTICS
 
 
-def text_features(text: str | None) -> np.ndarray:
-    """Numbers that describe the whole text; a null text counts as empty."""
-    data = (text or "").encode()
+def text_features(data: bytes | None) -> np.ndarray:
+    """Numbers that describe the whole text; none counts as empty."""
+    data = data or b""
     out = np.zeros(FEATURES)
     if not data:
         return out
@@ -67,69 +69,108 @@ class Model(NamedTuple):
     prior: float
 
     def score(self, features: np.ndarray) -> np.ndarray:
-        z = np.clip((features - self.centre) / self.scale, -8, 8) @ self.weights + self.bias
-        return 1 / (1 + np.exp(-z))
+        # row by row, so that a score does not depend on the rows beside it
+        return _sigmoid((np.clip((features - self.centre) / self.scale, -8, 8) * self.weights).sum(1) + self.bias)
+
+
+def _scaled(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Centre and scale of the unlabelled rows, and both samples by them, with a column of ones."""
+    centre, scale = unlabelled.mean(0), np.maximum(unlabelled.std(0), 1e-3)
+    p, u = (np.clip((x - centre) / scale, -8, 8) for x in (positive, unlabelled))
+    return centre, scale, *(np.hstack([x, np.ones((len(x), 1))]) for x in (p, u))
+
+
+def _descend(w: np.ndarray, gradient_at: Callable[[np.ndarray], np.ndarray], steps: int, rate: float, decay: float) -> np.ndarray:
+    """Adam from ``w`` on; no randomness."""
+    m, v = np.zeros(len(w)), np.zeros(len(w))
+    for step in range(1, steps + 1):
+        gradient = gradient_at(w) + decay * np.append(w[:-1], 0)
+        m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
+        w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return w
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
 def fit_nnpu(
     positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 800, rate: float = 0.03, decay: float = 1e-3
 ) -> Model:
-    """Minimise the non-negative risk with logistic loss by Adam; no randomness.
+    """Minimise the non-negative risk with logistic loss.
 
     When the estimated risk of the negatives falls below zero, the step goes
     against it, as in the non-negative estimator. Without positives or
     unlabelled rows every score is the prior.
     """
     size = positive.shape[1] if positive.size else unlabelled.shape[1]
+    bias = np.log(prior / (1 - prior))
     if not len(positive) or not len(unlabelled):
         zero = np.zeros(size)
-        return Model(zero, np.ones(size), zero, float(np.log(prior / (1 - prior))), prior)
-    centre, scale = unlabelled.mean(0), np.maximum(unlabelled.std(0), 1e-3)
-    p = np.clip((positive - centre) / scale, -8, 8)
-    u = np.clip((unlabelled - centre) / scale, -8, 8)
-    p, u = (np.hstack([x, np.ones((len(x), 1))]) for x in (p, u))
-    w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
-    w[-1] = np.log(prior / (1 - prior))
-    for step in range(1, steps + 1):
-        sp, su = 1 / (1 + np.exp(-(p @ w))), 1 / (1 + np.exp(-(u @ w)))
+        return Model(zero, np.ones(size), zero, float(bias), prior)
+    centre, scale, p, u = _scaled(positive, unlabelled)
+
+    def gradient_at(w: np.ndarray) -> np.ndarray:
+        sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
         on_positive = prior * ((sp - 1) @ p) / len(p)
         negative = su @ u / len(u) - prior * (sp @ p) / len(p)
         risk = -np.log1p(-np.minimum(su, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
-        gradient = on_positive + negative if risk >= 0 else -negative
-        gradient = gradient + decay * np.append(w[:-1], 0)
-        m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
-        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        return on_positive + negative if risk >= 0 else -negative
+
+    w = _descend(np.append(np.zeros(size), bias), gradient_at, steps, rate, decay)
     return Model(centre, scale, w[:-1], float(w[-1]), prior)
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Estimated share of positives among the unlabelled rows, from 0.05 to 0.95; 0.5 without rows of either kind.
+
+    A model is fitted on one half of each sample. Above any cut of its scores the
+    unlabelled rows of the other half are at least the prior times as frequent
+    as the positives, and about so where hardly a negative is left. Of the cuts
+    that leave half to nearly all of the positives, the one is taken at which
+    the ratio of both shares plus its standard error is least; the ratio there is
+    the estimate.
+    """
+    if len(positive) < 2 or len(unlabelled) < 2:
+        return 0.5
+    model = fit_nnpu(positive[::2], unlabelled[::2], 0.5)
+    on_p, on_u = model.score(positive[1::2]), np.sort(model.score(unlabelled[1::2]))
+    shares = np.linspace(0.5, 0.99, 50)
+    above = 1 - np.searchsorted(on_u, np.quantile(on_p, 1 - shares)) / len(on_u)
+    ratio = above / shares
+    error = np.sqrt(above * (1 - above) / len(on_u)) / shares + ratio * np.sqrt((1 - shares) / (shares * len(on_p)))
+    return float(np.clip(ratio[np.argmin(ratio + error)], 0.05, 0.95))
+
+
+def _bytes_of(texts: pa.Array) -> Iterator[list[bytes]]:
+    """The texts in lists of bounded size; a null text counts as empty."""
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    for part in byte_slices(batch, "text", SLICE_BYTES):
+        yield [t or b"" for t in part.column(0).cast(pa.binary()).to_pylist()]
+
+
 def score_udf(model: Model):
-    @F.pandas_udf("double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            rows = np.array([text_features(t) for t in texts]).reshape(len(texts), -1)
-            yield pd.Series(model.score(rows), dtype="float64")
+    @F.arrow_udf(DoubleType())
+    def of(texts: pa.Array) -> pa.Array:
+        scores = [model.score(np.array([text_features(t) for t in part])) for part in _bytes_of(texts)]
+        return pa.array(np.concatenate([np.zeros(0), *scores]))
 
     return of
 
 
 def _features_udf():
-    @F.pandas_udf("array<double>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([text_features(t) for t in texts], dtype=object)
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def of(texts: pa.Array) -> pa.Array:
+        rows = [text_features(t) for part in _bytes_of(texts) for t in part]
+        flat = np.concatenate([np.zeros(0), *rows])
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, FEATURES, dtype=np.int32)), pa.array(flat))
 
     return of
 
 
-def class_prior(labels: DataFrame, label: Column) -> float:
-    """Estimated share of positives: that of the labelled rows, from 0.05 to 0.95; 0.5 without any."""
-    share = labels.agg(F.avg(label.cast("double"))).first()[0]
-    return 0.5 if share is None else float(min(max(share, 0.05), 0.95))
-
-
 def train_quality(
     docs: DataFrame,
     positives: DataFrame,
-    prior: float,
     id_col: str = "doc_id",
     text_col: str = "text",
     sample_rows: int = SAMPLE_ROWS,
@@ -138,7 +179,8 @@ def train_quality(
 
     ``positives`` has the ids (``id_col``) of trusted positives. Both samples are
     the rows whose hashed ids are smallest, so they depend on the ids alone, and
-    only their features, not their texts, reach the driver.
+    only their features, not their texts, reach the driver. The class prior is
+    estimated from the same two samples; no negative label is read.
     """
     ids = F.col(id_col)
 
@@ -156,7 +198,8 @@ def train_quality(
         flat = table_of.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False)
         return flat.reshape(-1, FEATURES)
 
-    return fit_nnpu(fetched(1), fetched(0), prior)
+    positive, unlabelled = fetched(1), fetched(0)
+    return fit_nnpu(positive, unlabelled, class_prior(positive, unlabelled))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -165,18 +208,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
-    """Model from the labels of the rows that are not held out; null labels are no labels."""
-    known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull())
-    prior = class_prior(known, F.col("quality") == 1)
-    positives = known.where("quality = 1").select("doc_id")
-    return train_quality(docs.where(~held_out(F.col("doc_id"))), positives, prior)
+    """Model from the positive labels of the rows that are not held out; null labels are no labels."""
+    positives = labels.where(~held_out(F.col("doc_id")) & (F.col("quality") == 1)).select("doc_id")
+    return train_quality(docs.where(~held_out(F.col("doc_id"))), positives)
 
 
 def score_quality(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``row`` (struct of all columns), ``score`` and ``predicted`` for every row, whole texts.
 
     Null and empty texts are scored like any other, with features of zero;
-    repeated rows get equal scores; the text is the only input of a score.
+    repeated rows get equal scores; the text is the only input of a score. Very
+    long texts are whole; an empty table gives no rows; other columns may have
+    any names.
     """
     scored = docs.select(F.struct("*").alias("row"), score_udf(model)(F.col(text_col)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -1,8 +1,10 @@
+import struct
 import zlib
 
 import numpy as np
+import xxhash
 
-from litscreen.llm.quality import FEATURES, fit_nnpu, fitted, op4_quality, score_quality, text_features
+from litscreen.llm.quality import FEATURES, class_prior, fit_nnpu, fitted, op4_quality, score_quality, text_features
 from tests.llm.helpers import EDGES, documents
 
 SF_DIR = "/root/testdata/sf0.1"
@@ -31,6 +33,33 @@ def test_non_negative_risk_separates_without_negative_labels():
     assert np.allclose(none.score(bad), 0.4)
 
 
+def test_prior_comes_from_positives_and_unlabelled_rows():
+    random = np.random.RandomState(1)
+    for share in (0.2, 0.5, 0.85):
+        good = random.normal(1, 0.7, (2000, 4))
+        mixed = np.vstack([random.normal(1, 0.7, (int(2000 * share), 4)), random.normal(-1, 0.7, (2000 - int(2000 * share), 4))])
+        assert abs(class_prior(good, random.permutation(mixed)) - share) < 0.06
+    assert class_prior(good[:0], good) == 0.5
+
+
+def test_query_equals_fit_and_scores_without_spark(spark):
+    """Samples by the smallest hashed ids, prior, fit and scores, all computed here."""
+    folder = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{folder}/labels.parquet").collect()
+
+    known = [i for i in docs if zlib.crc32(str(i).encode()) % 5]
+    # both samples hold fewer rows than the bound, so only their order is at stake, which Spark takes from the id alone
+    by_hash = lambda ids: sorted(ids, key=lambda i: (struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(struct.pack("<q", i), seed=42)))[0], i))
+    good = by_hash(r.doc_id for r in labels if r.quality == 1 and r.doc_id in set(known))
+    positive, unlabelled = (np.array([text_features((docs[i] or "").encode()) for i in ids]) for ids in (good, by_hash(known)))
+    model = fit_nnpu(positive, unlabelled, class_prior(positive, unlabelled))
+    got = {r.doc_id: r.score for r in op4_quality(spark, folder).collect()}
+    ids = sorted(docs)
+    expected = model.score(np.array([text_features((docs[i] or "").encode()) for i in ids]))
+    assert np.allclose([got[i] for i in ids], expected, atol=1e-9)
+
+
 def test_edges_and_empty_tables(spark):
     docs = documents(spark, EDGES)
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0), (6, 1, 0), (None, 1, 0), (7, None, None)], "doc_id long, quality int, toxic int")

@@ -1,7 +1,10 @@
+import math
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from litscreen.llm.sharding import assign_shards, op1_sharding, rendezvous_shard
@@ -26,6 +29,25 @@ def test_query_keeps_its_laws(spark):
     assert 0.07 < moved < 0.16  # one ninth is expected
 
 
+def brute_shard(key, weights):
+    """The best score by the definition of the method, hashed here."""
+    seed = xxhash.xxh64_intdigest(f"k{key}".encode(), seed=42)
+    best = None
+    for shard, weight in enumerate(weights):
+        number = xxhash.xxh64_intdigest(struct.pack("<i", shard), seed=seed)
+        score = -weight / math.log(((number >> 11) + 0.5) * 2.0**-53)
+        if best is None or score > best[0]:
+            best = (score, shard)
+    return best[1]
+
+
+def test_query_equals_brute_force(spark):
+    for r in op1_sharding(spark, SF_DIR).collect():
+        assert r.shard == brute_shard(r.doc_id, [1.0] * 8) and r.grown_shard == brute_shard(r.doc_id, [1.0] * 9)
+    placed = spark.range(2000).select("id", rendezvous_shard(F.col("id"), [1.0, 3.0, 0.5]).alias("s")).collect()
+    assert all(r.s == brute_shard(r.id, [1.0, 3.0, 0.5]) for r in placed)
+
+
 def test_shares_follow_weights(spark):
     placed = spark.range(20_000).select(rendezvous_shard(F.col("id"), [1.0, 3.0, 0.5]).alias("s"))
     counts = Counter(r.s for r in placed.collect())
