@@ -398,8 +398,15 @@ def grid_search(
     return results, replace(base, **{name: winner[name] for name in names})
 
 
+def model_name(spec: TextModel) -> str:
+    """Name of a run with these settings."""
+    strength = f"C{spec.C}" if spec.classifier == "logreg" else f"trees{spec.n_trees}"
+    text = "lemmas" if spec.lemmas else "cleaned" if spec.cleaned else "raw"
+    return f"{spec.classifier}_{spec.weighting}_{text}_{spec.max_features}x{spec.ngram_max}_{strength}_seed{spec.seed}"
+
+
 def cv_run(rows: DataFrame, text: str, label: str, spec: TextModel, n_folds: int = 5) -> DataFrame:
-    """One record per fold: metrics on its train and test rows and on the common hold-out.
+    """One record per fold: metrics on its train and test rows and on the common hold-out, all settings, the run's name.
 
     ``rows`` carry ``split`` (``cv``/``test``) and ``fold`` as made by the hold-out split.
     """
@@ -416,6 +423,7 @@ def cv_run(rows: DataFrame, text: str, label: str, spec: TextModel, n_folds: int
             records.append({"cv": fold, **mt.prefix_metrics(evaluation, "part").first().asDict()})
     finally:
         tokens.unpersist()
-    settings = {"max_features": F.lit(spec.max_features), "C": F.lit(spec.C)}
-    table = rows.sparkSession.createDataFrame([tuple(r.values()) for r in records], list(records[0]))
-    return table.coalesce(1).withColumns({"cv": F.col("cv").cast("int"), **settings})
+    table = rows.sparkSession.createDataFrame([tuple(r.values()) for r in records], list(records[0])).coalesce(1)
+    settings = {name: F.lit(value) for name, value in vars(spec).items() if name != "lemmas"}
+    settings |= {"cv": F.col("cv").cast("int"), "lemmatised": F.lit(bool(spec.lemmas))}
+    return table.withColumns(settings).withColumn("run_name", F.concat(F.lit(f"{model_name(spec)}_cv"), "cv"))

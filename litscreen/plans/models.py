@@ -144,8 +144,9 @@ def top_features(spark, d):
 
 @query("predict_labels")
 def predict_labels_query(spark, d):
-    """Labels for the documents that have none, by a model trained on those that have one."""
-    labelled = v.labelled(spark, d)
-    model = md.fit_text_model(labelled, "text", "label", _SPEC)
+    """Labels for the documents that have none, by a stored model trained on those that have one."""
+    path = scratch_path(spark, "model")
+    md.fit_text_model(v.labelled(spark, d), "text", "label", _SPEC).write().save(path)
+    model = PipelineModel.load(path)
     open_rows = v.table(spark, d, "documents").join(v.table(spark, d, "labels"), "doc_id", "left_anti")
     return predict_labels(open_rows.select("doc_id", "text"), "doc_id", model)

@@ -159,6 +159,8 @@ def test_cv_run(corpus):
     records = md.cv_run(rows, "text", "y", SPEC, n_folds=3).collect()
     assert sorted(r["cv"] for r in records) == [0, 1, 2]
     assert all(r["test_accuracy"] > 0.5 and r["best_train_f1"] > 0.9 for r in records)
+    assert {r["run_name"] for r in records} == {f"logreg_count_cleaned_50x1_C1.0_seed1_cv{i}" for i in range(3)}
+    assert all(r["max_iter"] == 50 and r["C"] == 1.0 and not r["lemmatised"] for r in records)
 
 
 def test_refit_and_test(corpus):
