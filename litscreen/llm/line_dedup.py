@@ -9,7 +9,7 @@ that many words is sure to share a fingerprint, though few lines are selected.
 Only positions of selected lines leave the texts, and only those whose
 fingerprint occurs twice. Such a position extends both ways to the first and
 the last window that select it; the words of that stretch are compared by a
-128-bit digest of their bytes. Positions with equal stretches are joined with
+128-bit digest of their bytes, with a seed that is drawn per run. Positions with equal stretches are joined with
 the first of them. Where stretches around one fingerprint differ, the windows
 of the first position of every stretch are compared one by one. What stands
 earlier is deleted where it stands later.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from secrets import randbits
 from typing import NamedTuple
 
 import numpy as np
@@ -28,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from xxhash import xxh3_128_digest
 
 from litscreen.llm.common import byte_slices, stored, table
 
@@ -153,9 +155,11 @@ def positions(words: Words, min_words: int) -> Positions:
 class _Digests:
     """Digests of stretches of words; the number and kind of the blanks between them do not count."""
 
-    def __init__(self, words: Words, texts: list[bytes]):
+    def __init__(self, words: Words, seed: int):
+        self.seed = seed
         self.words, self.data = words, words.data.translate(_BLANKS)
-        self.uneven = np.array([b"  " in t.translate(_BLANKS) for t in texts], bool)
+        bounds = words.starts.tolist()
+        self.uneven = np.array([self.data.find(b"  ", a, b - 1) >= 0 for a, b in zip(bounds, bounds[1:])], bool)
 
     def of(self, first: np.ndarray, behind: np.ndarray, text: np.ndarray) -> list[pa.Array]:
         """Two numbers for the words from each ``first`` on up to the one before ``behind``."""
@@ -163,7 +167,7 @@ class _Digests:
         begin, end = self.words.begin[first].tolist(), self.words.end[behind - 1].tolist()
         for b, e, uneven in zip(begin, end, self.uneven[text].tolist()):
             stretch = self.data[b:e]
-            out += blake2b(b" ".join(stretch.split()) if uneven else stretch, digest_size=16).digest()
+            out += xxh3_128_digest(b" ".join(stretch.split()) if uneven else stretch, self.seed)
         pairs = np.frombuffer(bytes(out), np.int64).reshape(-1, 2)
         return [pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)]
 
@@ -251,7 +255,7 @@ def _places(part: pa.RecordBatch, words: Words, text: np.ndarray, first: np.ndar
     return [part.column("doc_id").take(of), part.column("text_hash").take(of), at]
 
 
-def _stretches(docs: DataFrame, min_words: int, repeated: np.ndarray) -> DataFrame:
+def _stretches(docs: DataFrame, min_words: int, seed: int, repeated: np.ndarray) -> DataFrame:
     """``mark``, digest, ``n`` and place of the positions whose fingerprint may be in ``repeated``.
 
     The digest is that of the words from the first window to the last, ``n`` the number of windows.
@@ -265,7 +269,7 @@ def _stretches(docs: DataFrame, min_words: int, repeated: np.ndarray) -> DataFra
                 found = positions(words, min_words)
                 kept = np.flatnonzero(_is_set(shared.value, found.marks))
                 marks, text, first, n = (column[kept] for column in found)
-                digests = _Digests(words, texts).of(first, first + n + min_words - 1, text)
+                digests = _Digests(words, seed).of(first, first + n + min_words - 1, text)
                 columns = [_signed(marks), *digests, pa.array(n.astype(np.int32)), *_places(part, words, text, first)]
                 yield pa.RecordBatch.from_arrays(columns, ["mark", *DIGEST, "n", *PLACE])
 
@@ -274,22 +278,24 @@ def _stretches(docs: DataFrame, min_words: int, repeated: np.ndarray) -> DataFra
     return docs.select("doc_id", "text_hash", "text").mapInArrow(select, schema)
 
 
-def _windows(docs: DataFrame, min_words: int, repeated: np.ndarray, chosen: np.ndarray) -> DataFrame:
-    """Digest and place of the windows of the positions whose fingerprint and place may be in the bitmaps."""
-    shared = docs.sparkSession.sparkContext.broadcast((repeated, chosen))
+def _windows(docs: DataFrame, min_words: int, seed: int, varied: np.ndarray, texts_of: np.ndarray, places: np.ndarray) -> DataFrame:
+    """Digest and place of the windows of the positions whose fingerprint, text and place may be in the bitmaps."""
+    shared = docs.sparkSession.sparkContext.broadcast((varied, texts_of, places))
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        varied, texts_of, places = shared.value
         for batch in batches:
+            batch = batch.filter(pa.array(_is_set(texts_of, batch.column("text_hash").to_numpy())))
             for part, texts in _groups(batch):
                 words = split_words(texts)
                 found = positions(words, min_words)
                 hashes = part.column("text_hash").to_numpy()
                 key = _place_key(hashes[found.text], found.word - words.bounds[found.text])
-                kept = np.flatnonzero(_is_set(shared.value[0], found.marks) & _is_set(shared.value[1], key))
+                kept = np.flatnonzero(_is_set(varied, found.marks) & _is_set(places, key))
                 n = found.count[kept]
                 first = np.repeat(found.word[kept] - np.cumsum(n) + n, n) + np.arange(n.sum())
                 text = np.repeat(found.text[kept], n)
-                digests = _Digests(words, texts).of(first, first + min_words, text)
+                digests = _Digests(words, seed).of(first, first + min_words, text)
                 yield pa.RecordBatch.from_arrays([*digests, *_places(part, words, text, first)], [*DIGEST, *PLACE])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -330,9 +336,10 @@ def repeated_stretches(docs: DataFrame, min_words: int) -> DataFrame:
     Earlier is the smaller id, then the smaller hash of the text, then the place
     in the text. Bitmaps only keep what cannot be repeated out of the shuffles.
     """
+    seed = randbits(63)  # nobody can prepare texts whose digests meet
     marks = _fingerprints(docs, min_words).groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
     repeated = _bitmap(stored(marks.where("n > 1").select("mark"), "marks"))
-    shared = stored(_stretches(docs, min_words, repeated), "stretches")
+    shared = stored(_stretches(docs, min_words, seed, repeated), "stretches")
     place = F.struct(*PLACE)
     ends = [F.min(place).alias("_first"), F.max(place).alias("_last"), F.count(F.lit(1)).alias("_count")]
     # equal digests have equal fingerprints
@@ -340,11 +347,14 @@ def repeated_stretches(docs: DataFrame, min_words: int) -> DataFrame:
     whole = _later(shared, classes, F.col("n"))
     # around one fingerprint different stretches: the windows of the first position of each
     varied = classes.groupBy("mark").agg(F.count(F.lit(1)).alias("_classes")).where("_classes > 1").select("mark")
-    firsts = stored(classes.join(varied, "mark", "left_semi").select("_first.text_hash", "_first.at"), "firsts")
-    windows = stored(_windows(docs, min_words, repeated, _bitmap(_place_keys(firsts))), "windows")
+    varied = _bitmap(stored(varied, "varied"))
+    firsts = classes.where(_may_hold(varied, docs.sparkSession)("mark")).select("_first.text_hash", "_first.at")
+    firsts = stored(firsts, "firsts")
+    bitmaps = varied, _bitmap(firsts.select("text_hash")), _bitmap(_place_keys(firsts))
+    windows = stored(_windows(docs, min_words, seed, *bitmaps), "windows")
     groups = windows.groupBy(*DIGEST).agg(*ends).withColumn("_n", F.lit(1)).where("_count > 1")
     single = _later(windows, stored(groups, "repeated"), F.lit(1))
-    return whole.unionByName(single).groupBy("doc_id", "text_hash").agg(F.collect_set("match").alias("found"))
+    return whole.unionByName(single).groupBy("doc_id", "text_hash").agg(F.collect_list("match").alias("found"))
 
 
 def without_lines(texts: list[bytes], matches: list[np.ndarray], min_words: int) -> list[bytes]:
