@@ -32,7 +32,9 @@ def mark_pubmed_xml(df: DataFrame, payload: str = "payload") -> DataFrame:
     the fields that are used are computed.
     """
     text = F.col(payload)
-    cited = df.withColumn("_cited", markup.citation(text)).withColumn("_found", markup.is_article(F.col("_cited")))
+    # out of a list of one, so that a payload is parsed once for all fields and the filter on them
+    parsed = df.select("*", F.explode(F.array(markup.citation(text))).alias("_cited"))
+    cited = parsed.withColumn("_found", markup.is_article(F.col("_cited")))
     # XPath only sees payloads that have been read without an error
     seen = cited.withColumn("_marked", F.when(F.col("_found"), markup.marked_text(text)))
     article = F.col("_cited.MedlineCitation.Article")
