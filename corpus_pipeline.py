@@ -6,19 +6,43 @@ on all that its predecessor kept.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litscreen.llm import decontamination, line_dedup, near_dedup, packing, quality
 from litscreen.llm.common import stored, table
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(stage: Stage) -> Stage:
+    """The stage with batches of at most ``BATCH_BYTES`` for Python workers, from here on in its session.
+
+    Workers of all stages live side by side in an executor, and each task holds
+    a batch several times over.
+    """
+
+    @wraps(stage)
+    def with_small_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return with_small_batches
+
 
+@small_batches
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; empty texts are scored like any other."""
     model = quality.fitted(docs, table(spark, sf_dir, "labels"))
     return quality.score_quality(docs, model).where("predicted = 1").select("row.*")
 
 
+@small_batches
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later repeated runs of lines; ``n_chars`` follows.
 
@@ -35,6 +59,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return done.select(*(columns[c].alias(c) for c in docs.columns))
 
 
+@small_batches
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every near-duplicate group, and those without words.
 
@@ -52,6 +77,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return rows.join(keep, same, "left_semi").select("row.*")
 
 
+@small_batches
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark passage."""
     found = decontamination.find_benchmark(docs, table(spark, sf_dir, "benchmark"))
@@ -59,6 +85,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return found.where(F.size("spans") == 0).select(*(columns[c].alias(c) for c in docs.columns))
 
 
+@small_batches
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in sequences of at most 2048 tokens."""
     return packing.pack_documents(docs)
