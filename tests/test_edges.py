@@ -181,6 +181,50 @@ def test_halves_and_batches(spark, n):
     assert batches == {b: ",".join(str(i) for i in range(b * 200, min(n, b * 200 + 200))) for b in range(-(-n // 200))}
 
 
+def test_halves_of_texts_and_negative_numbers(spark):
+    import random
+
+    dice = random.Random(3)
+    texts = list({"".join(dice.choice(["a", "b", "é", "日", "", "aa"]) for _ in range(dice.randrange(8))) for _ in range(300)})
+    for cells, kind in ((texts, "string"), ([-5, 3, -(2**63), 2**63 - 1, 0, 7], "bigint"), (["x"], "string")):
+        df = spark.createDataFrame([(c,) for c in cells], f"id {kind}")
+        key = (lambda c: c.encode()) if kind == "string" else None
+        first = set(sorted(cells, key=key)[: len(cells) // 2])
+        assert {r["id"]: r["half"] for r in ct.halve_ids(df, "id").collect()} == {c: 1 if c in first else 2 for c in cells}
+
+
+def test_quantiles_of_any_doubles(spark):
+    """Signs, zeros, neighbours, infinities and a third of all rows with one value."""
+    import math
+    import random
+
+    import numpy as np
+
+    dice = random.Random(4)
+    cells = [dice.choice([1, -1]) * 10 ** dice.uniform(-300, 300) for _ in range(200)] + [0.0, -0.0, 5e-324, -5e-324]
+    cells += [1.0, math.nextafter(1.0, 2)] + [0.25] * 100
+    df = spark.createDataFrame([(x,) for x in cells] + [(None,)], "x double").repartition(5)
+    probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.77, "e": 1.0}
+    assert tuple(exact_quantiles(df, [], "x", probs).first()) == pytest.approx(np.quantile(cells, list(probs.values())))
+    odd = spark.createDataFrame([(float("inf"),), (float("inf"),), (1.0,), (float("-inf"),)], "x double")
+    assert tuple(exact_quantiles(odd, [], "x", {"a": 0.0, "b": 0.9, "c": 1.0}).first()) == (-math.inf, math.inf, math.inf)
+    described = agg.describe_numeric(df.where("x = 0.25"), "x").first()
+    assert tuple(described) == (100, 0.25, 0.0, 0.25, 0.25, 0.25, 0.25, 0.25)
+    assert tuple(agg.describe_numeric(df.limit(0), "x").first()) == (0, *[None] * 7)
+
+
+def test_history_parts_by_place(spark):
+    rows = [("a", 10**6 * i // 2, float(i), None if i % 3 else float(-i)) for i in range(25)]  # steps repeat and leave gaps
+    rows += [("b", 7, 1.0, None), ("b", 900_000, 2.0, 3.0), (None, 1, 4.0, None)]
+    df = spark.createDataFrame(rows, "run string, step long, train double, eval double").repartition(6)
+    got = {(r["run"], r["part"]): (r["train"], r["eval"]) for r in runs.collect_run_history(df, "run", "step", ["train", "eval"], 10).collect()}
+    whole = [r for r in rows if r[0] == "a"]
+    for part in range(3):
+        mine = whole[10 * part : 10 * part + 10]
+        assert got.pop(("a", part)) == ([r[2] for r in mine], [r[3] for r in mine if r[3] is not None])
+    assert got == {("b", 0): ([1.0, 2.0], [3.0]), (None, 0): ([4.0], [])}
+
+
 def test_empty_lists(spark):
     df = spark.createDataFrame([(0, 0), (3, None), (0, 2), (1, 0)], "a int, b int")
     got = {r["source"]: (r["n_empty"], r["share_empty"]) for r in ct.empty_list_share(df, {"x": "a", "y": "b"}).collect()}
