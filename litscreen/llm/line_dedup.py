@@ -37,6 +37,7 @@ MIN_WORDS = 30
 GROUP_BYTES = 1 << 20  # bytes of text that are worked on at a time
 MOST_BITS = 1 << 28  # of a bitmap
 BITS_EACH = 64  # of a bitmap, per hash that it holds
+MARKS_HELD = 1 << 21  # fingerprints that a task packs at a time
 CHUNK = 1 << 16  # bytes of a bitmap that travel as one row
 LONG_WORD = 64  # bytes; longer words are hashed one by one
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -182,15 +183,45 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def _fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
-    """``mark``: the hash of every selected line, once per place."""
+def _repeated_marks(docs: DataFrame, min_words: int) -> DataFrame:
+    """``mark``: the hashes of selected lines that stand in two places or more.
+
+    They travel as packed arrays, one per range of hashes; a task that adds them
+    up holds the hashes of its ranges, eight bytes each. A hash that stands in
+    many places leaves a task twice at most.
+    """
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def packed(marks: list[np.ndarray]) -> pa.RecordBatch:
+        found, counts = np.unique(np.concatenate(marks), return_counts=True)
+        found = np.repeat(found, np.minimum(counts, 2))
+        bucket = ((found >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # ascending like the hashes
+        edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+        full = np.flatnonzero(np.diff(edges))
+        blobs = [found[edges[i] : edges[i + 1]].tobytes() for i in full.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "marks"])
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks: list[np.ndarray] = []
+        held = 0
         for batch in batches:
             for _, texts in _groups(batch):
-                yield pa.RecordBatch.from_arrays([_signed(positions(split_words(texts), min_words).marks)], ["mark"])
+                marks.append(positions(split_words(texts), min_words).marks)
+                held += len(marks[-1])
+                if held > MARKS_HELD:
+                    yield packed(marks)
+                    marks, held = [], 0
+        if marks:
+            yield packed(marks)
 
-    return docs.select("text").mapInArrow(select, "mark long")
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = [np.frombuffer(m, np.uint64) for batch in batches for m in batch.column("marks").to_pylist()]
+        if marks:
+            found, counts = np.unique(np.concatenate(marks), return_counts=True)
+            yield pa.RecordBatch.from_arrays([_signed(found[counts > 1])], ["mark"])
+
+    dealt = docs.select("text").mapInArrow(select, "bucket long, marks binary").repartition("bucket")
+    return dealt.mapInArrow(repeated, "mark long")
 
 
 def _place_key(text_hash: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -337,8 +368,7 @@ def repeated_stretches(docs: DataFrame, min_words: int) -> DataFrame:
     in the text. Bitmaps only keep what cannot be repeated out of the shuffles.
     """
     seed = randbits(63)  # nobody can prepare texts whose digests meet
-    marks = _fingerprints(docs, min_words).groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
-    repeated = _bitmap(stored(marks.where("n > 1").select("mark"), "marks"))
+    repeated = _bitmap(stored(_repeated_marks(docs, min_words), "marks"))
     shared = stored(_stretches(docs, min_words, seed, repeated), "stretches")
     place = F.struct(*PLACE)
     ends = [F.min(place).alias("_first"), F.max(place).alias("_last"), F.count(F.lit(1)).alias("_count")]
@@ -443,7 +473,11 @@ def drop_repeated_lines(
 
 
 def op3_line_dedup(spark, sf_dir):
-    """All documents without their later repeated runs: new text, its size and how much went."""
+    """All documents without their later repeated runs: new text, its size and how much went.
+
+    Python workers get batches of 4 MB, from here on in the session.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     done = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select(
         F.col("row.doc_id").alias("doc_id"),
