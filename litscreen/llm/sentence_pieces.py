@@ -53,6 +53,7 @@ class PieceModel:
         self.scores: dict[str, float] = {}
         self.byte_ids = [library.unk_id()] * 256
         self.surfaces: list[bytes] = []
+        self.led: set[int] = set()  # pieces that begin with a blank
         for number in range(library.get_piece_size()):
             piece, surface = library.id_to_piece(number), b""
             if library.is_byte(number):
@@ -63,6 +64,8 @@ class PieceModel:
             elif not library.is_control(number):
                 self.ids[piece], self.scores[piece] = number, library.get_score(number)
                 surface = piece.replace(BLANK, " ").encode()
+                if piece.startswith(BLANK):
+                    self.led.add(number)
             self.surfaces.append(surface)
 
         chars = sorted(set("".join(self.ids)))
@@ -210,8 +213,7 @@ class PieceModel:
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that make no character become the replacement character one by one."""
         data = b"".join(map(self.surfaces.__getitem__, ids))
-        first = next((s for s in map(self.surfaces.__getitem__, ids) if s), b"")
-        if first.startswith(b" ") and first != UNKNOWN_SURFACE.encode():
+        if next((i for i in ids if self.surfaces[i]), None) in self.led:
             data = data[1:]  # the blank that encoding puts in front
         return data.decode(errors="byte by byte")
 
