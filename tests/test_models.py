@@ -183,3 +183,75 @@ def test_queries_use_the_whole_grids(monkeypatch):
     forest = plans._FOREST
     assert (forest.n_trees, forest.max_features, forest.ngram_max, forest.max_depth) == (300, 5000, 2, 30)
     assert (plans._SPEC.max_features, plans._SPEC.max_iter) == (5000, 1000)
+
+
+def test_rows_of_a_search_are_sparse_products(spark):
+    """Products, sums, scales and weights of a block against its dense matrix, with rows that have no terms."""
+    import numpy as np
+
+    from litscreen.operators import many_models as mm
+
+    schema = "source int, fold int, label int, terms array<int>, counts array<double>"
+    data = [(0, 0, 1, [0, 2], [3.0, 1.0]), (0, 1, 0, [], []), (0, None, 1, [1], [2.0]), (0, 1, 1, [0, 1, 2], [1.0, 1.0, 4.0])]
+    (block,) = mm.kept(mm.pack(spark.createDataFrame(data, schema).coalesce(1))).collect()
+    rows = mm.Rows(block, 3)
+    dense = np.array([[3.0, 0, 1], [0, 0, 0], [0, 2, 0], [1, 1, 4]])
+    point = np.array([0.5, -1.0, 2.0])
+    assert np.allclose(rows.times(point), dense @ point)
+    assert np.allclose(rows.added(np.arange(4.0)), dense.T @ np.arange(4.0))
+    view = mm.View(0, 1, np.array([0, 2]), np.array([1.0, 2.0]), True, (0.5, 2.0), 4)
+    lengths = np.sqrt((dense[:, 0]) ** 2 + (2 * dense[:, 2]) ** 2)
+    assert np.allclose(rows.scales(view), [1 / lengths[0], 0, 0, 1 / lengths[3]])
+    assert rows.weights(view).tolist() == [2.0, 0.0, 0.0, 0.0]
+
+
+def test_badly_conditioned_counts_take_few_passes(spark):
+    """A fit over counts of very different sizes; every pass is a job."""
+    import numpy as np
+
+    from litscreen.operators import many_models as mm
+
+    random = np.random.RandomState(3)
+    sizes = np.geomspace(0.02, 60, 120)
+    x = random.poisson(sizes, (800, 120)).astype(float)
+    y = (x @ (random.normal(0, 1, 120) / np.sqrt(sizes * 120 + 1)) + random.logistic(0, 1, 800) > 0).astype(float)
+    weight, n, passes = 1.0 / 800, len(y), {}
+    for memory in (mm.LEAST_STEPS, mm.MOST_STEPS):
+        search = mm.minimise(np.zeros(120), mm.TOLERANCE, 3000, memory)
+        point, passes[memory] = next(search), 0
+        while True:
+            z = x @ point
+            value = (np.logaddexp(0, z) - y * z).sum() * weight + 0.5 * point @ point / n
+            gradient = x.T @ (1 / (1 + np.exp(-z)) - y) * weight + point / n
+            passes[memory] += 1
+            try:
+                point = search.send((value, gradient))
+            except StopIteration as end:
+                assert np.abs(end.value[1]).max() <= mm.TOLERANCE
+                break
+    assert passes[mm.MOST_STEPS] < 0.75 * passes[mm.LEAST_STEPS]
+
+
+def test_single_fit_has_no_job_per_step_of_its_own(spark, corpus, monkeypatch):
+    """A fit of two classes takes the optimisation of the searches; its model is the optimum, and the folds of ``cv_run`` share one."""
+    from litscreen.operators import many_models as mm
+
+    calls = []
+    real = mm.fit_models
+    monkeypatch.setattr(mm, "fit_models", lambda *a: calls.append(len(a[3])) or real(*a))
+    corpus = corpus.where("text IS NOT NULL")  # its probability is 0.5 at the optimum
+    md.fit_text_model(corpus, "text", "y", SPEC)
+    rows = sp.holdout_then_kfold(corpus, "y", "id", k=3)
+    tfidf = replace(SPEC, weighting="tfidf")
+    records = md.cv_run(rows, "text", "y", tfidf, n_folds=3).collect()
+    assert calls == [1, 3]
+    train = rows.where("split = 'cv' AND fold <> 0")
+    model = md.fit_text_model(train, "text", "y", tfidf)
+    first = next(r for r in records if r["cv"] == 0)
+    assert md.evaluate_model(model, rows.where("split = 'test'"), "y").first()["f1"] == pytest.approx(first["test_f1"])
+
+
+def test_more_than_two_classes(corpus):
+    three = corpus.withColumn("y", F.when(F.col("id") % 3 == 1, 2).otherwise(F.col("y")))
+    model = md.fit_text_model(three, "text", "y", SPEC)
+    assert model.transform(three).select("prediction").distinct().count() >= 2
