@@ -24,29 +24,32 @@ def map_members(df: DataFrame, members: Column, table: DataFrame, output: str, k
 
     Only members that the table knows are shuffled, as patches ``position,
     value`` under the digest of their list; equal lists share their patches,
-    which are combined before the shuffle. Each row then meets the patches of its
-    list, and they are put into it. Nothing depends on the order of rows, so a
-    repeated task gives the same result. ``df`` is evaluated twice.
+    which are combined before their one shuffle. Each row then meets the patches
+    of its list, and they are put into it; the list itself is not shuffled but
+    made again from the row, so ``members`` must name columns. Nothing depends
+    on the order of rows, so a repeated task gives the same result. ``df`` is
+    evaluated twice.
     """
     require_columns(table, ["member", "value"], "lookup table")
     rows = df.select(F.struct("*").alias("_whole"), members.alias("_list"), content_hash(df).alias("_hash"))
     # lists without members have no patches; their rows are spread
-    digest = F.when(F.size("_list") > 0, F.md5(F.to_json("_list"))).otherwise(F.col("_hash").cast("string"))
+    digest = F.when(F.size("_list") > 0, F.unhex(F.md5(F.to_json("_list")))).otherwise(F.col("_hash").cast("string").cast("binary"))
     keyed = rows.select("_whole", "_list", digest.alias("_digest"))
 
     values = table.where("value IS NOT NULL").select(F.col("member").alias("_known"), F.col("value").alias("_value"))
     exploded = keyed.select("_digest", F.posexplode("_list").alias("_pos", "_member")).where("_member IS NOT NULL")
     hits = exploded.join(values, F.col("_member") == F.col("_known"))
-    once = hits.groupBy("_digest", "_pos").agg(F.min("_value").alias("_value"))
-    patches = once.groupBy(F.col("_digest").alias("_of")).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", "_value"))).alias("_patches")
+    # of equal lists every position has one value, so a set of the patches holds each once
+    patches = hits.groupBy(F.col("_digest").alias("_of")).agg(
+        F.array_sort(F.collect_set(F.struct("_pos", "_value"))).alias("_patches")
     )
 
     patched = F.transform("_patches", lambda p: p["_value"])
     if keep_unknown:
         patched = F.when(F.col("_patches").isNull(), F.col("_list")).otherwise(_put_in(F.col("_list"), F.col("_patches")))
     empty = F.array().cast("array<string>") if keep_unknown else F.array().cast(f"array<{dict(values.dtypes)['_value']}>")
-    joined = keyed.join(patches, F.col("_digest") == F.col("_of"), "left")
+    met = keyed.select("_whole", "_digest").join(patches, F.col("_digest") == F.col("_of"), "left")
+    joined = met.select("_whole", "_patches", "_whole.*").select("_whole", "_patches", members.alias("_list"))
     kept = [F.col(f"_whole.`{c}`").alias(c) for c in df.columns if c != output]
     return joined.select(*kept, F.coalesce(patched, empty).alias(output))
 

@@ -661,3 +661,15 @@ def test_task_functions_travel_by_value(tmp_path):
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={}, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
     assert done.stdout.strip() == "True"
+
+
+def test_lists_are_not_shuffled_with_their_rows(spark, capsys):
+    """Patches meet once per list, and the rows travel without the list that is made from their text."""
+    df = spark.createDataFrame([(1, "is a is"), (2, "is a is"), (3, None), (4, " ")], "id int, t string")
+    lemmas = spark.createDataFrame([("is", "be"), ("is", "zz")], "token string, lemma string")
+    found = ft.lemmatise(df, "t", lemmas)
+    assert {r["id"]: r["lemmas"] for r in found.collect()} == {1: "be a be", 2: "be a be", 3: None, 4: ""}
+    found.explain("formatted")
+    plan = capsys.readouterr().out
+    moved = [part for part in plan.split("\n\n") if ") Exchange" in part.split("\n")[0]]
+    assert moved and not any(name in part for part in moved for name in ("_list", "_member"))
