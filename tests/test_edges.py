@@ -497,6 +497,46 @@ def test_vocabulary_of_small_summaries(spark, capacity):
     assert vocabulary.learn_vocabulary(rows.limit(0), "w", 5, capacity) == ([], [], [], 0)
 
 
+@pytest.mark.parametrize("buckets", [2, 64, 1 << 12])
+def test_fold_vocabularies_against_a_plain_count(spark, buckets, monkeypatch):
+    """Per fold the terms of the other rows; few buckets are full of other terms, so that the second pass is made anew; tasks hold few terms."""
+    import random
+    from collections import Counter
+
+    monkeypatch.setattr(vocabulary, "CAPACITY", 20)
+    dice = random.Random(buckets)
+    words = [f"t{i:03d}" for i in range(300)]
+    rows = [(dice.choices(words, [1 / (i + 1) for i in range(300)], k=dice.randrange(20)), dice.choice([0, 1, 2, None])) for _ in range(300)]
+    rows += [(None, 1), ([None, "t001"], 2), (["only"] * 50, 0)]
+    df = spark.createDataFrame(rows, "w array<string>, fold int").repartition(4)
+    for most in (1, 7, 1000):
+        found = vocabulary.fold_vocabularies(df, "w", 3, most, buckets)
+        for fold in range(3):
+            n = Counter(t for w, f in rows if f is not None and f != fold for t in w or () if t)
+            assert found[fold] == sorted(n, key=lambda t: (-n[t], t))[:most]
+
+
+def test_no_term_outside_full_buckets_is_counted(spark):
+    """Rare terms neither leave the tasks nor are shuffled."""
+    rows = spark.createDataFrame([([f"r{i}", "often", "often"],) for i in range(500)], "w array<string>").repartition(3)
+    hashed = vocabulary._hashed(rows, "w", None)
+    sums = vocabulary._bucket_counts(hashed, 1 << 12, None, 0)[0]
+    assert sums.sum() == 1500 and sums.max() >= 1000
+    left = vocabulary._partial_counts(hashed, sums >= 500, vocabulary.CAPACITY).where("term IS NOT NULL").collect()
+    assert len(left) <= 3 + 10 and sum(r["n"] for r in left if r["term"] == "often") == 1000
+
+
+def test_bigrams_extract_the_tokens_once(spark, tmp_path, monkeypatch):
+    """The plan of the query's token lists names the extraction once."""
+    from litscreen.plans import texts
+
+    given = []
+    monkeypatch.setattr(texts.ft, "build_vocabulary", lambda tokens, *a: given.append(tokens))
+    spark.createDataFrame([(1, "a text of words")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    texts.build_vocabulary_bigrams(spark, str(tmp_path))
+    assert given[0]._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
 def test_tfidf_of_a_text_without_known_terms(spark):
     tokens = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b"]), (3, ["z"])], "id int, w array<string>")
     known = vocabulary.learn_vocabulary(tokens, "w", 2)
