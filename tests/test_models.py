@@ -255,3 +255,37 @@ def test_more_than_two_classes(corpus):
     three = corpus.withColumn("y", F.when(F.col("id") % 3 == 1, 2).otherwise(F.col("y")))
     model = md.fit_text_model(three, "text", "y", SPEC)
     assert model.transform(three).select("prediction").distinct().count() >= 2
+
+
+def test_products_of_many_models_are_those_of_each(spark):
+    """Dense blocks, taken from ``DENSE_MODELS`` columns on, against one column at a time; sparse ones stay sparse."""
+    import numpy as np
+
+    from litscreen.operators import many_models as mm
+
+    random = np.random.RandomState(5)
+    for share, counts in ((0.3, [1.0, 2.0, 300.0, 0.5]), (0.005, [1.0, 2.0, 255.0])):
+        filled = random.rand(40, 60) < share
+        data = [(0, i % 3, i % 2, np.flatnonzero(f).tolist(), random.choice(counts, f.sum()).tolist()) for i, f in enumerate(filled)]
+        df = spark.createDataFrame(data, "source int, fold int, label int, terms array<int>, counts array<double>")
+        (block,) = mm.kept(mm.pack(df.coalesce(1))).collect()
+        rows, points = mm.Rows(block, 60), random.normal(size=(60, 9))
+        assert sorted(zip(rows.of, rows.terms, rows.counts)) == [(i, t, c) for i, r in enumerate(data) for t, c in zip(r[3], r[4])]
+        assert np.allclose(rows.times(points), np.stack([rows.times(p) for p in points.T], axis=1))
+        factors = random.normal(size=(40, 9))
+        assert np.allclose(rows.added(factors), np.stack([rows.added(f) for f in factors.T], axis=1))
+        assert (rows._dense is not None) == (share > 0.1)
+
+
+def test_rows_are_dealt_out_before_they_are_tokenised(spark, corpus, monkeypatch):
+    """Texts are shuffled, not their token lists."""
+    plans = []
+    real = md.fit_on_tokens
+    monkeypatch.setattr(md, "fit_on_tokens", lambda tokens, spec: plans.append(tokens._jdf.queryExecution().optimizedPlan().toString()) or real(tokens, spec))
+    md.fit_text_model(corpus, "text", "y", SPEC)
+    source = md._source
+    monkeypatch.setattr(md, "_source", lambda n, tokens, *a: plans.append(tokens._jdf.queryExecution().withCachedData().toString()) or source(n, tokens, *a))
+    md.search_folds(sp.stratified_kfold(corpus, "y", "id", 3), "text", "y", SPEC, {"C": [1.0]}, n_folds=3)
+    assert len(plans) == 2
+    for plan in plans:
+        assert "regexp_extract_all" not in plan.split("Exchange RoundRobin")[-1].split("Repartition 8")[-1]
