@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litscreen.llm.common import numbered_within, stored, table
+from litscreen.llm.common import byte_slices, numbered_within, stored, table
 from litscreen.llm.tokens import CachedTokenizer, in_worker
 
 CAPACITY = 2048
 END_ID = 0
 BUCKET_ROWS = 200_000  # pieces of the most frequent length that a task numbers
+SLICE_BYTES = 1 << 20  # of texts whose ids a worker holds at a time
 TOKENIZER = "byte_bpe_50k.json"
 PIECES = "row long, doc_id {}, piece int, start long, length long, ids_crc32 long, ids binary"
 
@@ -199,13 +200,6 @@ def _tokenizer(path: str | None) -> CachedTokenizer:
     return in_worker(f"tokenizer {path}", lambda: CachedTokenizer(path))
 
 
-def _small_batches(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The batches in slices, so that few ids are held at a time."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
 def tokenize_pieces(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -229,7 +223,7 @@ def tokenize_pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
         end = np.array([end_id], "<u4")
-        for batch in _small_batches(batches):
+        for batch in (part for whole in batches for part in byte_slices(whole, "text", SLICE_BYTES)):
             texts = [b"" if t is None else t.encode() for t in batch.column("text").to_pylist()]
             at, piece, start, length, crc, data = [], [], [], [], [], []
             for i, ids in enumerate(tokenizer.encode_all(texts)):

@@ -19,7 +19,7 @@ import numpy as np
 
 SLOTS = 1 << 19  # of the cache, for two chunks each
 POOL = 1 << 22  # token ids that the cache holds at most
-SEGMENT = 1 << 20  # bytes that are worked on at a time
+SEGMENT = 1 << 17  # bytes that are worked on at a time; every worker holds some 80 times as much besides its cache
 _STEP = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 #: first bytes of white space other than the blank
 _LETTER = np.isin(np.arange(256), [c for c in range(128) if chr(c).isalpha()])

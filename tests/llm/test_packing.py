@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -25,6 +26,19 @@ def test_cached_ids_equal_the_tokenizers():
             assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_a_tokenizer_takes_little_memory():
+    """Several workers live side by side in an executor, and all keep their tokenizer."""
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["abc", "of", "is x.", "word"]) for _ in range(600)).encode() for _ in range(1500)]
+    tracemalloc.start()
+    try:
+        CachedTokenizer(PATH).encode_all(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 80e6, peak
+
+
 def test_layouts_use_every_piece_once_and_few_sequences():
     for seed in range(6):
         rng = np.random.RandomState(seed)
