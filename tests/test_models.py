@@ -41,6 +41,22 @@ def test_fit_save_load(spark, corpus, tmp_path):
     assert len(best) == 3 and any("bind" in row["feature"] or "ligand" in row["feature"] or "site" in row["feature"] for row in best)
 
 
+def test_forest_rows_are_dealt_to_all_cores(spark, corpus, monkeypatch):
+    """Not one task for each class, as the join with the class weights leaves them."""
+    seen = []
+
+    class Forest(md.RandomForestClassifier):
+        def fit(self, rows):
+            seen.append([r["count"] for r in rows.groupBy(F.spark_partition_id().alias("task")).count().collect()])
+            return super().fit(rows)
+
+    monkeypatch.setattr(md, "RandomForestClassifier", Forest)
+    md.fit_text_model(corpus, "text", "y", replace(SPEC, classifier="forest", n_trees=2, max_depth=2))
+    (counts,) = seen
+    tasks = spark.sparkContext.defaultParallelism
+    assert len(counts) == tasks and max(counts) <= sum(counts) / tasks + 10
+
+
 def test_forest_threshold(corpus):
     forest = replace(SPEC, classifier="forest", n_trees=5, max_depth=5)
     sure = md.fit_text_model(corpus, "text", "y", replace(forest, threshold=0.99)).transform(corpus)
