@@ -41,8 +41,8 @@ def test_fit_save_load(spark, corpus, tmp_path):
     assert len(best) == 3 and any("bind" in row["feature"] or "ligand" in row["feature"] or "site" in row["feature"] for row in best)
 
 
-def test_forest_rows_are_dealt_to_all_cores(spark, corpus, monkeypatch):
-    """Not one task for each class, as the join with the class weights leaves them."""
+def test_forest_is_grown_in_parts_on_rows_dealt_out(spark, corpus, monkeypatch, tmp_path):
+    """No task for each class, as the join with the class weights leaves them; all trees vote."""
     seen = []
 
     class Forest(md.RandomForestClassifier):
@@ -51,10 +51,18 @@ def test_forest_rows_are_dealt_to_all_cores(spark, corpus, monkeypatch):
             return super().fit(rows)
 
     monkeypatch.setattr(md, "RandomForestClassifier", Forest)
-    md.fit_text_model(corpus, "text", "y", replace(SPEC, classifier="forest", n_trees=2, max_depth=2))
-    (counts,) = seen
-    tasks = spark.sparkContext.defaultParallelism
-    assert len(counts) == tasks and max(counts) <= sum(counts) / tasks + 10
+    monkeypatch.setattr(md, "FOREST_ROWS", 10)
+    model = md.fit_text_model(corpus, "text", "y", replace(SPEC, classifier="forest", n_trees=8, max_depth=3))
+    assert len(seen) == md.FORESTS and all(len(counts) == 7 and max(counts) <= 18 for counts in seen)
+    model.write().save(str(tmp_path / "m"))
+    model = PipelineModel.load(str(tmp_path / "m"))
+    parts = [stage for stage in model.stages if hasattr(stage, "trees")]
+    assert sorted(part.getNumTrees for part in parts) == [1, 1, 1, 1, 2, 2]
+    features = next(stage.getFeaturesCol() for stage in parts)
+    for row in model.transform(corpus).select(features, "rawPrediction", "probability").collect():
+        votes = sum(part.predictRaw(row[features]).toArray() for part in parts)
+        assert abs(votes.sum() - 8) < 1e-9 and abs(row.rawPrediction.toArray() - votes).max() < 1e-9
+        assert abs(row.probability.toArray() - votes / 8).max() < 1e-9
 
 
 def test_forest_threshold(corpus):
