@@ -313,3 +313,56 @@ def test_rows_are_dealt_out_before_they_are_tokenised(spark, corpus, monkeypatch
     assert len(plans) == 2
     for plan in plans:
         assert "regexp_extract_all" not in plan.split("Exchange RoundRobin")[-1].split("Repartition 8")[-1]
+
+
+def test_python_workers_get_small_batches(spark):
+    """Token lists come in few megabytes at a time, however large the partition is."""
+    import pyarrow as pa
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.unset(key)
+    try:
+        text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(600)), lambda i: F.concat(F.lit("word"), i + F.col("id"))), " ")
+        texts = spark.range(0, 900, 1, 1).select(text.alias("text"), F.lit(1).alias("y"))
+        rows = md.tokenised(texts, "text", "y", replace(SPEC, remove_digits=False, ngram_max=2))[1].select("tokens")
+
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"n": pa.array([batch.nbytes], pa.int64())})
+
+        largest = rows.mapInArrow(sizes, "n long").agg(F.max("n"), F.sum("n")).first()
+        assert largest[1] > 10 << 20 and largest[0] <= 6 << 20
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_bucket_counts_come_from_few_tasks(spark, monkeypatch):
+    """A task gives the counts of all buckets, so their number does not grow with the partitions."""
+    from litscreen.operators import vocabulary as vo
+
+    tasks = []
+    frame = type(spark.range(1))
+    real = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **k: tasks.append(self.rdd.getNumPartitions()) or real(self, *a, **k))
+    monkeypatch.setattr(vo, "TASKS_A_CORE", 1, raising=False)
+    tokens = spark.range(0, 300, 1, 30).select(F.array(F.lit("aa"), F.concat(F.lit("t"), F.col("id") % 7)).alias("tokens"))
+    found = vo.learn_vocabulary(tokens, "tokens", 3)
+    assert found.terms == ["aa", "t0", "t1"] and list(found.counts) == [300, 43, 43] and found.n_documents == 300
+    assert tasks[0] <= spark.sparkContext.defaultParallelism
+
+
+def test_block_files_have_small_row_groups(spark, tmp_path):
+    """One file of many blocks is read in parts, and a page holds few blocks."""
+    import pyarrow.parquet as pq
+
+    from litscreen.operators import features as ft
+
+    shifted = F.transform(F.sequence(F.lit(0), F.lit(149)), lambda i: F.concat(F.lit("t"), (7 * i + F.col("id") * (i + 1)) % 3000))
+    tokens = spark.range(0, 512 * 60, 1, 1).select(shifted.alias("tokens"), (F.col("id") % 2).cast("int").alias("label"), F.lit(0).alias("fold"))
+    counted = ft.count_model([f"t{i}" for i in range(3000)], "tokens", "_counts").transform(tokens)
+    md._write_blocks(counted, "_counts", str(tmp_path / "blocks"))
+    (file,) = (tmp_path / "blocks").glob("*.parquet")
+    groups = pq.ParquetFile(file).metadata
+    sizes = [groups.row_group(i).total_byte_size for i in range(groups.num_row_groups)]
+    assert sum(sizes) > 16 << 20 and max(sizes) <= 12 << 20
