@@ -366,3 +366,22 @@ def test_block_files_have_small_row_groups(spark, tmp_path):
     groups = pq.ParquetFile(file).metadata
     sizes = [groups.row_group(i).total_byte_size for i in range(groups.num_row_groups)]
     assert sum(sizes) > 16 << 20 and max(sizes) <= 12 << 20
+
+
+def test_class_weights_do_not_shuffle_token_lists(spark, corpus, monkeypatch):
+    """The weights of the classes come to the rows, also where nothing is broadcast by itself; rows without label have none."""
+    seen = []
+    real = md.train_classifier
+    monkeypatch.setattr(md, "train_classifier", lambda rows, *a: seen.append(rows) or real(rows, *a))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        rows = corpus.withColumn("y", F.when(F.col("id") != 5, F.col("y")))
+        md.fit_text_model(rows, "text", "y", SPEC)
+        plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+        weights = {tuple(r) for r in seen[0].select("label", F.round("weight", 6)).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert weights == {(0, 0.75), (1, 1.5), (None, None)}
