@@ -385,3 +385,24 @@ def test_class_weights_do_not_shuffle_token_lists(spark, corpus, monkeypatch):
         spark.conf.set(key, before)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert weights == {(0, 0.75), (1, 1.5), (None, None)}
+
+
+def test_candidates_with_equal_token_lists_share_fits(spark, monkeypatch):
+    """Punctuation is in no token: both settings are compared and fitted once, unless lemmas, which it sticks to, tell them apart."""
+    from litscreen.operators import many_models as mm
+
+    texts = [("the ligand, binds; it shows (a) site-1 at 3.5", 1), ("prices shows, fall! market index: 7", 0)]
+    rows = [(i, f"{texts[i % 2][0]} w{i % 5}", texts[i % 2][1], i // 2 % 3) for i in range(36)] + [(40, None, 0, 1), (41, "a,b", 1, None)]
+    train = spark.createDataFrame(rows, "id long, text string, y int, fold int")
+    fitted = []
+    real = mm.fit_models
+    monkeypatch.setattr(mm, "fit_models", lambda *a: fitted.append(len(a[3])) or real(*a))
+    grid = {"remove_punct": [True, False], "remove_digits": [True, False], "ngram_max": [1, 2], "C": [0.1, 1.0]}
+    records = md.search_folds(train, "text", "y", SPEC, grid, n_folds=3).collect()
+    assert fitted == [24] and len(records) == 48 and {r["candidate"] for r in records} == set(range(16))
+    by_setting = {(r["remove_punct"], r["remove_digits"], r["ngram_max"], r["C"], r["fold"]): tuple(r)[-5:] for r in records}
+    assert all(found == by_setting[(not punct, *rest)] for (punct, *rest), found in by_setting.items())
+    with_lemmas = replace(SPEC, lemmas={"shows": "show"})
+    md.search_folds(train, "text", "y", with_lemmas, {"remove_punct": [True, False], "C": [1.0]}, n_folds=3).collect()
+    assert fitted[1] == 6
+    assert len(md._shared_groups(train, "text", md.candidates(SPEC, grid))) == 4
